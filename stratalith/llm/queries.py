@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .best_fit_packing import op1_best_fit_packing
+from .license_scan import op9_license_scan
+from .source_mixing import op10_source_mixing
 from .token_counts import op5_token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op5_token_counts)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op5_token_counts, op9_license_scan, op10_source_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -12,11 +12,12 @@ from .license_scan import op9_license_scan
 from .minhash_dedup import op7_minhash_dedup
 from .quality_classifier import op2_quality_classifier
 from .source_mixing import op10_source_mixing
+from .substring_dedup import op3_substring_dedup
 from .token_counts import op5_token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_quality_classifier, op5_token_counts, op6_language_id, op7_minhash_dedup, op9_license_scan, op10_source_mixing)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_quality_classifier, op3_substring_dedup, op5_token_counts, op6_language_id, op7_minhash_dedup, op9_license_scan, op10_source_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -11,26 +11,26 @@ because their first point lies beyond the time by which all registers are full.
 
 Equal documents are one node. Nodes that share a band meet at the band's
 smallest node and their multisets are compared. Where a band still holds several
-components, further nodes of it meet the others, until the pairs across are no
-more than a small multiple of the band rows (or ``hubs`` rounds have gone); then
-all those are compared. So every candidate pair is linked through others or
-measured, without all pairs of a large group of copies being made.
+components, every node outside its largest one is compared with all others of
+the band, in blocks of bounded size; a block returns a spanning forest, not its
+pairs. So every candidate pair is linked through others or measured.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .components import components
+from .components import components, forest
 from .session import checkpointed
 from .textvec import U64, mix64, span_hashes, utf8_chunks, word_spans
 
-REGISTERS, BAND = 128, 4
+REGISTERS, BAND = 252, 6
 _GOLDEN, _SIDE = U64(0x9E3779B97F4A7C15), U64(0xD1B54A32D192ED03)
 
 
@@ -156,7 +156,50 @@ def verified(pairs: DataFrame, bags: DataFrame, least: float) -> DataFrame:
     return both.filter(shared >= F.lit(least) * (F.size("bag_a") + F.size("bag_b") - shared)).select("a", "b").distinct()
 
 
-def near_duplicates(docs: DataFrame, least: float = 0.8, hubs: int = 3) -> DataFrame:
+def _crossing(least: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(["id", "asks"], kind="stable").reset_index(drop=True)
+        sides = group[~group["asks"]].drop_duplicates("id"), group[group["asks"]].drop_duplicates("id")
+        bags = sides[0]["bag"].to_list()
+        size = np.array([len(x) for x in bags], np.int64)
+        elements, inverse = np.unique(np.concatenate([np.zeros(0, np.int32), *bags]), return_inverse=True)
+        order = np.argsort(inverse, kind="stable")
+        holder = np.repeat(np.arange(len(bags)), size)[order]  # who holds each element, element by element
+        first = np.searchsorted(inverse[order], np.arange(len(elements) + 1))
+        ids, parts = sides[0]["id"].to_numpy(), sides[0]["component"].to_numpy()
+        a: list[int] = []
+        b: list[int] = []
+        for u, part, bag in zip(sides[1]["id"].tolist(), sides[1]["component"].tolist(), sides[1]["bag"], strict=True):
+            at = np.minimum(np.searchsorted(elements, bag), max(len(elements) - 1, 0))
+            at = at[elements[at] == bag] if len(elements) else at[:0]
+            met = np.concatenate([np.zeros(0, np.int64), *(holder[first[e] : first[e + 1]] for e in at.tolist())])
+            shared = np.bincount(met, minlength=len(bags))
+            near = np.flatnonzero((shared >= least * (len(bag) + size - shared)) & (parts != part))
+            a += [u] * len(near)
+            b += ids[near].tolist()
+        tree = [(x, t) for x, t in forest(a, b).items() if x != t]
+        return pd.DataFrame({"a": pd.Series([x for x, _ in tree], dtype="int64"), "b": pd.Series([t for _, t in tree], dtype="int64")})
+
+    return run
+
+
+def cross_links(placed: DataFrame, part: DataFrame, bags: DataFrame, least: float, per_block: int = 2048) -> DataFrame:
+    """Links (a, b) between the components (id, component) that meet in a band (band, id)."""
+    own = placed.join(part, "id", "left").select("band", "id", F.coalesce("component", "id").alias("component"))
+    sizes = own.groupBy("band", "component").agg(F.count("*").alias("k"))
+    sides = sizes.groupBy("band").agg(F.count("*").alias("of"), F.sum("k").alias("n"), F.max(F.struct("k", "component")).alias("main")).filter("of > 1")
+    blocks = lambda n: F.ceil(n / per_block).cast("int")
+    sides = sides.select("band", F.col("main.component").alias("main"), blocks(F.col("n")).alias("n_all"), blocks(F.col("n") - F.col("main.k")).alias("n_asks"))
+    mixed = checkpointed(own.join(sides, "band"))
+    block = lambda n, seed: F.pmod(F.xxhash64("id", F.lit(seed)), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    there = mixed.select("band", "id", "component", F.lit(False).alias("asks"), block("n_all", 1).alias("x"), each("n_asks").alias("y"))
+    asks = mixed.filter("component <> main").select("band", "id", "component", F.lit(True).alias("asks"), each("n_all").alias("x"), block("n_asks", 2).alias("y"))
+    dealt = there.unionByName(asks).join(bags, "id")
+    return dealt.groupBy("band", "x", "y").applyInPandas(_crossing(least), "a long, b long")
+
+
+def near_duplicates(docs: DataFrame, least: float = 0.8) -> DataFrame:
     """One row for each row of docs: doc_id, class_id, kept.
 
     class_id is the smallest doc_id that links reach: equal words, or a weighted
@@ -168,35 +211,14 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, hubs: int = 3) -> DataF
     signed = checkpointed(_texts(docs).mapInArrow(_signing, "doc_id long, left long, right long, bands array<long>"))
     equal = signed.filter("left IS NOT NULL").groupBy("left", "right").agg(F.min("doc_id").alias("node"))
     member = checkpointed(signed.select("doc_id", "left", "right").join(equal, ["left", "right"]).select("doc_id", "node"))
-    nodes = signed.join(equal, (signed["left"] == equal["left"]) & (signed["right"] == equal["right"]) & (signed["doc_id"] == equal["node"]), "left_semi").select("doc_id", F.explode("bands").alias("band")).distinct()
-    met = nodes.groupBy("band").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).filter("n > 1")
+    nodes = signed.join(equal, (signed["left"] == equal["left"]) & (signed["right"] == equal["right"]) & (signed["doc_id"] == equal["node"]), "left_semi").select("doc_id", F.explode("bands").alias("band"))
+    met = nodes.groupBy("band").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most")
     placed = checkpointed(nodes.join(met.select("band", "least"), "band").select("band", F.col("doc_id").alias("id"), "least"))
     wanted = placed.select(F.col("id").alias("doc_id")).distinct()
     bags = checkpointed(_texts(docs).join(wanted, "doc_id", "left_semi").mapInArrow(_bags, "id long, bag array<int>"))
-
-    tried = checkpointed(placed.filter("id > least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct())
-    links = checkpointed(verified(tried, bags, least))
+    links = checkpointed(verified(placed.filter("id > least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct(), bags, least))
+    links = checkpointed(links.unionByName(cross_links(placed, components(links), bags, least)))
     same = member.filter("doc_id > node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
-    n, turn = placed.count(), 0
-    while True:
-        part = components(links)
-        own = placed.join(part, "id", "left").select("band", "id", F.coalesce("component", "id").alias("component"))
-        sides = own.groupBy("band", "component").agg(F.count("*").alias("k")).groupBy("band").agg(F.count("*").alias("of"), ((F.sum("k") * F.sum("k") - F.sum(F.col("k") * F.col("k"))) / 2).alias("cross")).filter("of > 1")
-        apart = checkpointed(own.join(sides, "band").select("band", "id", "component", "cross", F.xxhash64("id", F.lit(turn)).alias("order")))
-        across = apart.groupBy("band").agg(F.first("cross").alias("cross")).agg(F.coalesce(F.sum("cross"), F.lit(0.0))).first()[0]
-        if not across:
-            break
-        last = across <= 4 * n or turn == hubs
-        if last:  # all that remain, and they are few
-            pairs = apart.alias("x").join(apart.alias("y"), "band").filter("x.component < y.component").select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
-        else:  # another node of each band meets those outside its component
-            hub = apart.groupBy("band").agg(F.min(F.struct("order", "id", "component")).alias("hub")).select("band", "hub.id", F.col("hub.component").alias("of"))
-            pairs = apart.alias("x").join(hub.alias("h"), "band").filter("x.component <> h.of").select(F.least("x.id", "h.id").alias("a"), F.greatest("x.id", "h.id").alias("b"))
-        new = checkpointed(pairs.distinct().join(tried, ["a", "b"], "left_anti"))
-        links = checkpointed(links.unionByName(verified(new, bags, least)))
-        if last:
-            break
-        tried, turn = tried.unionByName(new), turn + 1
     found = components(links.unionByName(same))
     told = _texts(docs).select("doc_id").alias("d").join(found.alias("f"), F.col("d.doc_id") == F.col("f.id"), "left").select("d.doc_id", F.coalesce("f.component", "d.doc_id").alias("class_id"))
     none = docs.filter(F.col("doc_id").cast("long").isNull()).select(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("class_id"))

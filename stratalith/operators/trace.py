@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scoring import percent
@@ -32,7 +32,12 @@ def _lines(files: DataFrame) -> DataFrame:
 def specs_in_code(files: DataFrame) -> DataFrame:
     """(path, line, id, type) of references in files (path, content)."""
     lines = _lines(files)
-    found = F.flatten(F.array(*[F.transform(F.flatten(F.transform(F.regexp_extract_all("text", F.lit(p), F.lit(1)), parse_spec_ids)), lambda i, k=kind: F.struct(i.alias("id"), F.lit(k).alias("type"))) for kind, p in CODE_PATTERNS]))
+
+    def refs(kind: str, pattern: str) -> Column:
+        ids = F.flatten(F.transform(F.regexp_extract_all("text", F.lit(pattern), F.lit(1)), parse_spec_ids))
+        return F.transform(ids, lambda i: F.struct(i.alias("id"), F.lit(kind).alias("type")))
+
+    found = F.flatten(F.array(*[refs(kind, p) for kind, p in CODE_PATTERNS]))
     return lines.select("path", "line", F.explode(found).alias("r")).select("path", "line", "r.id", "r.type")
 
 

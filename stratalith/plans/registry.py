@@ -143,7 +143,9 @@ def graph_boosted(spark, sf):
 
 # --- coverage, freshness -----------------------------------------------------------------
 
-_FLAG = F.coalesce(F.col("quality") == 1, F.lit(False))
+
+def _good():
+    return F.coalesce(F.col("quality") == 1, F.lit(False))
 
 
 def _labelled(spark, sf):
@@ -152,12 +154,12 @@ def _labelled(spark, sf):
 
 @query(f"SELECT lang, count(*) AS total, count(*) FILTER (quality = 1) AS documented, {ROUND2.format('count(*) FILTER (quality = 1) * 100.0 / count(*)')} AS percent FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1")
 def coverage_by_group(spark, sf):
-    return coverage.coverage(_labelled(spark, sf), "lang", _FLAG)
+    return coverage.coverage(_labelled(spark, sf), "lang", _good())
 
 
 @query(f"SELECT lang, CAST(grouping(lang) AS INTEGER) AS is_total, count(*) AS total, count(*) FILTER (quality = 1) AS documented, {ROUND2.format('count(*) FILTER (quality = 1) * 100.0 / count(*)')} AS percent FROM documents LEFT JOIN labels USING (doc_id) GROUP BY ROLLUP (lang)")
 def coverage_rollup(spark, sf):
-    return coverage.coverage_rollup(_labelled(spark, sf), "lang", _FLAG)
+    return coverage.coverage_rollup(_labelled(spark, sf), "lang", _good())
 
 
 @query(f"SELECT count(*) AS exports, count(*) FILTER (length(description) > 0) AS described, count(*) FILTER (has_example) AS with_examples, CAST(2 * count(*) AS BIGINT) AS params, CAST(count(*) FILTER (length(lang) > 0) AS BIGINT) AS described_params, count(*) FILTER (kind = 'function') AS callables, count(*) FILTER (kind = 'function' AND return_type IS NOT NULL) AS with_return FROM {SYMBOLS}")

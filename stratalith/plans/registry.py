@@ -556,3 +556,80 @@ def incoherence(spark, sf):
     e = table(spark, sf, "embeddings").join(table(spark, sf, "documents"), F.col("vec_id") == F.col("doc_id"))
     rows = e.select(F.col("doc_id").cast("string").alias("id"), F.col("source").alias("path"), F.concat(F.lit("s"), (F.col("doc_id") % 50).cast("string")).alias("symbol"), F.lit("function").alias("kind"), F.col("text").alias("content"), F.lit("f(a): string").alias("signature"), F.lit("public").alias("visibility"), F.lit(True).alias("exported"), F.lit(1).alias("complexity"), F.col("embedding").alias("vec"), "doc_id")
     return find_incoherence(rows.filter("doc_id % 2 = 0").drop("doc_id"), rows.filter("doc_id % 2 = 1").drop("doc_id"))
+
+
+# --- extraction and contexts --------------------------------------------------------------
+
+
+_SYM = [r"(?:export\s+)?(?:async\s+)?function\s+\w+", r"(?:export\s+)?class\s+\w+", r"(?:export\s+)?interface\s+\w+", r"(?:export\s+)?type\s+\w+\s*="]
+
+
+@query(f"SELECT page_id AS path, CAST({_count_sql('html', _SYM)} AS INTEGER) AS symbols, CAST(least({_count_sql('html', _SYM)}, len(regexp_extract_all(html, '/\\*\\*(.|\\n)*?\\*/'))) AS INTEGER) AS documented FROM pages")
+def text_coverage(spark, sf):
+    from ..operators.extraction import text_coverage as run
+
+    return run(_pages(spark, sf))
+
+
+@query("SELECT p_partkey, CASE WHEN p_type LIKE '%[]' THEN 'array' WHEN contains(t, ' | ') THEN 'union' WHEN contains(t, ' & ') THEN 'intersection' WHEN lower(t) IN ('string', 'number', 'boolean', 'null', 'undefined', 'void', 'never', 'any', 'unknown') THEN 'primitive' ELSE 'reference' END AS kind FROM (SELECT *, CASE p_partkey % 4 WHEN 0 THEN p_type || ' | null' WHEN 1 THEN p_type || ' & Part' WHEN 2 THEN 'String' ELSE p_type END AS t FROM part)")
+def type_kinds(spark, sf):
+    from ..operators.extraction import type_kind
+
+    t, k = F.col("p_type"), F.col("p_partkey") % 4
+    raw = F.when(k == 0, F.concat(t, F.lit(" | null"))).when(k == 1, F.concat(t, F.lit(" & Part"))).when(k == 2, "String").otherwise(t)
+    return table(spark, sf, "part").select("p_partkey", type_kind(raw).alias("kind"))
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS name, upper(substr(kind, 1, 1)) || substr(kind, 2) || ' `' || name || '` provides functionality as defined by its signature.' AS description FROM (SELECT doc_id, CAST(doc_id AS VARCHAR) AS name, kind FROM " + SYMBOLS + " WHERE trim(description) = '')")
+def template_descriptions(spark, sf):
+    from ..functions.text import strip
+    from ..operators.extraction import fill_descriptions
+
+    return fill_descriptions(inputs.symbols(spark, sf).filter(strip(F.col("description")) == "")).select("name", "description")
+
+
+@query("SELECT c_custkey, CASE WHEN c_mktsegment = 'BUILDING' THEN '[documentation]' || chr(10) || c_name ELSE '[class] ' || c_name || chr(10) || 'Language: python' || chr(10) || c_name END AS text FROM customer")
+def embedding_texts(spark, sf):
+    from ..operators.extraction import prepare
+
+    doc, n = F.col("c_mktsegment") == "BUILDING", F.col("c_name")
+    return table(spark, sf, "customer").select("c_custkey", prepare(F.when(doc, "docs").otherwise("code"), n, F.lit("class"), F.lit("python"), n).alias("text"))
+
+
+@query("WITH RECURSIVE e AS (SELECT DISTINCT * FROM " + CALL_EDGES + "), r AS (SELECT s_suppkey AS root, s_suppkey AS id, 0 AS level FROM supplier UNION ALL SELECT root, dst, level + 1 FROM r JOIN e ON id = src WHERE level < 3) SELECT root, id, min(level) AS level FROM r GROUP BY 1, 2")
+def dependency_tree(spark, sf):
+    from ..operators.extraction import dependency_tree as run
+
+    roots = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("root"))
+    return run(inputs.call_edges(spark, sf), roots, 3).select("root", "id", "level")
+
+
+@query("SELECT source AS module, array_to_string(list_sort(list(name) FILTER (kind = 'function')), ',') AS functions, array_to_string(list_sort(list(name) FILTER (kind = 'class')), ',') AS classes FROM (SELECT path AS source, name, kind FROM " + SYMBOLS + ") GROUP BY 1")
+def context_buckets(spark, sf):
+    from ..operators.extraction import context_buckets as run
+
+    rows = run(inputs.symbols(spark, sf).withColumnRenamed("path", "module"))
+    return rows.select("module", F.nullif(F.array_join("functions", ","), F.lit("")).alias("functions"), F.nullif(F.array_join("classes", ","), F.lit("")).alias("classes"))
+
+
+@query()
+def extracted_symbols(spark, sf):
+    from ..operators.extraction import extract_symbols
+
+    code = F.concat(F.lit("/** Adds. */\nexport function add_"), F.col("page_id").cast("string"), F.lit("(a: number): number { return a; }\n"), "html")
+    return extract_symbols(table(spark, sf, "pages").select(F.col("page_id").cast("string").alias("path"), code.alias("content")))
+
+
+@query("SELECT vec_id, CAST(label AS BIGINT) AS label FROM embeddings WHERE label IN (1, 2)")
+def collection_filter(spark, sf):
+    from ..operators.filters import doc_chunks
+
+    kind = F.when(F.col("label") == 1, "docs").when(F.col("label") == 2, "comments").otherwise("code")
+    rows = table(spark, sf, "embeddings").select("vec_id", F.col("label").cast("long").alias("label"), kind.alias("type"))
+    return doc_chunks(rows).select("vec_id", "label")
+
+
+@query("SELECT s_suppkey AS id, floor((epoch(TIMESTAMP '2024-06-01') - epoch(TIMESTAMP '2024-01-01' + s_suppkey * INTERVAL 1 HOUR)) / 86400)::BIGINT AS days FROM supplier")
+def age_days(spark, sf):
+    ts = F.timestamp_seconds(F.unix_timestamp(F.lit("2024-01-01 00:00:00").cast("timestamp")) + F.col("s_suppkey") * 3600)
+    return table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), scoring.floor_days(F.lit("2024-06-01").cast("timestamp"), ts).alias("days"))

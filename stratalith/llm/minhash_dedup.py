@@ -199,14 +199,14 @@ def cross_links(placed: DataFrame, part: DataFrame, bags: DataFrame, least: floa
     return dealt.groupBy("band", "x", "y").applyInPandas(_crossing(least), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, least: float = 0.8) -> DataFrame:
+def near_duplicates(docs: DataFrame, least: float = 0.8, per_block: int = 2048) -> DataFrame:
     """One row for each row of docs: doc_id, class_id, kept.
 
     class_id is the smallest doc_id that links reach: equal words, or a weighted
     Jaccard similarity of at least ``least`` on five-word shingles. kept marks the
     class's own row. Documents without words (null, empty, marks only) are each
     their own; rows that share a doc_id are one document; a null doc_id has a null
-    class and is kept.
+    class and is kept. ``per_block`` bounds the nodes of a band that meet in a task.
     """
     signed = checkpointed(_texts(docs).mapInArrow(_signing, "doc_id long, left long, right long, bands array<long>"))
     equal = signed.filter("left IS NOT NULL").groupBy("left", "right").agg(F.min("doc_id").alias("node"))
@@ -217,7 +217,7 @@ def near_duplicates(docs: DataFrame, least: float = 0.8) -> DataFrame:
     wanted = placed.select(F.col("id").alias("doc_id")).distinct()
     bags = checkpointed(_texts(docs).join(wanted, "doc_id", "left_semi").mapInArrow(_bags, "id long, bag array<int>"))
     links = checkpointed(verified(placed.filter("id > least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct(), bags, least))
-    links = checkpointed(links.unionByName(cross_links(placed, components(links), bags, least)))
+    links = checkpointed(links.unionByName(cross_links(placed, components(links), bags, least, per_block)))
     same = member.filter("doc_id > node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
     found = components(links.unionByName(same))
     told = _texts(docs).select("doc_id").alias("d").join(found.alias("f"), F.col("d.doc_id") == F.col("f.id"), "left").select("d.doc_id", F.coalesce("f.component", "d.doc_id").alias("class_id"))

@@ -273,6 +273,8 @@ def test_near_duplicates_match_brute_force(spark, awkward, empty):
     got = {r.doc_id: (r.class_id, r.kept) for r in near_duplicates(rows_of(spark, texts)).collect()}
     want = brute_classes(rows)
     assert got == {d: (want.get(d, d), want.get(d, d) == d) for d, _ in rows}
+    dealt = {r.doc_id: r.class_id for r in near_duplicates(rows_of(spark, texts), per_block=6).collect()}
+    assert dealt == {d: want.get(d, d) for d, _ in rows}
     assert near_duplicates(empty).count() == 0
     odd = near_duplicates(awkward)
     assert odd.count() == awkward.count() and odd.filter("doc_id IS NULL").first().kept

@@ -135,22 +135,28 @@ def transitive_closure(edges: DataFrame, seeds: DataFrame, most: int = 1000) ->
         frontier = checkpointed(step.join(known, ["seed", "id"], "left_anti").withColumn("level", F.lit(level)))
         if frontier.isEmpty():
             break
-        known = checkpointed(known.unionByName(frontier))
+        known = _grown(known, frontier, level)
     return known
 
 
+def _grown(known: DataFrame, frontier: DataFrame, turn: int, each: int = 8) -> DataFrame:
+    """known with the frontier's rows; written anew every few turns only, so that neither files nor plans pile up."""
+    both = known.unionByName(frontier)
+    return both if turn % each else checkpointed(both)
+
+
 def shortest_paths(edges: DataFrame, pairs: DataFrame, most: int = 1000) -> DataFrame:
     """(start, goal, path) for pairs (start, goal) with a path; of equal ones the smallest predecessors."""
     edges = edges.select("src", "dst").distinct()
     known = checkpointed(pairs.select("start", F.col("start").alias("id"), F.array("start").alias("path")).distinct())
     frontier = known
-    for _ in range(most):
+    for turn in range(1, most + 1):
         step = frontier.join(edges, F.col("id") == F.col("src")).groupBy("start", "dst").agg(F.min("path").alias("path"))
         new = step.select("start", F.col("dst").alias("id"), F.concat("path", F.array("dst")).alias("path"))
         frontier = checkpointed(new.join(known, ["start", "id"], "left_anti"))
         if frontier.isEmpty():
             break
-        known = checkpointed(known.unionByName(frontier))
+        known = _grown(known, frontier, turn)
     return pairs.join(known.withColumnRenamed("id", "goal"), ["start", "goal"])
 
 

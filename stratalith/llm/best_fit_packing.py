@@ -1,9 +1,10 @@
 """Bound-certified best-fit packing of tokenised documents into sequences.
 
 Documents become pieces of at most ``size`` tokens. Pieces are dealt to
-partitions of bounded size; each partition packs by best-fit decreasing and
-proves a lower bound of its bin count with dual-feasible functions. A partition
-whose count equals its bound is certified and done. From the others the pieces
+partitions of bounded size; each partition packs by best-fit decreasing (with a
+look ahead of two pieces where that falls short) and proves a lower bound of its
+bin count with dual-feasible functions. A partition whose count equals its bound
+is certified and done. From the others the pieces
 of bins with gaps are exchanged (dealt anew to fewer partitions) and packed
 again, for a few rounds. Only piece rows move, never texts or token lists.
 """
@@ -166,12 +167,57 @@ def best_fit_decreasing(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.
     return bins, offsets, len(used)
 
 
+def best_fit_pairs(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Best-fit decreasing that looks two pieces ahead.
+
+    Each bin takes the longest piece left. Then the best fit is a piece that fills
+    the rest, else the pair that does and of which most are left, else the longest
+    piece that fits, after which the same is asked of the new rest.
+    """
+    order = np.argsort(-lengths, kind="stable")
+    count = np.bincount(lengths, minlength=size + 1)
+    after = np.cumsum(count[::-1])[::-1]  # pieces of a length stand in a row of the order, up to here
+    have = count > 0
+    bins, offsets = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
+    n, left, top = 0, len(lengths), size
+    while left:
+        while not have[top]:
+            top -= 1
+        room, picked = size, [top]
+        while picked:
+            for x in picked:
+                i = order[after[x] - count[x]]
+                bins[i], offsets[i] = n, size - room
+                count[x] -= 1
+                have[x] = count[x] > 0
+                room -= x
+                left -= 1
+            picked = []
+            if not room or not left:
+                break
+            if have[room]:
+                picked = [room]
+                continue
+            pair = np.flatnonzero(have[1:room] & have[1:room][::-1]) + 1
+            pair = pair[(2 * pair > room) | ((2 * pair == room) & (count[pair] > 1))]
+            if len(pair):
+                a = int(pair[np.argmax(np.minimum(count[pair], count[room - pair]))])
+                picked = [a, room - a]
+                continue
+            fits = np.flatnonzero(have[1 : room + 1])
+            picked = [int(fits[-1]) + 1] if len(fits) else []
+        n += 1
+    return bins, offsets, n
+
+
 def _packing(size: int, turn: int, last: bool) -> Callable[[pd.DataFrame], pd.DataFrame]:
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["length", "doc_id", "piece", "ids_crc32", "start"], ascending=[False, True, True, True, True], kind="stable")
         lengths = group["length"].to_numpy()
         bins, offsets, n = best_fit_decreasing(lengths, size)
         bound = lower_bound(lengths, size)
+        if n > bound:
+            bins, offsets, n = min((bins, offsets, n), best_fit_pairs(lengths, size), key=lambda x: x[2])
         fill = np.bincount(bins, weights=lengths, minlength=n)
         done = np.full(len(group), last or n == bound) | (fill[bins] == size)
         part = int(group["part"].iloc[0])

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from stratalith.llm.ann_forest import nearest
-from stratalith.llm.best_fit_packing import PieceEncoder, best_fit_decreasing, lower_bound, pack, tokenized_pieces
+from stratalith.llm.best_fit_packing import PieceEncoder, best_fit_decreasing, best_fit_pairs, lower_bound, pack, tokenized_pieces
 from stratalith.llm.components import components, forest
 from stratalith.llm.language_id import identify
 from stratalith.llm.license_scan import TEMPLATES, scan_licenses, words_of
@@ -122,6 +122,8 @@ def test_pieces_and_packing(spark, awkward, empty):
         assert seq.offset.tolist() == [0, *seq.length.cumsum().tolist()[:-1]] and seq.length.sum() <= 1024
     bound = lower_bound(packed.length.to_numpy(), 1024)
     assert bound <= packed.sequence_id.nunique() <= 1.03 * bound + 2
+    whole = pack(tokenized_pieces(docs, path)).select("sequence_id").distinct().count()
+    assert bound <= whole <= 1.005 * bound + 1
     assert pack(tokenized_pieces(empty, path)).count() == 0
 
 
@@ -130,8 +132,12 @@ def test_pieces_and_packing(spark, awkward, empty):
 def test_bounds_hold(lengths):
     """No packing of few pieces is below the bound, and best fit is valid."""
     sizes = np.array(lengths)
-    bins, offsets, n = best_fit_decreasing(sizes, 12)
-    assert all(sizes[bins == b].sum() <= 12 for b in range(n))
+    for f in (best_fit_pairs, best_fit_decreasing):
+        bins, offsets, n = f(sizes, 12)
+        for b in range(n):
+            own = np.flatnonzero(bins == b)
+            own = own[np.argsort(offsets[own])]
+            assert len(own) and sizes[own].sum() <= 12 and offsets[own].tolist() == [0, *np.cumsum(sizes[own])[:-1].tolist()]
 
     def least(left, room):
         if not left:
@@ -142,7 +148,7 @@ def test_bounds_hold(lengths):
                 best = min(best, least(left[1:], (*room[:i], r - left[0], *room[i + 1 :])))
         return min(best, least(left[1:], (*room, 12 - left[0])))
 
-    assert lower_bound(sizes, 12) <= least(tuple(sorted(lengths, reverse=True)), ()) <= n
+    assert lower_bound(sizes, 12) <= least(tuple(sorted(lengths, reverse=True)), ()) <= min(n, best_fit_pairs(sizes, 12)[2])
 
 
 # --- quality and language --------------------------------------------------------------

@@ -186,8 +186,10 @@ def _crossing(least: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
 def cross_links(placed: DataFrame, part: DataFrame, bags: DataFrame, least: float, per_block: int = 2048) -> DataFrame:
     """Links (a, b) between the components (id, component) that meet in a band (band, id)."""
     own = placed.join(part, "id", "left").select("band", "id", F.coalesce("component", "id").alias("component"))
-    sizes = own.groupBy("band", "component").agg(F.count("*").alias("k"))
-    sides = sizes.groupBy("band").agg(F.count("*").alias("of"), F.sum("k").alias("n"), F.max(F.struct("k", "component")).alias("main")).filter("of > 1")
+    sign = [F.bit_xor(F.xxhash64("id", F.lit(seed))).alias(c) for seed, c in ((1, "s"), (2, "t"))]
+    sizes = own.groupBy("band", "component").agg(F.count("*").alias("k"), *sign)
+    sides = sizes.groupBy("band").agg(F.count("*").alias("of"), F.sum("k").alias("n"), F.max(F.struct("k", "component")).alias("main"), F.bit_xor("s").alias("s"), F.bit_xor("t").alias("t")).filter("of > 1")
+    sides = sides.groupBy("n", "s", "t").agg(F.min(F.struct("band", "main")).alias("one")).select("n", "one.band", "one.main")  # bands of the same nodes ask the same
     blocks = lambda n: F.ceil(n / per_block).cast("int")
     sides = sides.select("band", F.col("main.component").alias("main"), blocks(F.col("n")).alias("n_all"), blocks(F.col("n") - F.col("main.k")).alias("n_asks"))
     mixed = checkpointed(own.join(sides, "band"))

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from .session import checkpointed, parts
-from .textvec import HashTable, byte_level_starts, code_points, span_hashes, utf8_chunks
+from .textvec import HashTable, byte_level_starts, code_points, span_hashes, trimmed, utf8_chunks
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # one thread for each task
 
@@ -115,7 +115,7 @@ def _cutting(path: str, end_id: int, size: int) -> Callable[[Iterator[pa.RecordB
 
 def tokenized_pieces(docs: DataFrame, path: str, end_id: int = 2, size: int = 1024) -> DataFrame:
     """Pieces of every document: its ids and the end id, cut every ``size`` tokens; a null or empty text is the end id alone."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_cutting(path, end_id, size), PIECES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(trimmed(_cutting(path, end_id, size)), PIECES)
 
 
 def lower_bound(lengths: np.ndarray, size: int) -> int:

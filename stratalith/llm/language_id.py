@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .textvec import classes, code_points, utf8_chunks
+from .textvec import classes, code_points, trimmed, utf8_chunks
 
 WIDTH = 4096
 UNKNOWN = "und"
@@ -122,7 +122,7 @@ def _counting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(train: DataFrame, sample: int = 4000, per_language: int = 4) -> Centroids | None:
     """Learns from the columns text and lang. The centroids' sample has at most ``sample`` documents, those of the smallest hashes."""
     train = train.filter(F.col("lang").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), F.xxhash64("doc_id").alias("hash"))
-    counted = train.select("text").mapInArrow(_frequency, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()
+    counted = train.select("text").mapInArrow(trimmed(_frequency), "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()
     frequency = np.zeros(WIDTH + 1, np.int64)
     for r in counted:
         frequency[r["gram"]] = r["n"]
@@ -130,7 +130,7 @@ def fit(train: DataFrame, sample: int = 4000, per_language: int = 4) -> Centroid
         return None
     idf = (np.log((1 + frequency[WIDTH]) / (1 + frequency[:WIDTH])) + 1).astype(np.float32)
     edge = [r["hash"] for r in train.select("hash").orderBy("hash").limit(sample).collect()][-1]
-    rows = train.filter(F.col("hash") <= edge).select("doc_id", "lang", "text").limit(2 * sample).mapInArrow(_counting, "doc_id long, lang string, counts binary").collect()
+    rows = train.filter(F.col("hash") <= edge).select("doc_id", "lang", "text").limit(2 * sample).mapInArrow(trimmed(_counting), "doc_id long, lang string, counts binary").collect()
     rows.sort(key=lambda r: (r["lang"], r["doc_id"] is None, r["doc_id"] or 0))
     names = sorted({r["lang"] for r in rows})
     centres, language, reach = [], [], []
@@ -186,7 +186,7 @@ def identify(docs: DataFrame, sample: int = 4000, per_language: int = 4) -> Data
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
     model = fit(docs.filter(~held), sample, per_language)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_predicting(model), "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean")
+    return rows.mapInArrow(trimmed(_predicting(model)), "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean")
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .textvec import span_hashes, utf8_chunks, word_spans
+from .textvec import span_hashes, trimmed, utf8_chunks, word_spans
 
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
@@ -94,7 +94,7 @@ def _frequency(templates: list[tuple[str, str]]) -> Callable[[Iterator[pa.Record
 
 def document_frequency(docs: DataFrame, templates: list[tuple[str, str]]) -> dict[str, int]:
     """In how many documents each template word stands; its size is that of the templates' vocabulary."""
-    counted = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_frequency(templates), "word string, n long")
+    counted = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(trimmed(_frequency(templates)), "word string, n long")
     return {r["word"]: r["n"] for r in counted.groupBy("word").agg(F.sum("n").alias("n")).collect()}
 
 
@@ -211,7 +211,7 @@ def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES,
     """
     frequency = document_frequency(docs, templates)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-        _scanning(templates, frequency, least, phrases), "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
+        trimmed(_scanning(templates, frequency, least, phrases)), "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
     )
 
 

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .components import components, forest
 from .session import checkpointed
-from .textvec import U64, mix64, span_hashes, utf8_chunks, word_spans
+from .textvec import U64, mix64, span_hashes, trimmed, utf8_chunks, word_spans
 
 REGISTERS, BAND = 252, 6
 _GOLDEN, _SIDE = U64(0x9E3779B97F4A7C15), U64(0xD1B54A32D192ED03)
@@ -210,14 +210,14 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, per_block: int = 2048)
     their own; rows that share a doc_id are one document; a null doc_id has a null
     class and is kept. ``per_block`` bounds the nodes of a band that meet in a task.
     """
-    signed = checkpointed(_texts(docs).mapInArrow(_signing, "doc_id long, left long, right long, bands array<long>"))
+    signed = checkpointed(_texts(docs).mapInArrow(trimmed(_signing), "doc_id long, left long, right long, bands array<long>"))
     equal = signed.filter("left IS NOT NULL").groupBy("left", "right").agg(F.min("doc_id").alias("node"))
     member = checkpointed(signed.select("doc_id", "left", "right").join(equal, ["left", "right"]).select("doc_id", "node"))
     nodes = signed.join(equal, (signed["left"] == equal["left"]) & (signed["right"] == equal["right"]) & (signed["doc_id"] == equal["node"]), "left_semi").select("doc_id", F.explode("bands").alias("band"))
     met = nodes.groupBy("band").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most")
     placed = checkpointed(nodes.join(met.select("band", "least"), "band").select("band", F.col("doc_id").alias("id"), "least"))
     wanted = placed.select(F.col("id").alias("doc_id")).distinct()
-    bags = checkpointed(_texts(docs).join(wanted, "doc_id", "left_semi").mapInArrow(_bags, "id long, bag array<int>"))
+    bags = checkpointed(_texts(docs).join(wanted, "doc_id", "left_semi").mapInArrow(trimmed(_bags), "id long, bag array<int>"))
     links = checkpointed(verified(placed.filter("id > least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct(), bags, least))
     links = checkpointed(links.unionByName(cross_links(placed, components(links), bags, least, per_block)))
     same = member.filter("doc_id > node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))

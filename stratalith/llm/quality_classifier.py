@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .textvec import mix64, span_hashes, utf8_chunks, word_spans
+from .textvec import mix64, span_hashes, trimmed, utf8_chunks, word_spans
 
 HASHED = 64
 TEXT_WIDTH = 22 + HASHED
@@ -233,7 +233,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 4000, pool: int = 40
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id IS NOT NULL")
     ids = {r["doc_id"]: -1 for r in own.select("doc_id", F.xxhash64("doc_id", F.lit(1)).alias("h")).orderBy("h", "doc_id").limit(pool).collect()}
     wanted = spark.createDataFrame([(i,) for i in sorted(chosen.keys() | ids.keys())], "doc_id long")
-    rows = _columns(docs).join(F.broadcast(wanted), "doc_id", "left_semi").limit(2 * (sample + pool)).mapInArrow(_sampled, "doc_id long, text binary, meta binary").collect()
+    rows = _columns(docs).join(F.broadcast(wanted), "doc_id", "left_semi").limit(2 * (sample + pool)).mapInArrow(trimmed(_sampled), "doc_id long, text binary, meta binary").collect()
     rows.sort(key=lambda r: (r["doc_id"], r["text"]))
     if not rows:
         return None
@@ -248,7 +248,7 @@ def classify(docs: DataFrame, labels: DataFrame, least: float = 0.5, sample: int
     empty; where the labels hold less than two classes, all documents score 1.
     """
     model = train(docs, labels, sample, pool, rounds)
-    return _columns(docs).mapInArrow(_scoring(model, least), "doc_id long, score double, text_score double, meta_score double, kept boolean")
+    return _columns(docs).mapInArrow(trimmed(_scoring(model, least)), "doc_id long, score double, text_score double, meta_score double, kept boolean")
 
 
 def _filtering(model: Model | None, least: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -266,7 +266,7 @@ def _filtering(model: Model | None, least: float) -> Callable[[Iterator[pa.Recor
 def kept_documents(docs: DataFrame, labels: DataFrame, least: float = 0.5, **options: int) -> DataFrame:
     """The rows of docs that the classifier keeps, with all their columns."""
     model = train(docs, labels, **options)
-    return docs.mapInArrow(_filtering(model, least), docs.schema)
+    return docs.mapInArrow(trimmed(_filtering(model, least)), docs.schema)
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

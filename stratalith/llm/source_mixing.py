@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .session import checkpointed, parts
-from .textvec import utf8_chunks
+from .textvec import trimmed, utf8_chunks
 
 WEIGHTS = (5.0, 2.0, 1.0)
 _GAP = np.zeros(256, bool)
@@ -44,7 +44,7 @@ def _sizing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def document_sizes(docs: DataFrame) -> DataFrame:
     """doc_id, source and size, the runs of bytes other than ASCII white space; 0 for null."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text")).mapInArrow(_sizing, "doc_id long, source string, size long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text")).mapInArrow(trimmed(_sizing), "doc_id long, source string, size long")
 
 
 def mix_targets(sizes: dict[str | None, int], share: float = 1.5, most: float = 2.0) -> dict[str | None, float]:

@@ -20,7 +20,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .textvec import U64, mix64, span_hashes, utf8_chunks
+from .textvec import U64, mix64, span_hashes, trimmed, utf8_chunks
 
 GEAR = (mix64(np.arange(1, 257, dtype=U64)) >> U64(32)).astype(np.uint32)
 _BITS = np.uint32(0xFFFF)
@@ -168,7 +168,7 @@ def _removing(least: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
 
 def repeated_chunks(docs: DataFrame) -> DataFrame:
     """For each document with a chunk that stands elsewhere too: the digests kept elsewhere, and those that it keeps."""
-    chunks = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id IS NOT NULL").mapInArrow(_chunking, "doc_id long, digest long")
+    chunks = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id IS NOT NULL").mapInArrow(trimmed(_chunking), "doc_id long, digest long")
     shared = chunks.groupBy("digest").agg(F.min("doc_id").alias("keeper"), F.count("*").alias("n")).filter("n > 1").select("digest", "keeper")
     found = chunks.join(shared, "digest").select("doc_id", "digest", (F.col("doc_id") == F.col("keeper")).alias("own")).distinct()
     return found.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(F.when(~F.col("own"), F.col("digest"))).alias("_elsewhere"), F.collect_list(F.when(F.col("own"), F.col("digest"))).alias("_own"))
@@ -185,7 +185,7 @@ def without_repeats(docs: DataFrame, least: int = 20) -> DataFrame:
     rows = docs.select(*rest, F.col("text").cast("string").alias("_text"), F.col("doc_id").cast("long").alias("_key"))
     joined = rows.join(repeated_chunks(docs), F.col("_key") == F.col("_id"), "left").select(*rest, "_text", "_elsewhere", "_own")
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema.fields if f.name in rest)
-    out = joined.mapInArrow(_removing(least), f"{kinds}, _kept string, _lost long, _removed array<struct<from:long,until:long>>")
+    out = joined.mapInArrow(trimmed(_removing(least)), f"{kinds}, _kept string, _lost long, _removed array<struct<from:long,until:long>>")
     return out.select(*[F.col("_kept").alias("text") if c == "text" else c for c in docs.columns], "_lost", "_removed")
 
 

@@ -8,9 +8,10 @@ hashed together with one prefix sum instead of a Python call for each.
 
 from __future__ import annotations
 
+import ctypes
 import functools
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +22,25 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _GOLDEN = U64(0x9E3779B97F4A7C15)
 
 
+Batches = Iterator[pa.RecordBatch]
+
+
+def trimmed(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+    """run, after which the worker gives freed memory back: workers outlive their tasks."""
+
+    def wrapped(batches: Batches) -> Batches:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):  # another C library
+                pass
+
+    return wrapped
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """Finaliser of splitmix64, element by element."""
     x = x.astype(U64, copy=True)
@@ -50,7 +70,7 @@ def utf8_chunks(column: pa.Array, target: int = 1 << 20) -> Iterator[tuple[int,
         i = j
 
 
-@functools.lru_cache(maxsize=4)
+@functools.lru_cache(maxsize=1)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     inverse = pow(_BASE, -1, 1 << 64)
     with np.errstate(over="ignore"):
@@ -60,7 +80,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 def span_hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of codes[s:e] for every span: polynomial over mixed codes, then finalised with the length."""
     n = len(codes)
-    size = 1 << max(16, (n + 1).bit_length())
+    size = 1 << max(21, (n + 1).bit_length())
     power, inverse = _powers(size)
     with np.errstate(over="ignore"):
         total = np.zeros(n + 1, U64)
@@ -172,7 +192,7 @@ def word_level_spans(cp: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np
 class HashTable:
     """64-bit keys to row numbers of a growing store; emptied when full, so that memory has a bound."""
 
-    def __init__(self, most: int = 2_000_000):
+    def __init__(self, most: int = 400_000):
         self.most, self.keys, self.rows, self.size = most, np.zeros(0, U64), np.zeros(0, np.int64), 0
 
     def find(self, keys: np.ndarray) -> np.ndarray:

@@ -22,7 +22,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .textvec import HashTable, code_points, span_hashes, utf8_chunks, word_level_spans
+from .textvec import HashTable, code_points, span_hashes, trimmed, utf8_chunks, word_level_spans
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -163,7 +163,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 2048) -> DataFrame:
     strings inside a text are one token each. Memory: a chunk of 1 MB, or one
     longer text, and a cache of distinct pre-tokens with a bound.
     """
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_counting(path, limit), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(trimmed(_counting(path, limit)), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -80,8 +80,7 @@ def signature_hash(c: Column) -> Column:
 def tokenize(c: Column, min_length: int = 2) -> Column:
     """Lower-case words of ASCII word characters, longer than ``min_length`` and no stop words."""
     words = F.split(_replaced(F.lower(c), (r"[^\w\s]", " ")), r"\s+")
-    stop = F.array(*[F.lit(w) for w in STOP_WORDS])
-    return F.filter(words, lambda w: (F.length(w) > min_length) & ~F.array_contains(stop, w))
+    return F.filter(words, lambda w: (F.length(w) > min_length) & ~w.isin(STOP_WORDS))
 
 
 def utf16_length(c: Column) -> Column:

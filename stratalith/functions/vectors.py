@@ -14,9 +14,9 @@ def norm(a: Column) -> Column:
     return F.sqrt(dot(a, a))
 
 
-def cosine(a: Column, b: Column) -> Column:
-    """Cosine similarity, 0 where a norm is 0."""
-    n = norm(a) * norm(b)
+def cosine(a: Column, b: Column, norms: Column | None = None) -> Column:
+    """Cosine similarity, 0 where a norm is 0; ``norms`` is the norms' product where it is known already."""
+    n = norm(a) * norm(b) if norms is None else norms
     return F.when(n == 0, F.lit(0.0)).otherwise(dot(a, b) / n)
 
 

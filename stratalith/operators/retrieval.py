@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokenize
-from ..functions.vectors import cosine, hybrid_score
+from ..functions.vectors import cosine, hybrid_score, norm
 
 K1, B = 1.2, 0.75
 
@@ -23,25 +23,28 @@ def top_k(rows: DataFrame, k: int, by: str, score: str, tie: str) -> DataFrame:
 
 
 def postings(docs: DataFrame) -> DataFrame:
-    """(id, length, term, tf) of docs (id, text)."""
-    tokens = docs.select("id", tokenize(F.col("text")).alias("tokens"))
-    terms = tokens.select("id", F.size("tokens").alias("length"), F.explode("tokens").alias("term"))
-    return terms.groupBy("id", "length", "term").agg(F.count("*").alias("tf"))
+    """(id, term, tf) of docs (id, text): one explode and one shuffle."""
+    return docs.select("id", F.explode(tokenize(F.col("text"))).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
 
 
 def bm25_index(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(one row: doc_count, avg_length; terms: term, df)."""
-    sizes = docs.agg(F.count("*").alias("doc_count"), F.avg(F.size(tokenize(F.col("text")))).alias("avg_length"))
+    sizes = docs.agg(F.count("*").alias("doc_count"), F.avg(F.coalesce(F.size(tokenize(F.col("text"))), F.lit(0))).alias("avg_length"))
     return sizes, postings(docs).groupBy("term").agg(F.count("*").alias("df"))
 
 
 def bm25_scores(queries: DataFrame, docs: DataFrame) -> DataFrame:
-    """(qid, id, bm25) of queries (qid, text) against docs (id, text) that share a term; repeated query terms count each."""
+    """(qid, id, bm25) of queries (qid, text) against docs (id, text) that share a term; repeated query terms count each.
+
+    A token goes on only if a query asks for its term, before anything is shuffled.
+    """
     asked = queries.select("qid", F.explode(tokenize(F.col("text"))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qtf"))
-    sizes, df = bm25_index(docs)
     wanted = asked.select("term").distinct()
-    hits = postings(docs).join(wanted, "term", "left_semi")
-    weighed = hits.join(df.join(wanted, "term", "left_semi"), "term").crossJoin(sizes)  # one row of totals
+    tokens = docs.select("id", tokenize(F.col("text")).alias("tokens")).select("id", F.greatest(F.size("tokens"), F.lit(0)).alias("length"), "tokens")
+    sizes = tokens.agg(F.count("*").alias("doc_count"), F.avg("length").alias("avg_length"))
+    hits = tokens.select("id", "length", F.explode("tokens").alias("term")).join(wanted, "term", "left_semi").groupBy("term", "id", "length").agg(F.count("*").alias("tf"))
+    df = hits.groupBy("term").agg(F.count("*").alias("df"))  # a row for each asked term, so that a frequent one is only counted
+    weighed = hits.join(df, "term").crossJoin(sizes)  # one row of totals
     idf = F.log((F.col("doc_count") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     part = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * (F.col("length") / F.col("avg_length"))))
     scored = weighed.select("id", "term", (idf * part).alias("w"))
@@ -50,8 +53,9 @@ def bm25_scores(queries: DataFrame, docs: DataFrame) -> DataFrame:
 
 def vector_scores(queries: DataFrame, chunks: DataFrame) -> DataFrame:
     """(qid, id, vec) cosine of every query (qid, vec) with every chunk (id, vec): the queries' blocks against all rows."""
-    asked = queries.select("qid", F.col("vec").alias("asked"))
-    return chunks.join(F.broadcast(asked) if _few(asked) else asked).select("qid", "id", cosine(F.col("asked"), F.col("vec")).alias("vec"))
+    asked = queries.select("qid", F.col("vec").alias("asked"), norm(F.col("vec")).alias("n"))
+    rows = chunks.select("id", "vec", norm(F.col("vec")).alias("m"))  # a norm for each row, not for each pair
+    return rows.join(F.broadcast(asked) if _few(asked) else asked).select("qid", "id", cosine(F.col("asked"), F.col("vec"), F.col("n") * F.col("m")).alias("vec"))
 
 
 def _few(queries: DataFrame, most: int = 10_000) -> bool:

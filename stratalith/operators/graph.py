@@ -7,11 +7,10 @@ frontier is empty. Only counts come to the driver.
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..checkpoints import checkpointed
 from ..functions import text
 from ..functions.scoring import impact_level, importance_score
 
@@ -35,14 +34,6 @@ IMPORT_PATTERNS = {
 ENTRY_POINT = r"^(index\.[tj]sx?|main\.[tj]sx?|app\.[tj]sx?|server\.[tj]sx?|cli\.[tj]sx?|extension\.[tj]sx?|__main__\.py|main\.py|main\.rs|lib\.rs|main\.go)$"
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Rows in the shared checkpoint folder; only where none is named, in a temporary one."""
-    context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint(eager=True)
-
-
 def is_entry_point(path: Column) -> Column:
     return text.last_segment(path).rlike(ENTRY_POINT)
 

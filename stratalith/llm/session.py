@@ -1,32 +1,12 @@
-"""Session helpers: where to checkpoint, and how many partitions rows need."""
+"""How many partitions rows need; checkpoints are the engine's."""
 
 from __future__ import annotations
 
 import math
-import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from ..checkpoints import checkpointed, ensure_checkpoint_dir
 
-
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; only where it is unset (tests), a local temporary one."""
-    context = spark.sparkContext
-    folder = context._jsc.sc().getCheckpointDir()
-    if folder.isDefined():
-        return folder.get()
-    named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-    if not named:
-        if not context.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir is not set: executors need a shared folder")
-        named = tempfile.mkdtemp(prefix="checkpoint-")
-    context.setCheckpointDir(named)
-    return named
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Rows written to the shared checkpoint folder, with the lineage cut; a lost executor loses none of them."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+__all__ = ["checkpointed", "ensure_checkpoint_dir", "parts"]
 
 
 def parts(rows: int, each: int) -> int:

@@ -3,7 +3,7 @@
 A text is a normalised TF-IDF vector of hashed byte n-grams (one to three, words
 folded and set apart by one space). Inverse document frequencies come from all
 training documents; several spherical k-means centroids of each language from a
-bounded sample. A text gets the language of the centroid with the largest
+bounded sample of its own. A text gets the language of the centroid with the largest
 cosine; one that is farther than that centroid's training documents are is
 marked as rejected.
 """
@@ -15,7 +15,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .textvec import classes, code_points, trimmed, utf8_chunks
@@ -119,8 +119,36 @@ def _counting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([own.column("doc_id"), own.column("lang"), pa.array([r.tobytes() for r in counts], pa.binary())], ["doc_id", "lang", "counts"])
 
 
+def _clustering(idf: np.ndarray, per_language: int) -> Callable[[pa.Table], pa.Table]:
+    def run(rows: pa.Table) -> pa.Table:
+        pairs = sorted(zip(rows.column("doc_id").to_pylist(), rows.column("counts").to_pylist(), strict=True), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+        x = unit(np.frombuffer(b"".join(c for _, c in pairs), "<u2").reshape(len(pairs), WIDTH).astype(np.float32), idf)
+        x = x[x.any(axis=1)]
+        c, far = spherical_kmeans(x, per_language) if len(x) else (np.zeros((0, WIDTH), np.float32), np.zeros(0))
+        name = pa.array(rows.column("lang").to_pylist()[: len(c)], pa.string())
+        return pa.table([name, pa.array(np.arange(len(c), dtype=np.int32)), pa.array([r.astype("<f4").tobytes() for r in c], pa.binary()), pa.array(far, pa.float64())], ["lang", "k", "row", "reach"])
+
+    return run
+
+
+def _sample(train: DataFrame, sample: int) -> DataFrame:
+    """At most ``sample`` rows of each language: those of the smallest hashes.
+
+    Counts of the hashes' upper 16 bits find where each language's sample ends, so
+    that only texts up to there are moved and a hot language is no hot task; one
+    row for each language comes to the driver.
+    """
+    counts = train.groupBy("lang", F.shiftright("hash", 48).alias("slot")).agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("lang").orderBy("slot")) - F.col("n")
+    edges = counts.withColumn("before", before).filter(F.col("before") < sample).groupBy("lang").agg(F.max("slot").alias("edge")).collect()
+    edge = train.sparkSession.createDataFrame([(r["lang"], r["edge"]) for r in edges], "lang string, edge long")
+    near = train.join(F.broadcast(edge), "lang").filter("shiftright(hash, 48) <= edge").select("doc_id", "lang", "text", "hash", F.xxhash64("text").alias("own"))
+    one = F.row_number().over(Window.partitionBy("lang").orderBy("hash", "own", "text"))
+    return near.withColumn("n", one).filter(F.col("n") <= sample).select("doc_id", "lang", "text")
+
+
 def fit(train: DataFrame, sample: int = 4000, per_language: int = 4) -> Centroids | None:
-    """Learns from the columns text and lang. The centroids' sample has at most ``sample`` documents, those of the smallest hashes."""
+    """Learns from the columns text and lang. Centroids come from at most ``sample`` documents of each language, however rare, those of the smallest hashes."""
     train = train.filter(F.col("lang").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), F.xxhash64("doc_id").alias("hash"))
     counted = train.select("text").mapInArrow(trimmed(_frequency), "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()
     frequency = np.zeros(WIDTH + 1, np.int64)
@@ -129,21 +157,14 @@ def fit(train: DataFrame, sample: int = 4000, per_language: int = 4) -> Centroid
     if not frequency[WIDTH]:
         return None
     idf = (np.log((1 + frequency[WIDTH]) / (1 + frequency[:WIDTH])) + 1).astype(np.float32)
-    edge = [r["hash"] for r in train.select("hash").orderBy("hash").limit(sample).collect()][-1]
-    rows = train.filter(F.col("hash") <= edge).select("doc_id", "lang", "text").limit(2 * sample).mapInArrow(trimmed(_counting), "doc_id long, lang string, counts binary").collect()
-    rows.sort(key=lambda r: (r["lang"], r["doc_id"] is None, r["doc_id"] or 0))
-    names = sorted({r["lang"] for r in rows})
-    centres, language, reach = [], [], []
-    for i, name in enumerate(names):
-        counts = np.stack([np.frombuffer(r["counts"], "<u2") for r in rows if r["lang"] == name]).astype(np.float32)
-        x = unit(counts, idf)
-        x = x[x.any(axis=1)]
-        if len(x):
-            c, far = spherical_kmeans(x, per_language)
-            centres.append(c)
-            reach.append(far)
-            language += [i] * len(c)
-    return Centroids(idf, names, np.array(language), np.concatenate(centres).astype(np.float32), np.concatenate(reach)) if centres else None
+    rows = _sample(train, sample).mapInArrow(trimmed(_counting), "doc_id long, lang string, counts binary")
+    found = rows.groupBy("lang").applyInArrow(_clustering(idf, per_language), "lang string, k int, row binary, reach double").collect()
+    if not found:
+        return None
+    found.sort(key=lambda r: (r["lang"], r["k"]))
+    names = sorted({r["lang"] for r in found})
+    at = {name: i for i, name in enumerate(names)}
+    return Centroids(idf, names, np.array([at[r["lang"]] for r in found]), np.stack([np.frombuffer(r["row"], "<f4") for r in found]), np.array([r["reach"] for r in found]))
 
 
 def has_letter(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:

@@ -7,7 +7,10 @@ depend on content alone and an insertion shifts none but its own. Chunks are
 deduplicated by digest: the document with the smallest id keeps one, at its
 first place. Elsewhere a run of repeated chunks goes if it has at least
 ``least`` words: every passage of over 50 words that two texts share holds such
-a run, while shorter repetitions, such as notices, stay.
+a run, while shorter repetitions, such as notices, stay. Scripts without spaces
+are cut into words of about two characters (Chinese, Japanese) or four (Thai,
+Lao, Burmese, Khmer), other runs over 64 bytes into words of about eight, where
+the hash says so.
 """
 
 from __future__ import annotations
@@ -37,11 +40,28 @@ def gear_hashes(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return h[place]
 
 
+def word_sizes(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """At each byte that starts a character of a script without spaces, about how many of them a word has, less one; else 0."""
+    out = np.zeros(len(data), np.uint32)
+    at = np.flatnonzero(data >= 0xE0)
+    at = at[at + 2 < len(data)]
+    a, b, c = (data[at + k].astype(np.uint32) for k in range(3))
+    code = (a & 15) << 12 | (b & 63) << 6 | c & 63
+    two = (a < 0xF0) & ((code >= 0x3040) & (code < 0x3100) | (code >= 0x3400) & (code < 0xA000) | (code >= 0xF900) & (code < 0xFB00) | (code >= 0xFF66) & (code < 0xFFA0)) | (a == 0xF0) & (b >= 0xA0) & (b < 0xB4)
+    four = (a < 0xF0) & ((code >= 0x0E00) & (code < 0x0F00) | (code >= 0x1000) & (code < 0x10A0) | (code >= 0x1780) & (code < 0x1800))
+    out[at[two]], out[at[four]] = 1, 3
+    size = np.diff(np.append(starts, len(data)))
+    if (size > 64).any():
+        long = np.repeat(size > 64, size)
+        out[long & (out == 0) & ((data & 0xC0) != 0x80)] = 7
+    return out
+
+
 def chunk_starts(data: np.ndarray, offsets: np.ndarray, reach: int = 3, most: int = 64) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(first byte of each chunk, its words, index of each text's first chunk).
 
-    Words are runs of bytes over space, and stretches between hash hits of runs
-    over 64 bytes. A boundary ranks below ``reach`` words before and as low as
+    Words are runs of bytes over space, and stretches between hash hits in runs
+    over 64 bytes and in scripts without spaces. A boundary ranks below ``reach`` words before and as low as
     those after it; stretches without one are cut every ``most`` words.
     """
     n = len(data)
@@ -56,12 +76,9 @@ def chunk_starts(data: np.ndarray, offsets: np.ndarray, reach: int = 3, most: in
     lead = np.zeros(n, bool)
     lead[begin] = ~solid[begin]
     starts = np.flatnonzero(head)
-    size = np.diff(np.append(starts, n))
-    if (size > 64).any():
-        long = np.repeat(size > 64, size)
-        long[1:] &= (h[:-1] & np.uint32(63)) == 0
-        long &= (data & 0xC0) != 0x80
-        head |= long
+    size = word_sizes(data, starts)
+    if size.any():
+        head[1:] |= (size[1:] > 0) & (((h[:-1] >> np.uint32(5)) & size[1:]) == 0)
         starts = np.flatnonzero(head)
     rank = np.full(len(starts), 0xFFFFFFFF, np.uint32)
     inner = starts > 0

@@ -9,6 +9,7 @@ apart, and the calibrated views are combined into one score for every document.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
@@ -21,7 +22,9 @@ from .textvec import mix64, span_hashes, trimmed, utf8_chunks, word_spans
 
 HASHED = 64
 TEXT_WIDTH = 22 + HASHED
-META_WIDTH = 3 + 64
+META_HASHED = 128
+META_PAIRS = 3 + 2 * META_HASHED
+META_WIDTH = META_PAIRS + META_HASHED
 
 
 def _kinds() -> np.ndarray:
@@ -84,14 +87,14 @@ def text_features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def meta_features(source: list, lang: list, n_chars: list) -> np.ndarray:
-    """Hashed source and language, and the declared length; nulls are values of their own."""
+    """The declared length and hashed source, language and both together, each with slots of its own; nulls are values of their own."""
     out = np.zeros((len(source), META_WIDTH), np.float32)
     for i, (s, g, c) in enumerate(zip(source, lang, n_chars, strict=True)):
         length = np.log1p(max(c or 0, 0))
         out[i, :3] = length / 10, (length / 10) ** 2, c is None
         for j, name in enumerate((f"s={s}", f"l={g}", f"s={s},l={g}")):
-            h = int(mix64(np.array([sum(b * 257**k for k, b in enumerate(name.encode()[:7], 1)) + 7919 * len(name) + j], np.uint64))[0])
-            out[i, 3 + h % 64] = 1.0
+            h = int(mix64(np.array([(j + 1 << 32) + zlib.crc32(name.encode())], np.uint64))[0])
+            out[i, 3 + j * META_HASHED + h % META_HASHED] = 1.0
     return out
 
 
@@ -131,9 +134,12 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, turns: int = 25)
     return w[:-1], float(w[-1])
 
 
-def fit_view(x: np.ndarray, y: np.ndarray) -> View:
+def fit_view(x: np.ndarray, y: np.ndarray, pairs: int) -> View:
+    """Columns from ``pairs`` on are held to a larger scale, so that few rows teach little there."""
     mean, scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-3)
-    weight, bias = logistic((x - mean) / scale, y)
+    scale[pairs:] = np.maximum(scale[pairs:], 2.0)
+    varies, weight = np.ptp(x, axis=0) > 0, np.zeros(x.shape[1])
+    weight[varies], bias = logistic(((x - mean) / scale)[:, varies], y)
     return View(mean, scale, weight, bias)
 
 
@@ -165,7 +171,7 @@ def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, rounds: int = 4,
         for v in (0, 1):
             rows = np.concatenate([taught, np.array(sorted(extra[v]), np.int64)])
             target = np.concatenate([y[taught], [extra[v][i] for i in sorted(extra[v])]]).astype(np.float64)
-            models.append(fit_view(views[v][rows], target))
+            models.append(fit_view(views[v][rows], target, (TEXT_WIDTH, META_PAIRS)[v]))
         if turn == rounds or not len(pool):
             break
         for v in (0, 1):

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import count
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..checkpoints import checkpointed
 from ..functions.text import clean_comment, estimate_tokens, hash_id, last_segment, strip
 
 # Patterns of symbols; group 1 export, 2 name, 3 generics, 4 parameters, 5 return type.
@@ -118,15 +120,18 @@ def type_members(raw: Column) -> Column:
     )
 
 
-def parse_types(types: DataFrame, depth: int = 6) -> DataFrame:
-    """(id, path, raw, kind) of all parts of types (id, raw), level by level down to ``depth``."""
+def parse_types(types: DataFrame, depth: int | None = None) -> DataFrame:
+    """(id, path, raw, kind) of all parts of types (id, raw), level by level; raises on parts below ``depth`` levels."""
     level = types.select("id", F.array().cast("array<int>").alias("path"), strip(F.col("raw")).alias("raw"))
     out = None
-    for _ in range(depth):
+    for d in count(1):
         told = level.withColumn("kind", type_kind(F.col("raw")))
         out = told if out is None else out.unionByName(told)
-        level = level.select("id", "path", F.posexplode(type_members(F.col("raw"))).alias("k", "part")).select("id", F.concat("path", F.array("k")).alias("path"), F.col("part").alias("raw"))
-    return out
+        level = checkpointed(level.select("id", "path", F.posexplode(type_members(F.col("raw"))).alias("k", "part")).select("id", F.concat("path", F.array("k")).alias("path"), F.col("part").alias("raw")))
+        if level.isEmpty():
+            return out
+        if depth is not None and d >= depth:
+            raise ValueError(f"parts are left below {depth} levels")
 
 
 # --- chunks ----------------------------------------------------------------------------

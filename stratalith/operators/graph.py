@@ -2,11 +2,14 @@
 
 Fixed depths are unrolled joins. Unbounded ones loop over frontiers that hold only
 new rows; each turn cuts its lineage with a reliable checkpoint and stops when the
-frontier is empty. Only counts come to the driver.
+frontier is empty. Only counts come to the driver. ``most`` bounds the turns where it
+is given: rows that are left then raise.
 """
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -116,16 +119,22 @@ def impact_summary(impact: DataFrame) -> DataFrame:
     return impact.agg(*[n(x) for x in ("critical", "high", "medium", "low", "none")], F.coalesce(F.sum("blast_radius"), F.lit(0)).alias("total_blast"), widest["seed"].alias("widest"))
 
 
-def transitive_closure(edges: DataFrame, seeds: DataFrame, most: int = 1000) -> DataFrame:
+def _within(turn: int, most: int | None) -> None:
+    if most is not None and turn > most:
+        raise ValueError(f"rows are left after {most} turns")
+
+
+def transitive_closure(edges: DataFrame, seeds: DataFrame, most: int | None = None) -> DataFrame:
     """(seed, id, level): everything reachable, at its first level; a seed itself only over a cycle."""
     edges = edges.select("src", "dst").distinct()
     frontier = checkpointed(edges.join(seeds, F.col("src") == F.col("seed")).select("seed", F.col("dst").alias("id")).distinct().withColumn("level", F.lit(1)))
     known = frontier
-    for level in range(2, most + 1):
+    for level in count(2):
         step = frontier.join(edges, F.col("id") == F.col("src")).select("seed", F.col("dst").alias("id")).distinct()
         frontier = checkpointed(step.join(known, ["seed", "id"], "left_anti").withColumn("level", F.lit(level)))
         if frontier.isEmpty():
             break
+        _within(level, most)
         known = _grown(known, frontier, level)
     return known
 
@@ -136,22 +145,23 @@ def _grown(known: DataFrame, frontier: DataFrame, turn: int, each: int = 8) -> D
     return both if turn % each else checkpointed(both)
 
 
-def shortest_paths(edges: DataFrame, pairs: DataFrame, most: int = 1000) -> DataFrame:
+def shortest_paths(edges: DataFrame, pairs: DataFrame, most: int | None = None) -> DataFrame:
     """(start, goal, path) for pairs (start, goal) with a path; of equal ones the smallest predecessors."""
     edges = edges.select("src", "dst").distinct()
     known = checkpointed(pairs.select("start", F.col("start").alias("id"), F.array("start").alias("path")).distinct())
     frontier = known
-    for turn in range(1, most + 1):
+    for turn in count(1):
         step = frontier.join(edges, F.col("id") == F.col("src")).groupBy("start", "dst").agg(F.min("path").alias("path"))
         new = step.select("start", F.col("dst").alias("id"), F.concat("path", F.array("dst")).alias("path"))
         frontier = checkpointed(new.join(known, ["start", "id"], "left_anti"))
         if frontier.isEmpty():
             break
+        _within(turn, most)
         known = _grown(known, frontier, turn)
     return pairs.join(known.withColumnRenamed("id", "goal"), ["start", "goal"])
 
 
-def cycle_members(edges: DataFrame, most: int = 1000) -> DataFrame:
+def cycle_members(edges: DataFrame, most: int | None = None) -> DataFrame:
     """(id, cycle) of every strongly connected component with several members; cycle is its smallest id.
 
     Nodes without a way in or out go first, turn by turn, as they can't be on a
@@ -161,7 +171,7 @@ def cycle_members(edges: DataFrame, most: int = 1000) -> DataFrame:
     """
     left = checkpointed(edges.select("src", "dst").filter("src <> dst").distinct())
     done = None
-    for _ in range(most):
+    for turn in count(1):
         while True:
             n = left.count()
             left = checkpointed(left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi"))
@@ -169,6 +179,7 @@ def cycle_members(edges: DataFrame, most: int = 1000) -> DataFrame:
                 break
         if not n:
             break
+        _within(turn, most)
         found = _colors(left, "src", "dst", most).withColumnRenamed("color", "a").join(_colors(left, "dst", "src", most).withColumnRenamed("color", "b"), "id")
         found = checkpointed(found)
         own = found.filter("a = b").select("id", F.col("a").alias("cycle"))
@@ -182,17 +193,18 @@ def cycle_members(edges: DataFrame, most: int = 1000) -> DataFrame:
     return done.join(done.groupBy("cycle").agg(F.count("*").alias("n")).filter("n > 1"), "cycle", "left_semi").select("id", "cycle")
 
 
-def _colors(edges: DataFrame, start: str, end: str, most: int) -> DataFrame:
+def _colors(edges: DataFrame, start: str, end: str, most: int | None) -> DataFrame:
     """(id, color): the smallest id from which edges lead to each node, itself included."""
     nodes = edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct()
     colors = checkpointed(nodes.withColumn("color", F.col("id")))
-    for _ in range(most):
+    for turn in count(1):
         sent = colors.join(edges, F.col("id") == F.col(start)).groupBy(F.col(end).alias("to")).agg(F.min("color").alias("got"))
         new = checkpointed(colors.join(sent, F.col("id") == F.col("to"), "left").select("id", "color", F.least("color", F.coalesce("got", "color")).alias("now")))
-        changed = new.filter("now < color").isEmpty()
+        settled = new.filter("now < color").isEmpty()
         colors = new.select("id", F.col("now").alias("color"))
-        if changed:
+        if settled:
             break
+        _within(turn, most)
     return colors
 
 
@@ -206,14 +218,16 @@ def has_cycles(edges: DataFrame) -> bool:
     return not cycle_members(edges).isEmpty()
 
 
-def topological_levels(nodes: DataFrame, edges: DataFrame, most: int = 1000) -> DataFrame:
+def topological_levels(nodes: DataFrame, edges: DataFrame, most: int | None = None) -> DataFrame:
     """(id, level): a node's level is its longest way from a node without predecessors; raises on cycles."""
     left, links, out = checkpointed(nodes.select("id").distinct()), checkpointed(edges.select("src", "dst").distinct()), None
-    for level in range(most):
+    for level in count():
         free = checkpointed(left.join(links.select(F.col("dst").alias("id")).distinct(), "id", "left_anti").withColumn("level", F.lit(level)))
-        out = free if out is None else out.unionByName(free)
         if free.isEmpty():
+            out = free if out is None else out
             break
+        _within(level + 1, most)
+        out = free if out is None else _grown(out, free, level)
         left = checkpointed(left.join(free, "id", "left_anti"))
         links = checkpointed(links.join(free.select(F.col("id").alias("src")), "src", "left_anti"))
     if not left.isEmpty():

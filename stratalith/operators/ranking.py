@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..checkpoints import checkpointed
 from ..functions.scoring import completion_relevance
 from ..functions.text import matches_query
 
@@ -55,15 +58,18 @@ def newest(rows: DataFrame, default: str) -> DataFrame:
     return rows.agg(F.coalesce(F.max_by("id", F.struct("created", "id")), F.lit(default)).alias("id"))
 
 
-def flatten_tree(symbols: DataFrame, depth: int = 16) -> DataFrame:
-    """(id, parent_id, depth, path) of a forest (id, parent_id, pos) in pre-order by path; depths are unrolled joins."""
+def flatten_tree(symbols: DataFrame, depth: int | None = None) -> DataFrame:
+    """(id, parent_id, depth, path) of a forest (id, parent_id, pos) in pre-order by path; raises on rows below ``depth``, or where ids repeat in a ring."""
+    most = symbols.count() if depth is None else depth
     level = symbols.filter("parent_id IS NULL").select("id", F.lit(None).cast(symbols.schema["id"].dataType).alias("parent_id"), F.lit(0).alias("depth"), F.array(F.col("pos").cast("long")).alias("path"))
     out = level
-    for d in range(1, depth + 1):
+    for d in count(1):
         up = level.select(F.col("id").alias("parent_id"), F.col("path").alias("up"))
-        level = symbols.join(up, "parent_id").select("id", "parent_id", F.lit(d).alias("depth"), F.concat("up", F.array(F.col("pos").cast("long"))).alias("path"))
+        level = checkpointed(symbols.join(up, "parent_id").select("id", "parent_id", F.lit(d).alias("depth"), F.concat("up", F.array(F.col("pos").cast("long"))).alias("path")))
         if level.isEmpty():
             break
+        if d > most:
+            raise ValueError(f"rows are left below depth {most}")
         out = out.unionByName(level)
     return out.orderBy("path")
 

@@ -69,13 +69,13 @@ def call_edges(spark: SparkSession, sf: str) -> DataFrame:
 CALL_EDGES = "(SELECT s_suppkey AS src, s_suppkey // 4 AS dst FROM supplier WHERE s_suppkey <> s_suppkey // 4)"
 
 
-def symbols(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents as symbols: sources are modules, first lines descriptions."""
+def symbols(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
+    """Documents as symbols: sources are modules, first lines (or whole texts) descriptions."""
     d = table(spark, sf, "documents")
     k = F.col("doc_id") % 4
     kind = F.when(k == 0, "function").when(k == 1, "class").when(k == 2, "interface").otherwise("variable")
     p = lambda name, said: F.struct(F.lit(name).alias("name"), said.alias("description"))
-    first = F.split("text", "\n")[0]
+    first = F.col("text") if whole else F.split("text", "\n")[0]
     return d.select(
         F.col("source").alias("path"),
         F.col("doc_id").cast("string").alias("name"),
@@ -95,6 +95,9 @@ SYMBOLS = """(SELECT source AS path, CAST(doc_id AS VARCHAR) AS name, CASE doc_i
  CASE WHEN doc_id % 2 = 0 THEN 'export' ELSE 'private' END AS modifier, doc_id % 5 = 0 AS has_example, lang, CASE WHEN doc_id % 10 = 0 THEN 'return null;' ELSE 'return 1;' END AS signature, doc_id FROM documents)"""
 
 
+WHOLE_SYMBOLS = SYMBOLS.replace("split_part(text, chr(10), 1)", "text")
+
+
 def freshness_store(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """Current files (all but each third document, each fifth altered) and a store of the even ones."""
     d = table(spark, sf, "documents")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import scoring, text, vectors
 from ..operators import coverage, diff, freshness, graph, lint, metrics, ranking, rendering, retrieval, sequences, trace
 from . import inputs
-from .inputs import CALL_EDGES, CURRENT, CUSTOMER_GRAPH, PARAMS_AFTER, PARAMS_BEFORE, PART_AFTER, PART_BEFORE, STORE, SYMBOLS, table
+from .inputs import CALL_EDGES, CURRENT, CUSTOMER_GRAPH, PARAMS_AFTER, PARAMS_BEFORE, PART_AFTER, PART_BEFORE, STORE, SYMBOLS, WHOLE_SYMBOLS, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -481,6 +481,28 @@ def lint_rules(spark, sf):
     return lint.lint(inputs.symbols(spark, sf), {"placeholder": "off"}).select("path", "name", "rule", "severity")
 
 
+_SAID = "lower(coalesce(description, ''))"
+_HIT = "CASE " + " ".join(f"WHEN regexp_matches(description, '{p}') THEN '{name}'" for name, p in lint.PLACEHOLDERS) + " END"
+
+
+@query(
+    f"""WITH s AS (SELECT * FROM {WHOLE_SYMBOLS}), d AS (SELECT CAST(doc_id AS VARCHAR) AS name FROM documents)
+SELECT path, name, 'missing-description' AS rule, 'error' AS severity, NULL AS hit FROM s WHERE NOT regexp_matches(coalesce(description, ''), '\\S')
+UNION ALL SELECT path, name, 'missing-param-description', 'warning', NULL FROM s
+UNION ALL SELECT path, name, 'missing-param-description', 'warning', NULL FROM s WHERE NOT regexp_matches(coalesce(lang, ''), '\\S')
+UNION ALL SELECT path, name, 'missing-return-description', 'warning', NULL FROM s WHERE kind = 'function' AND return_type = 'string' AND NOT contains({_SAID}, '@return') AND NOT contains({_SAID}, 'returns ')
+UNION ALL SELECT path, name, 'missing-example', 'info', NULL FROM s WHERE modifier = 'export' AND kind IN ('function', 'class', 'interface') AND NOT has_example AND NOT contains({_SAID}, '@example')
+UNION ALL SELECT path, name, 'placeholder', 'warning', {_HIT} FROM s WHERE {_HIT} IS NOT NULL
+UNION ALL SELECT path, name, 'stub', 'warning', NULL FROM s WHERE kind = 'function' AND signature = 'return null;'
+UNION ALL SELECT path, name, 'generic-parameter', 'info', NULL FROM s
+UNION ALL SELECT path, name, 'broken-reference', 'error', NULL FROM s WHERE CAST(doc_id * 2 AS VARCHAR) NOT IN (SELECT name FROM d)"""
+)
+def lint_documents(spark, sf):
+    # all default rules over whole texts; the placeholder that was found stands behind its message's colon
+    hit = F.when(F.col("rule") == "placeholder", F.regexp_extract("message", r": ([a-z-]+)$", 1))
+    return lint.lint(inputs.symbols(spark, sf, whole=True)).select("path", "name", "rule", "severity", hit.alias("hit"))
+
+
 @query("SELECT CAST(conv_id AS VARCHAR) AS path, CAST(turn AS VARCHAR) AS name, CASE WHEN regexp_matches(text, '(?i)\\bTODO\\b') THEN 'todo' WHEN regexp_matches(text, '(?i)\\bTBD\\b') THEN 'tbd' END AS hit, length(text) > 0 AS any_text FROM conversations")
 def placeholder_rules(spark, sf):
     c = table(spark, sf, "conversations")

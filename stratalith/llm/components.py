@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .session import checkpointed, parts
+from .spread import spread_join
 
 
 def forest(a: list[int], b: list[int]) -> dict[int, int]:
@@ -41,18 +42,19 @@ def components(links: DataFrame, per_part: int = 500_000) -> DataFrame:
 
     Parts of about ``per_part`` links shrink to stars on their own first; then
     large-star and small-star rounds alternate until nothing changes, each cut
-    off by a checkpoint. Links of an id with itself and repeated links say nothing.
+    off by a checkpoint. Links of an id with itself and repeated links say nothing;
+    an id with very many links is spread over tasks.
     """
     links = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a > b")
     n = parts(links.count(), per_part)
-    stars = checkpointed(links.withColumn("part", F.pmod(F.xxhash64("b"), F.lit(n))).repartition(n, "part").select("a", "b").mapInPandas(_stars, "a long, b long"))
+    stars = checkpointed(links.withColumn("part", F.pmod(F.xxhash64("a"), F.lit(n))).repartition(n, "part").select("a", "b").mapInPandas(_stars, "a long, b long"))
     told = None
     while n > 1:
         both = stars.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(stars.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").filter("b > m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        large = checkpointed(spread_join(both, least, ["u"], "n", 2 * stars.count()).filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct())
+        low = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        small = spread_join(large, low, ["a"], "n", large.count()).filter("b > m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
         stars = checkpointed(small.distinct())
         now = tuple(stars.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == told:

@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .sampling import hash_limit
 from .textvec import classes, code_points, trimmed, utf8_chunks
 
 WIDTH = 4096
@@ -46,7 +47,7 @@ def ngram_counts(data: np.ndarray, offsets: np.ndarray, width: int = WIDTH) -> n
     keep = folded != 32
     keep[1:] |= folded[:-1] != 32  # one space after a word
     folded, row = folded[keep].astype(np.uint32), row[keep]
-    where, key = [], np.zeros(len(folded), np.uint32)
+    where, key = [np.zeros(0, np.int64)], np.zeros(len(folded), np.uint32)
     for size in (1, 2, 3):
         m = len(folded) - size + 1
         if m <= 0:
@@ -132,24 +133,22 @@ def _clustering(idf: np.ndarray, per_language: int) -> Callable[[pa.Table], pa.T
 
 
 def _sample(train: DataFrame, sample: int) -> DataFrame:
-    """At most ``sample`` rows of each language: those of the smallest hashes.
+    """At most ``sample`` distinct rows of each language: those of the smallest hashes.
 
-    Counts of the hashes' upper 16 bits find where each language's sample ends, so
-    that only texts up to there are moved and a hot language is no hot task; one
-    row for each language comes to the driver.
+    A limit on the hash, set by an estimate of each language's rows, lets about
+    twice as many through, so that few texts are moved and a hot language is no
+    hot task; one row for each language comes to the driver.
     """
-    counts = train.groupBy("lang", F.shiftright("hash", 48).alias("slot")).agg(F.count("*").alias("n"))
-    before = F.sum("n").over(Window.partitionBy("lang").orderBy("slot")) - F.col("n")
-    edges = counts.withColumn("before", before).filter(F.col("before") < sample).groupBy("lang").agg(F.max("slot").alias("edge")).collect()
-    edge = train.sparkSession.createDataFrame([(r["lang"], r["edge"]) for r in edges], "lang string, edge long")
-    near = train.join(F.broadcast(edge), "lang").filter("shiftright(hash, 48) <= edge").select("doc_id", "lang", "text", "hash", F.xxhash64("text").alias("own"))
-    one = F.row_number().over(Window.partitionBy("lang").orderBy("hash", "own", "text"))
+    told = train.groupBy("lang").agg(F.approx_count_distinct("hash", 0.02).alias("n")).collect()
+    limit = train.sparkSession.createDataFrame([(r["lang"], hash_limit(r["n"], sample)) for r in told], "lang string, limit long")
+    near = train.join(F.broadcast(limit), "lang").filter(F.col("hash") <= F.col("limit")).dropDuplicates(["lang", "hash"])
+    one = F.row_number().over(Window.partitionBy("lang").orderBy("hash"))
     return near.withColumn("n", one).filter(F.col("n") <= sample).select("doc_id", "lang", "text")
 
 
 def fit(train: DataFrame, sample: int = 4000, per_language: int = 4) -> Centroids | None:
     """Learns from the columns text and lang. Centroids come from at most ``sample`` documents of each language, however rare, those of the smallest hashes."""
-    train = train.filter(F.col("lang").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), F.xxhash64("doc_id").alias("hash"))
+    train = train.filter(F.col("lang").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), F.xxhash64("doc_id", "text").alias("hash"))
     counted = train.select("text").mapInArrow(trimmed(_frequency), "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()
     frequency = np.zeros(WIDTH + 1, np.int64)
     for r in counted:

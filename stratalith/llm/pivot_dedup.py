@@ -11,6 +11,7 @@ not pairs.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -20,7 +21,8 @@ from pyspark.sql import functions as F
 
 from .components import components, forest
 from .session import checkpointed
-from .vectors import bounded_sample, matrix, valid_vectors
+from .spread import spread_join
+from .vectors import matrix, sample_of, valid_vectors
 
 
 def unit_rows(x: np.ndarray) -> np.ndarray:
@@ -74,42 +76,46 @@ def _linking(least: float, shared: int, n_pivots: int, d: int) -> Callable[[pd.D
     return run
 
 
-def near_vectors(rows: DataFrame, least: float = 0.93, pivots: int = 256, names: int = 10, shared: int = 2, per_block: int = 2048) -> DataFrame:
+def near_vectors(rows: DataFrame, least: float = 0.93, pivots: int = 256, names: int = 10, shared: int = 2, per_block: int = 2048, most_pivots: int = 4096) -> DataFrame:
     """One row for each row: vec_id, n_links, component_id, kept.
 
     Vectors link when their labels are equal and not null and their cosine is at
     least ``least``. Those that are null, zero, hold null or non-finite components
     or have another length than most link with nothing. Rows that repeat a vec_id
-    count as one vector; a null vec_id has a null component, no links and is kept.
-    Pivots are a sample of ``pivots`` vectors; each vector names ``names`` of them.
+    count as one vector, the smallest by label, then components; a null vec_id has a
+    null component, no links and is kept.
+    Pivots are a sample of distinct vectors: ``pivots``, or the square root of the rows if
+    that is more, ``most_pivots`` at most; a vector names ``names`` of them, five more
+    for each fourfold of the pivots.
     """
-    columns = [F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), F.col("label").cast("string").alias("label")]
+    kind = "array<float>" if rows.schema["embedding"].dataType.simpleString() == "array<float>" else "array<double>"
+    columns = [F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kind).alias("embedding"), F.col("label").cast("string").alias("label")]
     sound, d = valid_vectors(rows.select(columns).filter("label IS NOT NULL"))
-    some = bounded_sample(sound, pivots)
+    total = sound.count()
     everyone = rows.select(F.col("vec_id").cast("long").alias("vec_id"))
-    nothing = everyone.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    if not some:
-        return nothing
-    points = unit_rows(np.array([r["embedding"] for r in some], np.float64))
-    names, shared = min(names, len(points)), min(shared, len(points))
+    if not total:
+        return everyone.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+    points = unit_rows(sample_of(sound, min(max(pivots, math.isqrt(total)), most_pivots), d))
+    names = min(names + round(2.5 * max(0.0, math.log2(len(points) / pivots))), len(points))
+    shared = min(shared, len(points))
     zero = F.transform("embedding", lambda x: F.when(x == 0, F.lit(0.0)).otherwise(x))  # -0 is 0
     digest = [F.xxhash64("label", zero, F.lit(s)).alias(n) for s, n in ((1, "h1"), (2, "h2"))]
-    named = sound.select("vec_id", "label", *digest)
-    equal = named.distinct().groupBy("h1", "h2").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies"))
-    member = checkpointed(named.select("vec_id", "h1", "h2").distinct().join(equal, ["h1", "h2"]).select("vec_id", "node", "copies"))
-    nodes = sound.join(member.filter("vec_id = node"), "vec_id").dropDuplicates(["node", "label"]).select("node", "copies", "label", "embedding")
-    described = checkpointed(nodes.mapInPandas(_describing(points, names), "node long, copies long, label string, embedding array<double>, pivots array<int>"))
+    own = sound.groupBy("vec_id").agg(F.min(F.struct("label", "embedding")).alias("v")).select("vec_id", "v.label", "v.embedding").select("*", *digest)
+    equal = checkpointed(own.groupBy("h1", "h2").agg(F.min(F.struct("vec_id", "label", "embedding")).alias("v"), F.count("*").alias("copies")).select("h1", "h2", F.col("v.vec_id").alias("node"), "copies", "v.label", "v.embedding"))
+    member = own.select("vec_id", "h1", "h2")
+    described = checkpointed(equal.select("node", "copies", "label", "embedding").mapInPandas(_describing(points, names), f"node long, copies long, label string, embedding {kind}, pivots array<int>"))
     posted = described.select("*", F.explode("pivots").alias("pivot"))
-    size = posted.groupBy("label", "pivot").agg(F.ceil(F.count("*") / per_block).alias("blocks")).filter("blocks > 0")
+    size = posted.groupBy("label", "pivot").agg(F.ceil(F.count("*") / per_block).alias("blocks"), F.count("*").alias("n"))
     block = F.pmod(F.xxhash64("node"), F.col("blocks"))
-    dealt = posted.join(size, ["label", "pivot"]).withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    dealt = spread_join(posted, checkpointed(size), ["label", "pivot"], "n", described.count() * names).withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     lists = dealt.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
     found = checkpointed(lists.groupBy("label", "pivot", "low", "high").applyInPandas(_linking(least, shared, len(points), d), "a long, b long, n long"))
     part = components(found.filter("b IS NOT NULL").select("a", "b"))
     links = found.filter("b IS NULL").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n"))
-    told = member.join(links, "node", "left").join(part.withColumnRenamed("id", "node"), "node", "left")
-    told = told.groupBy("vec_id").agg(F.sum(F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n"), F.min(F.coalesce("component", "node")).alias("c"))
-    out = everyone.alias("e").join(told.alias("t"), F.col("e.vec_id") == F.col("t.vec_id"), "left").select("e.vec_id", F.coalesce("t.n", F.lit(0)).cast("long").alias("n_links"), F.coalesce("t.c", "e.vec_id").alias("component_id"))
+    told = equal.select("h1", "h2", "node", "copies").join(links, "node", "left").join(part.withColumnRenamed("id", "node"), "node", "left")
+    told = checkpointed(told.select("h1", "h2", F.col("copies").alias("rows"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("component", "node").alias("c")))
+    each = spread_join(member, told, ["h1", "h2"], "rows", total).select("vec_id", "n", "c")
+    out = everyone.alias("e").join(each.alias("t"), F.col("e.vec_id") == F.col("t.vec_id"), "left").select("e.vec_id", F.coalesce("t.n", F.lit(0)).cast("long").alias("n_links"), F.coalesce("t.c", "e.vec_id").alias("component_id"))
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 

@@ -1,10 +1,11 @@
 """Quality classifier by co-training two views of a page.
 
 One classifier sees the text's content only, the other the page's metadata only
-(source, language, declared length). Both learn from the labelled rows of a
-bounded sample; over rounds each gives the unlabelled rows it is surest of to
-the other as pseudo-labels. Both are then calibrated on labelled rows kept
-apart, and the calibrated views are combined into one score for every document.
+(source, language, declared length). Both learn from a bounded sample of labelled
+rows; over rounds each gives the rows it is surest of, among all others of the
+corpus, to the other as pseudo-labels. Both are then calibrated on labelled rows
+kept apart, and the calibrated views are combined into one score for every
+document. Features are computed once and kept in the shared folder.
 """
 
 from __future__ import annotations
@@ -15,9 +16,11 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .sampling import smallest_hashes
+from .session import checkpointed
 from .textvec import mix64, span_hashes, trimmed, utf8_chunks, word_spans
 
 HASHED = 64
@@ -86,15 +89,18 @@ def text_features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
-def meta_features(source: list, lang: list, n_chars: list) -> np.ndarray:
-    """The declared length and hashed source, language and both together, each with slots of its own; nulls are values of their own."""
-    out = np.zeros((len(source), META_WIDTH), np.float32)
-    for i, (s, g, c) in enumerate(zip(source, lang, n_chars, strict=True)):
-        length = np.log1p(max(c or 0, 0))
-        out[i, :3] = length / 10, (length / 10) ** 2, c is None
-        for j, name in enumerate((f"s={s}", f"l={g}", f"s={s},l={g}")):
-            h = int(mix64(np.array([(j + 1 << 32) + zlib.crc32(name.encode())], np.uint64))[0])
-            out[i, 3 + j * META_HASHED + h % META_HASHED] = 1.0
+def meta_slots(source: str | None, lang: str | None) -> tuple[int, ...]:
+    """The slots of the source, the language and both together, each with a range of its own; nulls are values of their own."""
+    said = (f"s={source}", f"l={lang}", f"s={source},l={lang}")
+    return tuple(3 + j * META_HASHED + int(mix64(np.array([(j + 1 << 32) + zlib.crc32(x.encode())], np.uint64))[0]) % META_HASHED for j, x in enumerate(said))
+
+
+def meta_features(packed: np.ndarray) -> np.ndarray:
+    """Rows of the declared length, its square, whether it is null, and the slots, from packed ones (length, null, three slots)."""
+    out = np.zeros((len(packed), META_WIDTH), np.float32)
+    if len(packed):
+        out[:, 0], out[:, 1], out[:, 2] = packed[:, 0] / 10, (packed[:, 0] / 10) ** 2, packed[:, 1]
+        out[np.arange(len(packed))[:, None], packed[:, 2:].astype(np.int64)] = 1.0
     return out
 
 
@@ -153,34 +159,32 @@ class Model(NamedTuple):
         return sigmoid(self.mix[0] * t + self.mix[1] * m + self.mix[2]), sigmoid(t), sigmoid(m)
 
 
-def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, rounds: int = 4, sure: float = 0.97, most: int = 200) -> Model | None:
-    """y: 1, 0, or -1 where there is no label. Rows in turn teach or calibrate. None where the labels hold one class only."""
-    labelled = np.flatnonzero(y >= 0)
-    if len(set(y[labelled].tolist())) < 2:
+Surest = Callable[[list[View], list[set[int]]], list[tuple[int, int, int, np.ndarray, np.ndarray]]]
+
+
+def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, surest: Surest, rounds: int = 4) -> Model | None:
+    """A model of labelled rows (y 1 or 0), which in turn teach or calibrate. None where the labels hold one class only.
+
+    ``surest`` gives, for two views and the keys that each has been taught already,
+    the rows (view, value, key, text, meta) that a view is surest of.
+    """
+    if len(set(y.tolist())) < 2:
         return None
-    apart = labelled[np.arange(len(labelled)) % 4 == 0]
-    taught = labelled[np.arange(len(labelled)) % 4 != 0]
+    every = np.arange(len(y))
+    apart, taught = every[every % 4 == 0], every[every % 4 != 0]
     if len(set(y[taught].tolist())) < 2 or len(set(y[apart].tolist())) < 2:
-        apart = taught = labelled
-    pool = np.flatnonzero(y < 0)
+        apart = taught = every
     views = [text, meta]
-    extra: list[dict[int, int]] = [{}, {}]
-    models: list[View] = []
+    extra: list[dict[int, tuple[int, np.ndarray]]] = [{}, {}]  # of each view, by key: what the other one told it
     for turn in range(rounds + 1):
         models = []
         for v in (0, 1):
-            rows = np.concatenate([taught, np.array(sorted(extra[v]), np.int64)])
-            target = np.concatenate([y[taught], [extra[v][i] for i in sorted(extra[v])]]).astype(np.float64)
-            models.append(fit_view(views[v][rows], target, (TEXT_WIDTH, META_PAIRS)[v]))
-        if turn == rounds or not len(pool):
-            break
-        for v in (0, 1):
-            other = 1 - v
-            p = sigmoid(models[v].margin(views[v][pool]))
-            for value, confidence in ((1, p), (0, 1 - p)):
-                order = np.argsort(-confidence, kind="stable")[:most]
-                for i in order[confidence[order] >= sure].tolist():
-                    extra[other].setdefault(int(pool[i]), value)
+            told = [extra[v][k] for k in sorted(extra[v])]
+            rows = np.concatenate([views[v][taught], *(x[None] for _, x in told)])
+            models.append(fit_view(rows, np.concatenate([y[taught], [c for c, _ in told]]).astype(np.float64), (TEXT_WIDTH, META_PAIRS)[v]))
+        if turn < rounds:
+            for v, value, key, *features in surest(models, [set(extra[1]), set(extra[0])]):
+                extra[1 - v].setdefault(key, (value, features[1 - v]))
     done = []
     for v in (0, 1):
         slope, shift = logistic(models[v].margin(views[v][apart])[:, None], y[apart].astype(np.float64), ridge=1e-2)
@@ -191,88 +195,149 @@ def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, rounds: int = 4,
 
 
 def _features(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Text features, and packed metadata."""
     text = [np.zeros((0, TEXT_WIDTH), np.float32)] + [text_features(d, o) for _, _, d, o in utf8_chunks(batch.column("text"))]
-    names = {}
     rows = list(zip(*(batch.column(c).to_pylist() for c in ("source", "lang")), strict=True))
-    for r in set(rows):
-        names[r] = meta_features([r[0]], [r[1]], [None])[0, 3:]
-    meta = np.zeros((len(rows), META_WIDTH), np.float32)
+    slots = {r: meta_slots(*r) for r in set(rows)}
     chars = batch.column("n_chars").to_pylist()
-    length = np.log1p([max(c or 0, 0) for c in chars])
-    if rows:
-        meta[:, 0], meta[:, 1], meta[:, 2] = length / 10, (length / 10) ** 2, [c is None for c in chars]
-        meta[:, 3:] = np.stack([names[r] for r in rows])
+    meta = np.array([(np.log1p(max(c or 0, 0)), c is None, *slots[r]) for c, r in zip(chars, rows, strict=True)], np.float32).reshape(len(rows), 5)
     return np.concatenate(text), meta
 
 
-def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+FEATURES = "doc_id long, text binary, meta binary"
+
+
+def _featuring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         text, meta = _features(batch)
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array([r.tobytes() for r in x.astype("<f4")], pa.binary()) for x in (text, meta))], ["doc_id", "text", "meta"])
 
 
+def _unpacked(text: list[bytes], meta: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    read = lambda rows, width: np.frombuffer(b"".join(rows), "<f4").reshape(len(rows), width)
+    return read(text, TEXT_WIDTH).astype(np.float64), meta_features(read(meta, 5)).astype(np.float64)
+
+
+def _blocks(batch: pa.RecordBatch, most: int = 2048) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    for lo in range(0, batch.num_rows, most):
+        own = batch.slice(lo, most)
+        yield own, *_unpacked(own.column("text").to_pylist(), own.column("meta").to_pylist())
+
+
 def _scoring(model: Model | None, least: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            text, meta = _features(batch)
-            score, t, m = model.scores(text.astype(np.float64), meta.astype(np.float64)) if model else (np.ones(len(meta)),) * 3
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x) for x in (score, t, m, score >= least))], ["doc_id", "score", "text_score", "meta_score", "kept"])
+            for own, text, meta in _blocks(batch):
+                score, t, m = model.scores(text, meta) if model else (np.ones(len(meta)),) * 3
+                yield pa.RecordBatch.from_arrays([own.column("doc_id"), *(pa.array(x) for x in (score, t, m, score >= least))], ["doc_id", "score", "text_score", "meta_score", "kept"])
+
+    return run
+
+
+def _picking(models: list[View], known: list[set[int]], sure: float, most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The rows of a task that each view is surest of, ``most`` for either value."""
+    least = float(np.log(sure / (1 - sure)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[int, int], dict[int, float]] = {(v, c): {} for v in (0, 1) for c in (0, 1)}
+        for batch in batches:
+            for own, *views in _blocks(batch):
+                keys = own.column("key").to_numpy()
+                for v in (0, 1):
+                    margin = np.round(models[v].margin(views[v]), 6)
+                    for c, said in ((1, margin), (0, -margin)):
+                        best = held[v, c]
+                        best.update((k, m) for k, m in zip(keys[said >= least].tolist(), said[said >= least].tolist(), strict=True) if k not in known[v])
+                        if len(best) > most:
+                            held[v, c] = dict(sorted(best.items(), key=lambda x: (-x[1], x[0]))[:most])
+        rows = [(v, c, k, m) for (v, c), best in held.items() for k, m in best.items()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.int64(), pa.float64()))], ["view", "value", "key", "margin"])
 
     return run
 
 
+def _cast() -> list[Column]:
+    return [F.col(c).cast(k).alias(c) for c, k in (("text", "string"), ("source", "string"), ("lang", "string"), ("n_chars", "long"))]
+
+
 def _columns(docs: DataFrame) -> DataFrame:
-    return docs.select(*(F.col(c).cast(k).alias(c) for c, k in (("doc_id", "long"), ("text", "string"), ("source", "string"), ("lang", "string"), ("n_chars", "long"))))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *_cast())
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = 4000, pool: int = 4000, rounds: int = 4) -> Model | None:
-    """A model from at most ``sample`` labelled and ``pool`` unlabelled documents, those of the smallest hashes of doc_id.
+def featured(docs: DataFrame) -> DataFrame:
+    """doc_id, text and meta features, and a key of all three."""
+    rows = checkpointed(_columns(docs).mapInArrow(trimmed(_featuring), FEATURES))
+    return rows.withColumn("key", F.xxhash64("doc_id", "text", "meta"))
 
-    Labels that contradict each other or are null teach nothing.
+
+def _surest(pool: DataFrame, sure: float, most: int, salts: int = 1024) -> Surest:
+    """The ``most`` rows of the pool that a view is surest of, for either value: the best of a task, of a share of the keys, of all."""
+
+    def run(models: list[View], known: list[set[int]]) -> list[tuple[int, int, int, np.ndarray, np.ndarray]]:
+        found = pool.select("text", "meta", "key").mapInArrow(trimmed(_picking(models, known, sure, most)), "view int, value int, key long, margin double").distinct()
+        best = lambda *by: F.row_number().over(Window.partitionBy("view", "value", *by).orderBy(F.desc("margin"), "key"))
+        some = found.withColumn("salt", F.pmod("key", F.lit(salts))).withColumn("n", best("salt")).filter(F.col("n") <= most)
+        chosen = some.withColumn("n", best()).filter(F.col("n") <= most).select("view", "value", "key").collect()
+        if not chosen:
+            return []
+        wanted = pool.sparkSession.createDataFrame([(k,) for k in sorted({r["key"] for r in chosen})], "key long")
+        rows = pool.join(F.broadcast(wanted), "key").groupBy("key").agg(F.min(F.struct("text", "meta")).alias("x")).collect()
+        told = {r["key"]: _unpacked([bytes(r["x"]["text"])], [bytes(r["x"]["meta"])]) for r in rows}
+        return [(r["view"], r["value"], r["key"], told[r["key"]][0][0], told[r["key"]][1][0]) for r in sorted(chosen)]
+
+    return run
+
+
+def train(features: DataFrame, labels: DataFrame, sample: int = 4000, rounds: int = 4, sure: float = 0.97, most: int = 200) -> Model | None:
+    """A model from at most ``sample`` labelled documents, those of the smallest hashes of doc_id, and pseudo-labels of all others.
+
+    Labels that contradict each other or are null teach nothing. Of rows that share
+    a labelled doc_id one teaches. In a round each view tells the other of at most ``most`` rows
+    of either value, with a probability of ``sure`` at least.
     """
-    spark = docs.sparkSession
+    spark = features.sparkSession
     told = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"), F.max("quality").alias("most")).filter("quality = most AND quality IN (0, 1)")
-    rank = F.xxhash64("doc_id")
-    chosen = {r["doc_id"]: int(r["quality"]) for r in told.select("doc_id", "quality", rank.alias("h")).orderBy("h", "doc_id").limit(sample).collect()}
+    chosen = {r["doc_id"]: int(r["quality"]) for r in smallest_hashes(told.select("doc_id", "quality", F.xxhash64("doc_id").alias("hash")), sample).collect()}
     if not chosen:
         return None
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id IS NOT NULL")
-    ids = {r["doc_id"]: -1 for r in own.select("doc_id", F.xxhash64("doc_id", F.lit(1)).alias("h")).orderBy("h", "doc_id").limit(pool).collect()}
-    wanted = spark.createDataFrame([(i,) for i in sorted(chosen.keys() | ids.keys())], "doc_id long")
-    rows = _columns(docs).join(F.broadcast(wanted), "doc_id", "left_semi").limit(2 * (sample + pool)).mapInArrow(trimmed(_sampled), "doc_id long, text binary, meta binary").collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["text"]))
+    ids = F.broadcast(spark.createDataFrame([(i,) for i in sorted(chosen)], "doc_id long"))
+    rows = features.join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct("text", "meta")).alias("x")).collect()
+    rows.sort(key=lambda r: r["doc_id"])
     if not rows:
         return None
-    text, meta = (np.stack([np.frombuffer(r[c], "<f4") for r in rows]).astype(np.float64) for c in ("text", "meta"))
-    return co_train(text, meta, np.array([chosen.get(r["doc_id"], -1) for r in rows]), rounds)
+    text, meta = _unpacked([bytes(r["x"]["text"]) for r in rows], [bytes(r["x"]["meta"]) for r in rows])
+    pool = features.join(ids, "doc_id", "left_anti")
+    return co_train(text, meta, np.array([chosen[r["doc_id"]] for r in rows]), _surest(pool, sure, most), rounds)
 
 
-def classify(docs: DataFrame, labels: DataFrame, least: float = 0.5, sample: int = 4000, pool: int = 4000, rounds: int = 4) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, least: float = 0.5, **options: float) -> DataFrame:
     """One row for each row of docs: doc_id, score, text_score, meta_score, kept (score >= least).
 
     Nulls in source, lang and n_chars are values of their own, a null text is
     empty; where the labels hold less than two classes, all documents score 1.
     """
-    model = train(docs, labels, sample, pool, rounds)
-    return _columns(docs).mapInArrow(trimmed(_scoring(model, least)), "doc_id long, score double, text_score double, meta_score double, kept boolean")
+    rows = featured(docs)
+    model = train(rows, labels, **options)
+    return rows.select("doc_id", "text", "meta").mapInArrow(trimmed(_scoring(model, least)), "doc_id long, score double, text_score double, meta_score double, kept boolean")
 
 
 def _filtering(model: Model | None, least: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if model is None:
-                yield batch
+            if model is None or not batch.num_rows:
+                yield batch.select(["row"])
                 continue
-            text, meta = _features(batch.select(["text", "source", "lang", "n_chars"]))
-            yield batch.filter(pa.array(model.scores(text.astype(np.float64), meta.astype(np.float64))[0] >= least))
+            text, meta = _features(batch)
+            yield batch.select(["row"]).filter(pa.array(model.scores(text.astype(np.float64), meta_features(meta).astype(np.float64))[0] >= least))
 
     return run
 
 
-def kept_documents(docs: DataFrame, labels: DataFrame, least: float = 0.5, **options: int) -> DataFrame:
+def kept_documents(docs: DataFrame, labels: DataFrame, least: float = 0.5, **options: float) -> DataFrame:
     """The rows of docs that the classifier keeps, with all their columns."""
-    model = train(docs, labels, **options)
-    return docs.mapInArrow(trimmed(_filtering(model, least)), docs.schema)
+    model = train(featured(docs), labels, **options)
+    rows = docs.select(F.struct("*").alias("row"), *_cast())
+    return rows.mapInArrow(trimmed(_filtering(model, least)), f"row {rows.schema['row'].dataType.simpleString()}").select("row.*")
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

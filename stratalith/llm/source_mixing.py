@@ -20,12 +20,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .session import checkpointed, parts
+from .spread import spread_join
 from .textvec import trimmed, utf8_chunks
 
 WEIGHTS = (5.0, 2.0, 1.0)
 _GAP = np.zeros(256, bool)
 _GAP[[0x20, *range(0x09, 0x0E)]] = True
-ROWS = "doc_id long, source string, size long, copies long, chance double"
+ROWS = "doc_id long, source string, said long, size long, source_size long, target double, copies long, chance double, order long, chunk long, open boolean"
 
 
 def _sizing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -39,32 +40,48 @@ def _sizing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             first[cuts] |= word[cuts]
             upto = np.concatenate([[0], np.cumsum(first, dtype=np.int64)])
             sizes.append(np.diff(upto[offsets]))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("source"), pa.array(np.concatenate(sizes))], ["doc_id", "source", "size"])
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "source", "said")), pa.array(np.concatenate(sizes))], ["doc_id", "source", "said", "size"])
 
 
 def document_sizes(docs: DataFrame) -> DataFrame:
-    """doc_id, source and size, the runs of bytes other than ASCII white space; 0 for null."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text")).mapInArrow(trimmed(_sizing), "doc_id long, source string, size long")
+    """doc_id, source, size, said: the runs of bytes other than ASCII white space, 0 for null, and a hash of the text."""
+    text = F.col("text").cast("string")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.xxhash64(text).alias("said"), text.alias("text"))
+    return rows.mapInArrow(trimmed(_sizing), "doc_id long, source string, said long, size long")
 
 
-def mix_targets(sizes: dict[str | None, int], share: float = 1.5, most: float = 2.0) -> dict[str | None, float]:
-    """Words that each source gives: by weight, at most ``most`` times its size, the excess shared anew.
+def ordered_weights(sources: DataFrame) -> DataFrame:
+    """sources with weight: 5, 2, 1, repeating, in the order of their code points, null last.
 
-    Sources weigh 5, 2, 1, repeating, in the order of their code points, null last.
+    Ranges are numbered on their own; only the count of each range comes to the driver.
     """
-    order = sorted(sizes, key=lambda s: (s is None, s or ""))
-    weight = {s: WEIGHTS[i % len(WEIGHTS)] for i, s in enumerate(order)}
-    left, open_, target = share * sum(sizes.values()), list(order), dict.fromkeys(order, 0.0)
-    while open_:
-        unit = left / sum(weight[s] for s in open_)
-        above = [s for s in open_ if weight[s] * unit > most * sizes[s]]
-        for s in above or open_:
-            target[s] = most * sizes[s] if above else weight[s] * unit
-        if not above:
-            break
-        left -= sum(target[s] for s in above)
-        open_ = [s for s in open_ if s not in set(above)]
-    return target
+    key = [F.col("source").isNull().alias("none"), F.col("source")]
+    dealt = checkpointed(sources.repartitionByRange(*key).withColumn("range", F.spark_partition_id()))
+    before, upto = {}, 0
+    for r in sorted(dealt.groupBy("range").count().collect()):
+        before[r["range"]], upto = upto, upto + r["count"]
+    offset = dealt.sparkSession.createDataFrame(list(before.items()), "range int, before long")
+    place = F.row_number().over(Window.partitionBy("range").orderBy(*key)) - 1
+    told = dealt.join(F.broadcast(offset), "range").withColumn("place", (F.col("before") + place) % len(WEIGHTS))
+    return told.withColumn("weight", F.array(*map(F.lit, WEIGHTS))[F.col("place").cast("int")]).drop("range", "before", "place")
+
+
+def mix_targets(sources: DataFrame, share: float = 1.5, most: float = 2.0) -> DataFrame:
+    """sources (source, source_size, ...) with the words that each gives: by weight, at most ``most`` times its size, the excess shared anew.
+
+    The words for a unit of weight only grow as sources reach their limit, so each
+    turn is one sum over the sources, until the unit stays.
+    """
+    weighed = checkpointed(ordered_weights(sources))
+    full, limit = F.col("weight"), F.lit(most) * F.col("source_size")
+    unit, told = 0.0, None
+    while told != unit:
+        told = unit
+        above = F.col("weight") * F.lit(unit) > limit
+        r = weighed.agg(F.sum("source_size").alias("all"), F.sum(F.when(above, F.col("source_size"))).alias("closed"), F.sum(F.when(~above, full)).alias("open")).first()
+        if r["open"]:
+            unit = max(unit, (share * r["all"] - most * (r["closed"] or 0)) / r["open"])
+    return weighed.withColumn("target", F.least(full * F.lit(unit), limit)).drop("weight")
 
 
 def pivot(size: np.ndarray, chance: np.ndarray, dice: np.random.Generator) -> int:
@@ -89,18 +106,18 @@ def pivot(size: np.ndarray, chance: np.ndarray, dice: np.random.Generator) -> in
     return held
 
 
-def _rounding(rate: dict[str | None, float], level: int, last: bool, seed: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+def _rounding(level: int, last: bool, seed: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["order", "doc_id", "size"], kind="stable").reset_index(drop=True)
         chunk = int(group["chunk"].iloc[0])
         if level == 0:
-            r = np.array([rate[None if pd.isna(s) else s] for s in group["source"]], np.float64)
+            r = group["target"].to_numpy() / np.maximum(group["source_size"].to_numpy(), 1)
             whole = np.floor(r + 1e-12)
             group["copies"], group["chance"] = whole.astype(np.int64), np.maximum(0.0, r - whole)
         chance = group["chance"].to_numpy(copy=True)
         open_ = np.zeros(len(group), bool)
-        for name, rows in sorted(group.groupby("source", dropna=False, sort=False).indices.items(), key=lambda x: (pd.isna(x[0]), str(x[0]))) if group["source"].notna().any() else [(None, np.arange(len(group)))]:
-            name = "" if pd.isna(name) else f"s{name}"
+        names = group["source"].map(lambda s: "" if s is None or pd.isna(s) else f"s{s}").to_numpy(object)
+        for name, rows in sorted(pd.Series(names).groupby(names, sort=False).indices.items()):
             dice = np.random.default_rng([seed, level, chunk, *name.encode()])
             size, own = group["size"].to_numpy()[rows], chance[rows]
             empty = size == 0
@@ -120,54 +137,52 @@ def _rounding(rate: dict[str | None, float], level: int, last: bool, seed: int)
     return run
 
 
-def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, per_chunk: int = 20_000, fan_in: int = 64, seed: int = 7, max_sources: int = 100_000) -> DataFrame:
-    """One row for each row of docs: doc_id, size, source, source_size, target, copies, taken.
+def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, per_chunk: int = 20_000, fan_in: int = 64, seed: int = 7) -> DataFrame:
+    """One row for each row of docs: doc_id, size, source, source_size, target, copies, taken, said (a hash of the text).
 
     Documents without words take part in nothing but are listed, taken 0. A null
     source is one of its own, last in order. Repeated rows are documents each.
-    The same rows give the same result, whatever their partitions. Sources, not
-    documents, are gathered at the driver, at most ``max_sources``; a chunk holds
-    about ``per_chunk`` documents of any sources, so that a hot one is dealt out.
+    The same rows give the same result, whatever their partitions. A chunk holds
+    about ``per_chunk`` documents of any sources, so that a hot one is dealt out,
+    and the table of sources is joined without gathering it.
     """
     sizes = checkpointed(document_sizes(docs))
-    told = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")).limit(max_sources + 1).collect()
-    if len(told) > max_sources:
-        raise ValueError(f"more than {max_sources} sources")
-    total = {r["source"]: int(r["source_size"]) for r in told}
-    target = mix_targets(total, share, most)
-    rate = {s: target[s] / total[s] if total[s] else 0.0 for s in total}
-    chunks = parts(sum(r["n"] for r in told), per_chunk)
-    schema = f"{ROWS}, order long, chunk long, open boolean"
-    rows = sizes.withColumn("order", F.xxhash64("doc_id", "size", F.lit(seed))).withColumn("chunk", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(chunks))).withColumn("copies", F.lit(0).cast("long")).withColumn("chance", F.lit(0.0))
-    columns = ["doc_id", "source", "size", "copies", "chance", "order", "chunk"]
+    told = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
+    about = checkpointed(mix_targets(told, share, most))
+    total = about.agg(F.sum("n")).first()[0] or 0
+    key = F.coalesce(F.concat(F.lit("s"), "source"), F.lit("")).alias("key")
+    rows = spread_join(sizes.select("*", key), about.select(key, "source_size", "target", "n"), ["key"], "n", total)
+    chunks = parts(total, per_chunk)
+    order, chunk = F.xxhash64("doc_id", "size", F.lit(seed)), F.pmod(F.xxhash64(F.lit(seed), "doc_id", "said"), F.lit(chunks))
+    rows = rows.withColumn("order", order).withColumn("chunk", chunk).withColumn("copies", F.lit(0).cast("long")).withColumn("chance", F.lit(0.0)).withColumn("open", F.lit(True))
+    columns = ["doc_id", "source", "said", "size", "source_size", "target", "copies", "chance", "order", "chunk", "open"]
     placed, level = None, 0
     while True:
         last = chunks == 1
-        done = checkpointed(rows.select(columns).groupBy("chunk").applyInPandas(_rounding(rate, level, last, seed), schema))
+        done = checkpointed(rows.select(columns).groupBy("chunk").applyInPandas(_rounding(level, last, seed), ROWS))
         placed = done.filter(~F.col("open")) if placed is None else placed.unionByName(done.filter(~F.col("open")))
         if last:
             break
         rows = done.filter("open").withColumn("chunk", F.floor(F.col("chunk") / fan_in).cast("long"))
         chunks, level = parts(chunks, fan_in), level + 1
-    about = docs.sparkSession.createDataFrame([(s, total[s], float(target[s])) for s in total] or [], "source string, source_size long, target double")
-    return placed.alias("p").join(about.alias("s"), F.col("p.source").eqNullSafe(F.col("s.source"))).select("p.doc_id", "p.size", "p.source", "s.source_size", "s.target", "p.copies", (F.col("p.copies") * F.col("p.size")).alias("taken"))
+    return placed.select("doc_id", "size", "source", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), "said")
 
 
 def mixed_documents(docs: DataFrame, **options: float) -> DataFrame:
     """The rows of docs, each as often as the mix takes it; a document without words is kept once.
 
-    Rows that repeat a doc_id are told apart by length, then source; a null
+    Rows that repeat a doc_id are told apart by their text, then source; a null
     doc_id is an id like any other.
     """
-    number = lambda df, *order: df.withColumn("_n", F.row_number().over(Window.partitionBy("_id").orderBy(*order)))
-    key = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(-(1 << 63))).alias("_id")
-    copies = F.when(F.col("size") == 0, 1).otherwise(F.col("copies")).cast("int").alias("_copies")
-    told = number(mix(docs, **options).select(key("doc_id"), copies, "size", "source"), "size", "source").select("_id", "_n", "_copies")
-    rows = number(docs.select("*", key("doc_id"), F.coalesce(F.octet_length("text"), F.lit(0)).alias("_bytes")), "_bytes", "source")
-    taken = rows.join(told.filter("_copies > 0"), ["_id", "_n"])
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select(docs.columns)
+    key = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(-(1 << 63))).alias("id")
+    copies = F.when(F.col("size") == 0, 1).otherwise(F.col("copies")).cast("int").alias("copies")
+    number = F.row_number().over(Window.partitionBy("id", "said").orderBy("source")).alias("n")
+    told = mix(docs, **options).select(key("doc_id"), "said", "source", copies).select("id", "said", number, "copies")
+    rows = docs.select(F.struct("*").alias("row"), key("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("said"), F.col("source").cast("string").alias("source")).select("row", "id", "said", number)
+    taken = rows.join(told.filter("copies > 0"), ["id", "said", "n"])
+    return taken.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).select("row.*")
 
 
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, mixed to 150 % of their words."""
-    return mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return mix(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("said")

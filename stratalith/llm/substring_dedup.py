@@ -20,9 +20,11 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .session import checkpointed
+from .spread import spread_join
 from .textvec import U64, mix64, span_hashes, trimmed, utf8_chunks
 
 GEAR = (mix64(np.arange(1, 257, dtype=U64)) >> U64(32)).astype(np.uint32)
@@ -119,11 +121,22 @@ def _digests(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 def _chunking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct digests of each text, and those that stand in it more than once."""
     for batch in batches:
-        for lo, _, data, offsets in utf8_chunks(batch.column("text")):
+        for lo, hi, data, offsets in utf8_chunks(batch.column("text")):
             starts, _, first = chunk_starts(data, offsets)
-            row = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(lo + row)), pa.array(_digests(data, starts))], ["doc_id", "digest"])
+            row, digest = np.repeat(np.arange(hi - lo), np.diff(first)), _digests(data, starts)
+            order = np.lexsort((digest, row))
+            row, digest = row[order], digest[order]
+            new = np.ones(len(row), bool)
+            new[1:] = (row[1:] != row[:-1]) | (digest[1:] != digest[:-1])
+            twice = np.diff(np.append(np.flatnonzero(new), len(row))) > 1
+            row, digest = row[new], digest[new]
+            lists = []
+            for own in (np.ones(len(row), bool), twice):
+                ends = np.concatenate([[0], np.cumsum(np.bincount(row[own], minlength=hi - lo))])
+                lists.append(pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(digest[own])))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), *lists], ["doc_id", "digests", "twice"])
 
 
 def _runs(flag: np.ndarray, doc: np.ndarray, words: np.ndarray, least: int) -> np.ndarray:
@@ -139,13 +152,12 @@ def _runs(flag: np.ndarray, doc: np.ndarray, words: np.ndarray, least: int) -> n
 def _removing(least: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            other = [c for c in batch.schema.names if c not in ("_text", "_elsewhere", "_own")]
-            for lo, hi, data, offsets in utf8_chunks(batch.column("_text")):
+            for lo, hi, data, offsets in utf8_chunks(batch.column("text")):
                 starts, words, first = chunk_starts(data, offsets)
                 digest, n = _digests(data, starts), np.diff(first)
                 doc = np.repeat(np.arange(hi - lo), n)
                 gone = np.zeros(len(starts), bool)
-                lists = [batch.column(c).slice(lo, hi - lo) for c in ("_elsewhere", "_own")]
+                lists = [batch.column(c).slice(lo, hi - lo) for c in ("elsewhere", "own")]
                 for d in np.flatnonzero([x.is_valid or y.is_valid for x, y in zip(*lists, strict=True)]).tolist():
                     a, b = first[d], first[d + 1]
                     away, own = (np.asarray(x[d].values if x[d].is_valid else [], np.int64) for x in lists)
@@ -176,37 +188,53 @@ def _removing(least: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
                     kept.append(b"".join(pieces))
                     removed.append(spans)
                 text = pa.array([x.decode("utf-8", "replace") for x in kept], pa.string())
-                text = pa.compute.if_else(pa.compute.is_null(batch.column("_text").slice(lo, hi - lo)), pa.scalar(None, pa.string()), text)
+                text = pa.compute.if_else(pa.compute.is_null(batch.column("text").slice(lo, hi - lo)), pa.scalar(None, pa.string()), text)
                 kind = pa.list_(pa.struct([("from", pa.int64()), ("until", pa.int64())]))
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(lo, hi - lo) for c in other), text, pa.array(lost), pa.array(removed, kind)], [*other, "_kept", "_lost", "_removed"])
+                yield pa.RecordBatch.from_arrays([batch.column("row").slice(lo, hi - lo), text, pa.array(lost), pa.array(removed, kind)], ["row", "text", "lost", "removed"])
 
     return run
 
 
 def repeated_chunks(docs: DataFrame) -> DataFrame:
     """For each document with a chunk that stands elsewhere too: the digests kept elsewhere, and those that it keeps."""
-    chunks = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id IS NOT NULL").mapInArrow(trimmed(_chunking), "doc_id long, digest long")
-    shared = chunks.groupBy("digest").agg(F.min("doc_id").alias("keeper"), F.count("*").alias("n")).filter("n > 1").select("digest", "keeper")
-    found = chunks.join(shared, "digest").select("doc_id", "digest", (F.col("doc_id") == F.col("keeper")).alias("own")).distinct()
-    return found.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(F.when(~F.col("own"), F.col("digest"))).alias("_elsewhere"), F.collect_list(F.when(F.col("own"), F.col("digest"))).alias("_own"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id IS NOT NULL")
+    chunked = checkpointed(texts.mapInArrow(trimmed(_chunking), "doc_id long, digests array<long>, twice array<long>"))
+    chunks = chunked.select("doc_id", F.explode("digests").alias("digest"))
+    counted = chunks.select("digest", "doc_id").unionByName(chunked.select(F.explode("twice").alias("digest"), "doc_id"))
+    shared = checkpointed(counted.groupBy("digest").agg(F.min("doc_id").alias("keeper"), F.count("*").alias("n")).filter("n > 1"))
+    total = chunked.agg(F.sum(F.size("digests") + F.size("twice"))).first()[0] or 0
+    found = spread_join(chunks, shared, ["digest"], "n", total).select("doc_id", "digest", (F.col("doc_id") == F.col("keeper")).alias("own"))
+    return found.groupBy("doc_id").agg(F.collect_set(F.when(~F.col("own"), F.col("digest"))).alias("elsewhere"), F.collect_set(F.when(F.col("own"), F.col("digest"))).alias("own"))
 
 
 def without_repeats(docs: DataFrame, least: int = 20) -> DataFrame:
-    """The rows of docs, their text without passages kept elsewhere, with _lost (bytes) and _removed (byte spans).
+    """row, text, lost, removed: each row of docs as a struct, its text without passages kept elsewhere, the bytes and byte spans that went.
 
     Null and empty texts stay as they are, as do rows without doc_id; rows that
     share a doc_id are one document, so that what one keeps the others keep. A
     passage that repeats within a document stays at its first place.
     """
-    rest = [c for c in docs.columns if c != "text"]
-    rows = docs.select(*rest, F.col("text").cast("string").alias("_text"), F.col("doc_id").cast("long").alias("_key"))
-    joined = rows.join(repeated_chunks(docs), F.col("_key") == F.col("_id"), "left").select(*rest, "_text", "_elsewhere", "_own")
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema.fields if f.name in rest)
-    out = joined.mapInArrow(trimmed(_removing(least)), f"{kinds}, _kept string, _lost long, _removed array<struct<from:long,until:long>>")
-    return out.select(*[F.col("_kept").alias("text") if c == "text" else c for c in docs.columns], "_lost", "_removed")
+    rows = docs.select(F.struct(*[c for c in docs.columns if c != "text"]).alias("row"), F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("key"))
+    joined = rows.join(repeated_chunks(docs), F.col("key") == F.col("doc_id"), "left").select("row", "text", "elsewhere", "own")
+    kind = f"row {joined.schema['row'].dataType.simpleString()}, text string, lost long, removed array<struct<from:long,until:long>>"
+    return joined.mapInArrow(trimmed(_removing(least)), kind)
+
+
+def repeats_removed(docs: DataFrame, **options: int) -> DataFrame:
+    """The rows of docs with such texts; a document of which nothing is left goes, n_chars follows the text."""
+    kept = without_repeats(docs, **options).filter("lost = 0 OR length(text) > 0")
+    kinds = {f.name: f.dataType for f in docs.schema.fields}
+
+    def column(c: str) -> Column:
+        if c == "text":
+            return F.col("text").cast(kinds[c]).alias(c)
+        own = F.col("row").getField(c)
+        return (F.when(F.col("lost") > 0, F.length("text")).otherwise(own).cast(kinds[c]) if c == "n_chars" else own).alias(c)
+
+    return kept.select(*[column(c) for c in docs.columns])
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the passages that another one keeps."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return without_repeats(docs).select("doc_id", "text", F.col("_lost").alias("n_removed"), F.col("_removed").alias("removed"))
+    return without_repeats(docs).select("row.doc_id", "text", F.col("lost").alias("n_removed"), "removed")

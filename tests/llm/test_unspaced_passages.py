@@ -31,7 +31,7 @@ def test_a_shared_passage_of_300_characters(spark, script, lines):
     texts = [f"{some(200)}{end}{passage}{end}{some(200)}" for _ in range(12)]
     notice = some(20)
     texts += [f"{some(200)}{end}{notice}{end}{some(200)}" for _ in range(4)]
-    got = {r.doc_id: r for r in without_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    got = {r.row.doc_id: r for r in without_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     middle = passage[120:180]
     assert [i for i in range(12) if middle in got[i].text] == [0]
     for i, t in enumerate(texts):

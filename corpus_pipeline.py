@@ -16,11 +16,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stratalith.llm.best_fit_packing import TOKENIZER, pack, tokenized_pieces
-from stratalith.llm.minhash_dedup import near_duplicates
+from stratalith.llm.minhash_dedup import near_duplicates, text_key
 from stratalith.llm.quality_classifier import kept_documents
 from stratalith.llm.session import ensure_checkpoint_dir
 from stratalith.llm.source_mixing import mixed_documents
-from stratalith.llm.substring_dedup import without_repeats
+from stratalith.llm.substring_dedup import repeats_removed
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,17 +29,21 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies stays, the one with the smallest id; rows without id stay."""
-    kept = near_duplicates(docs).filter("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    one = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "source", "lang"))
-    alone = docs.join(kept, "doc_id", "left_semi").withColumn("_n", one).filter("_n = 1").select(docs.columns)
-    return alone.unionByName(docs.filter("doc_id IS NULL"))
+    """One document of each class of near copies stays, that with the smallest id; rows without id stay.
+
+    Of rows that share a doc_id those go whose text is in another's class; of rows
+    that repeat id and text one stays.
+    """
+    kept = near_duplicates(docs).filter("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("id"), "said").distinct()
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), text_key(F.col("text")).alias("said"))
+    one = F.row_number().over(Window.partitionBy("id", "said").orderBy(F.xxhash64("row")))
+    alone = rows.filter("id IS NOT NULL").join(kept, ["id", "said"], "left_semi").withColumn("n", one).filter("n = 1")
+    return alone.select("row.*").unionByName(rows.filter("id IS NULL").select("row.*"))
 
 
 def shared_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages kept in another document go; a document of which nothing is left goes with them."""
-    rest = without_repeats(docs).filter("_lost = 0 OR length(text) > 0")
-    return rest.withColumn("n_chars", F.when(F.col("_lost") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+    return repeats_removed(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from itertools import count
 
@@ -39,10 +40,11 @@ def _symbols(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = []
         for path, content in zip(batch["path"], batch["content"], strict=True):
             content = content or ""
+            feeds = [m.start() for m in re.finditer("\n", content)]
             for kind, pattern in compiled:
                 for m in pattern.finditer(content):
                     said = f"({m[4] or ''}): {(m[5] or '').strip() or 'void'}" if kind == "function" else f"{m[2]}{m[3] or ''}"
-                    rows.append((path, kind, m[2], content.count("\n", 0, m.start()) + 1, said, bool(m[1]), "/**" in content[max(0, m.start() - 200) : m.start()]))
+                    rows.append((path, kind, m[2], bisect_left(feeds, m.start()) + 1, said, bool(m[1]), "/**" in content[max(0, m.start() - 200) : m.start()]))
         yield pd.DataFrame(rows, columns=columns)
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import lookup
+from ..numbering import numbered
 
 # Kinds that count as exported, content types, levels.
 EXPORTABLE = ["class", "interface", "function", "method", "enum", "variable", "constant", "type", "module"]
@@ -88,9 +89,6 @@ def merged_config(base: dict, override: dict | None) -> dict:
 
 def model_options(models: DataFrame, auto: str = "auto") -> DataFrame:
     """(pos, id, label): the automatic choice, then text models, newest first."""
-    from pyspark.sql import Window
-
-    rows = text_chat_models(models).filter(F.col("id") != auto)
-    n = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc("created"), "id"))
+    rows = numbered(text_chat_models(models).filter(F.col("id") != auto), [-F.unix_micros(F.col("created").cast("timestamp")), "id"])
     first = models.sparkSession.createDataFrame([(0, auto, "Automatic")], "pos int, id string, label string")
-    return first.unionByName(rows.select(n.alias("pos"), "id", F.col("name").alias("label")))
+    return first.unionByName(rows.select((F.col("n") + 1).cast("int").alias("pos"), "id", F.col("name").alias("label")))

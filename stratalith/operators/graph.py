@@ -64,11 +64,16 @@ def resolve_imports(imports: DataFrame, files: DataFrame, root: str = "") -> Dat
 
 
 def merge_edges(edges: DataFrame) -> DataFrame:
-    """(src, dst, imports) with the distinct names of parallel edges (src, dst, pos, imports), in order of place."""
-    ordered = F.array_sort(F.collect_list(F.struct("pos", "imports")))
-    names = F.flatten(F.transform(ordered, lambda e: e["imports"]))
-    out = edges.groupBy("src", "dst").agg(F.count("*").alias("n"), names.alias("names"))
-    return out.select("src", "dst", F.when(F.col("n") > 1, F.array_distinct("names")).otherwise(F.col("names")).alias("imports"))
+    """(src, dst, imports) with the distinct names of parallel edges (src, dst, pos, imports), in order of place; one edge keeps its list.
+
+    A name's first place is found before names are gathered, so that a list is as
+    long as the names, not the edges.
+    """
+    first = edges.select("src", "dst", "pos", F.posexplode_outer("imports").alias("at", "name")).groupBy("src", "dst", "name").agg(F.min(F.struct("pos", "at")).alias("first"))
+    names = F.transform(F.array_sort(F.collect_list(F.when(F.col("name").isNotNull(), F.struct("first", "name")))), lambda x: x["name"])
+    lists = first.groupBy("src", "dst").agg(names.alias("names"))
+    alone = edges.groupBy("src", "dst").agg(F.count("*").alias("n"), F.min("imports").alias("own"))
+    return alone.join(lists, ["src", "dst"]).select("src", "dst", F.when(F.col("n") > 1, F.col("names")).otherwise(F.col("own")).alias("imports"))
 
 
 def call_graph(symbols: DataFrame, calls: DataFrame) -> DataFrame:

@@ -11,8 +11,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..checkpoints import checkpointed
 from ..functions.scoring import missing_doc_severity
 from ..functions.vectors import cosine
+from .retrieval import vector_scores
 
 
 def first_docs(docs: DataFrame) -> DataFrame:
@@ -22,9 +24,9 @@ def first_docs(docs: DataFrame) -> DataFrame:
 
 
 def best_match(chunks: DataFrame, others: DataFrame) -> DataFrame:
-    """(id, best): the largest cosine of each chunk with any other."""
-    a, b = chunks.select("id", "vec"), others.select(F.col("vec").alias("other"))
-    return a.join(b).groupBy("id").agg(F.max(cosine(F.col("vec"), F.col("other"))).alias("best"))
+    """(id, best): the largest cosine of each chunk with any other, block by block."""
+    hits = vector_scores(chunks.select(F.col("id").alias("qid"), "vec"), others.select("id", "vec"), k=1)
+    return hits.groupBy(F.col("qid").alias("id")).agg(F.max("vec").alias("best"))
 
 
 def _issue(df: DataFrame, kind: str, severity, confidence: float, message) -> DataFrame:
@@ -76,6 +78,8 @@ def incomplete(code: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def find_incoherence(code: DataFrame, docs: DataFrame, match: float = 0.5, coherence: float = 0.6) -> DataFrame:
+    """All issues; either side is computed once."""
+    code, docs = checkpointed(code), checkpointed(docs)
     return missing(code, docs, match).unionByName(orphaned(code, docs, match)).unionByName(mismatch(code, docs, coherence)).unionByName(incomplete(code, docs))
 
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import escape_markdown, sanitize_id, slugify, strip, truncate
+from ..numbering import numbered
 
 
 def joined(df: DataFrame, by: list[str], line: Column, order: list[str], sep: str = "\n", name: str = "text") -> DataFrame:
@@ -16,8 +17,7 @@ def joined(df: DataFrame, by: list[str], line: Column, order: list[str], sep: st
 
 def dependency_diagram(edges: DataFrame) -> DataFrame:
     """One row: a flow chart of edges (src, dst, pos, in_cycle), circular ones with a style by number."""
-    n = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("pos")) - 1
-    rows = edges.withColumn("n", n)
+    rows = numbered(edges, ["pos"])
     arrow = F.when(F.col("in_cycle"), " -.-> ").otherwise(" --> ")
     line = F.concat(F.lit("    "), sanitize_id(F.col("src")), arrow, sanitize_id(F.col("dst")))
     style = F.when(F.col("in_cycle"), F.concat(F.lit("\n    linkStyle "), F.col("n").cast("string"), F.lit(" stroke:red"))).otherwise("")
@@ -87,8 +87,8 @@ def index_lines(symbols: DataFrame) -> DataFrame:
     """(id, label, line): JSON lines of documents and their symbols (uri, pos, start_line) with running ids."""
     docs = symbols.select("uri").distinct().select("uri", F.lit(-1).alias("pos"), F.lit("document").alias("label"), F.lit(None).cast("int").alias("start"))
     rows = docs.unionByName(symbols.select("uri", "pos", F.lit("range").alias("label"), F.col("start_line").alias("start")))
-    numbered = rows.withColumn("id", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("uri", "pos")))
-    return numbered.select("id", "label", F.to_json(F.struct("id", F.lit("vertex").alias("type"), "label", "uri", "start")).alias("line"))
+    told = numbered(rows, ["uri", "pos"], "id").withColumn("id", (F.col("id") + 1).cast("int"))
+    return told.select("id", "label", F.to_json(F.struct("id", F.lit("vertex").alias("type"), "label", "uri", "start")).alias("line"))
 
 
 def front_matter(stats: DataFrame) -> DataFrame:

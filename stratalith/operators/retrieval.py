@@ -7,11 +7,16 @@ Catalyst turns into a group limit before the shuffle.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..checkpoints import checkpointed
 from ..functions.text import tokenize
-from ..functions.vectors import cosine, hybrid_score, norm
+from ..functions.vectors import hybrid_score
 
 K1, B = 1.2, 0.75
 
@@ -36,48 +41,87 @@ def bm25_index(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 def bm25_scores(queries: DataFrame, docs: DataFrame) -> DataFrame:
     """(qid, id, bm25) of queries (qid, text) against docs (id, text) that share a term; repeated query terms count each.
 
-    A token goes on only if a query asks for its term, before anything is shuffled.
+    One pass over the documents: a token goes on only if a query asks for its term,
+    and an empty one stands for the document itself. Lengths, document frequencies
+    and scores are small aggregates of what is left.
     """
     asked = queries.select("qid", F.explode(tokenize(F.col("text"))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qtf"))
-    wanted = asked.select("term").distinct()
-    tokens = docs.select("id", tokenize(F.col("text")).alias("tokens")).select("id", F.greatest(F.size("tokens"), F.lit(0)).alias("length"), "tokens")
-    sizes = tokens.agg(F.count("*").alias("doc_count"), F.avg("length").alias("avg_length"))
-    hits = tokens.select("id", "length", F.explode("tokens").alias("term")).join(wanted, "term", "left_semi").groupBy("term", "id", "length").agg(F.count("*").alias("tf"))
+    wanted = asked.select("term").union(docs.sparkSession.createDataFrame([("",)], "term string")).distinct()
+    tokens = docs.select("id", F.coalesce(tokenize(F.col("text")), F.array().cast("array<string>")).alias("tokens"))
+    spread = tokens.select("id", F.size("tokens").alias("length"), F.explode(F.concat(F.array(F.lit("")), "tokens")).alias("term"))
+    hits = checkpointed(spread.join(wanted, "term", "left_semi").groupBy("term", "id", "length").agg(F.count("*").alias("tf")))
+    sizes = hits.filter("term = ''").agg(F.count("*").alias("doc_count"), F.avg("length").alias("avg_length"))
     df = hits.groupBy("term").agg(F.count("*").alias("df"))  # a row for each asked term, so that a frequent one is only counted
-    weighed = hits.join(df, "term").crossJoin(sizes)  # one row of totals
+    weighed = hits.filter("term <> ''").join(df, "term").crossJoin(sizes)  # one row of totals
     idf = F.log((F.col("doc_count") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     part = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * (F.col("length") / F.col("avg_length"))))
     scored = weighed.select("id", "term", (idf * part).alias("w"))
     return asked.join(scored, "term").groupBy("qid", "id").agg(F.sum(F.col("qtf") * F.col("w")).alias("bm25"))
 
 
-def vector_scores(queries: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(qid, id, vec) cosine of every query (qid, vec) with every chunk (id, vec): the queries' blocks against all rows."""
-    asked = queries.select("qid", F.col("vec").alias("asked"), norm(F.col("vec")).alias("n"))
-    rows = chunks.select("id", "vec", norm(F.col("vec")).alias("m"))  # a norm for each row, not for each pair
-    return rows.join(F.broadcast(asked) if _few(asked) else asked).select("qid", "id", cosine(F.col("asked"), F.col("vec"), F.col("n") * F.col("m")).alias("vec"))
-
-
-def _few(queries: DataFrame, most: int = 10_000) -> bool:
-    """Whether the queries' count, checked here, allows sending them to all executors."""
-    return queries.limit(most + 1).count() <= most
+def _unit(column: pd.Series) -> np.ndarray:
+    """Vectors over their norms, in double precision; a zero vector stays zero."""
+    x = np.stack(column.to_numpy()).astype(np.float64)
+    n = np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
+    return np.divide(x, n, out=np.zeros_like(x), where=n > 0)
+
+
+def _block_scores(k: int | None, least: float | None, exclude_self: bool) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
+    def run(asked: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        if not len(asked) or not len(rows):
+            return pd.DataFrame({"qid": asked["qid"][:0], "id": rows["id"][:0], "vec": np.zeros(0)})
+        rows = rows.sort_values("id", kind="stable")
+        q, x, qids, ids = _unit(asked["vec"]), _unit(rows["vec"]), asked["qid"].to_numpy(), rows["id"].to_numpy()
+        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for lo in range(0, len(q), 256):
+            score = np.round(q[lo : lo + 256] @ x.T, 14)  # equal vectors tie, whatever their place in the product
+            good = np.ones(score.shape, bool) if least is None else score >= least
+            if exclude_self:
+                good &= qids[lo : lo + 256, None] != ids[None, :]
+            if k is None or k >= len(ids):
+                i, j = np.nonzero(good)
+            else:
+                score = np.where(good, score, -np.inf)
+                order = np.argsort(-score, axis=1, kind="stable")[:, :k]  # ties by the smaller id
+                i, j = np.repeat(np.arange(len(order)), k), order.ravel()
+                i, j = i[score[i, j] > -np.inf], j[score[i, j] > -np.inf]
+            out.append((qids[lo + i], ids[j], score[i, j]))
+        qid, id_, vec = (np.concatenate(c) for c in zip(*out, strict=True))
+        return pd.DataFrame({"qid": qid, "id": id_, "vec": vec})
+
+    return run
+
+
+def vector_scores(queries: DataFrame, chunks: DataFrame, k: int | None = None, least: float | None = None, exclude_self: bool = False, by: str | None = None, per_block: int = 4096) -> DataFrame:
+    """(qid, id, vec) cosine of queries (qid, vec) with chunks (id, vec): every pair, or each block's best ``k`` of a query.
+
+    Blocks of queries meet blocks of chunks of the same length (and the same
+    ``by``), a matrix product each. Null vectors meet nothing; a zero vector has
+    cosine 0 with all.
+    """
+    keys = [F.size("vec").alias("size"), *([F.col(by).alias("by")] if by else [])]
+    names = ["size", *(["by"] if by else []), "x", "y"]
+    asked, rows = queries.filter(F.col("vec").isNotNull()), chunks.filter(F.col("vec").isNotNull())
+    blocks = [max(1, -(-df.count() // per_block)) for df in (asked, rows)]
+    block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    own = lambda *c: [F.col(x).alias(x) for x in c]  # noqa: E731, columns of their own, as both sides may come from one table
+    left = asked.select(*own("qid", "vec"), *keys, block("qid", blocks[0]).alias("x"), each(blocks[1]).alias("y"))
+    right = rows.select(*own("id", "vec"), *keys, each(blocks[0]).alias("x"), block("id", blocks[1]).alias("y"))
+    kinds = f"qid {queries.schema['qid'].dataType.simpleString()}, id {chunks.schema['id'].dataType.simpleString()}, vec double"
+    return left.groupBy(*names).cogroup(right.groupBy(*names)).applyInPandas(_block_scores(k, least, exclude_self), kinds)
 
 
 def knn(queries: DataFrame, chunks: DataFrame, k: int = 10, least: float | None = None, exclude_self: bool = False) -> DataFrame:
     """(qid, rank, id, vec): the nearest chunks by cosine, exactly."""
-    hits = vector_scores(queries, chunks)
-    if exclude_self:
-        hits = hits.filter("qid <> id")
-    if least is not None:
-        hits = hits.filter(F.col("vec") >= least)
-    return top_k(hits, k, "qid", "vec", "id")
+    return top_k(vector_scores(queries, chunks, k, least, exclude_self), k, "qid", "vec", "id")
 
 
 def similar_of_type(chunks: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """(qid, rank, id, vec): nearest chunks of the query's own type; chunks: id, type, vec."""
-    asked = chunks.join(queries.select(F.col("qid").alias("id")), "id", "left_semi").select(F.col("id").alias("qid"), F.col("type").alias("t"), F.col("vec").alias("v"))
-    hits = chunks.join(asked, (F.col("type") == F.col("t")) & (F.col("id") != F.col("qid"))).select("qid", "id", cosine(F.col("v"), F.col("vec")).alias("vec"))
-    return top_k(hits, k, "qid", "vec", "id")
+    asked = chunks.join(queries.select(F.col("qid").alias("id")).distinct(), "id", "left_semi").select(F.col("id").alias("qid"), "type", "vec")
+    typed = chunks.filter(F.col("type").isNotNull())
+    return top_k(vector_scores(asked.filter(F.col("type").isNotNull()), typed, k, exclude_self=True, by="type"), k, "qid", "vec", "id")
 
 
 def hybrid(candidates: DataFrame, queries: DataFrame, texts: DataFrame, alpha: float = 0.7) -> DataFrame:

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.text import language_of
 
@@ -49,10 +53,13 @@ def write_freshness(store: DataFrame, path: str) -> None:
 
 
 class ChunkStore:
-    """Chunks in Parquet, partitioned by (type, level); reads of one collection touch its folder only.
+    """Chunks in Parquet, partitioned by (type, level); reads of one collection touch its folders only.
 
-    Changes stage a new version beside the old one and then name it current, so
-    that a failure between leaves the old one whole.
+    A change writes the folders that it touches anew, under a name of its own, and
+    then a commit: a file that names the folders of every collection, and which
+    can be created once only. Readers follow the last commit, so that they never see
+    half a change, and of two writers that start from the same commit the second
+    fails. Folders that no kept commit names go with ``vacuum``.
     """
 
     def __init__(self, spark: SparkSession, path: str):
@@ -60,48 +67,103 @@ class ChunkStore:
         self.fs_path = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p)
         self.fs = self.fs_path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
 
-    def versions(self) -> list[int]:
-        if not self.fs.exists(self.fs_path(self.path)):
-            return []
-        names = [s.getPath().getName() for s in self.fs.listStatus(self.fs_path(self.path))]
-        return sorted(int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit())
+    def commits(self) -> list[int]:
+        folder = self.fs_path(f"{self.path}/_commits")
+        names = [s.getPath().getName() for s in self.fs.listStatus(folder)] if self.fs.exists(folder) else []
+        return sorted(int(n.removesuffix(".json")) for n in names if n.endswith(".json") and n.removesuffix(".json").isdigit())
+
+    def _state(self, commit: int | None = None) -> tuple[int, str | None, dict[str, list[str]]]:
+        """(number, schema, folders of each collection) of a commit, the last one if none is given."""
+        if commit is None:
+            done = self.commits()
+            if not done:
+                return -1, None, {}
+            commit = done[-1]
+        stream = self.fs.open(self.fs_path(f"{self.path}/_commits/{commit}.json"))
+        try:
+            told = json.loads(bytes(stream.readAllBytes()).decode())
+        finally:
+            stream.close()
+        return commit, told["schema"], told["folders"]
+
+    def _commit(self, number: int, schema: str, folders: dict[str, list[str]]) -> None:
+        """Raises if another writer has made this commit."""
+        stream = self.fs.create(self.fs_path(f"{self.path}/_commits/{number}.json"), False)
+        try:
+            stream.write(bytearray(json.dumps({"schema": schema, "folders": folders}).encode()))
+        finally:
+            stream.close()
+
+    def _written(self, rows: DataFrame) -> dict[str, list[str]]:
+        """Writes rows to new folders; those of each collection."""
+        name = uuid.uuid4().hex
+        rows.withColumn("batch", F.lit(name)).write.mode("append").partitionBy("type", "level", "batch").parquet(self.path)
+        found = self.fs.globStatus(self.fs_path(f"{self.path}/type=*/level=*/batch={name}")) or []
+        paths = [s.getPath().toString().split("/")[-3:] for s in found]
+        return {f"{t}/{level}": [f"{t}/{level}/{b}"] for t, level, b in paths}
+
+    def _rows(self, schema: str, folders: list[str]) -> DataFrame:
+        kind = StructType.fromJson(json.loads(schema))
+        if not folders:
+            return self.spark.createDataFrame([], kind)
+        whole = StructType([*kind.fields, StructField("batch", StringType())])
+        return self.spark.read.schema(whole).option("basePath", self.path).parquet(*[f"{self.path}/{f}" for f in folders]).select(kind.names)
 
     def read(self, type_: str | None = None, level: str | None = None) -> DataFrame | None:
         """All chunks, or those of a collection; null if nothing was ever written."""
-        if not (v := self.versions()):
+        number, schema, folders = self._state()
+        if number < 0:
             return None
-        rows = self.spark.read.parquet(f"{self.path}/v{v[-1]}")
-        rows = rows.filter(F.col("type") == type_) if type_ else rows
-        return rows.filter(F.col("level") == level) if level else rows
-
-    def _replace(self, rows: DataFrame) -> None:
-        v = self.versions()
-        new = f"{self.path}/_staged"
-        rows.write.mode("overwrite").partitionBy("type", "level").parquet(new)
-        self.fs.rename(self.fs_path(new), self.fs_path(f"{self.path}/v{v[-1] + 1 if v else 0}"))
-        for old in v:
-            self.fs.delete(self.fs_path(f"{self.path}/v{old}"), True)
+        wanted = [f for key, own in folders.items() for f in own if (type_ is None or key.startswith(f"type={type_}/")) and (level is None or key.endswith(f"/level={level}"))]
+        return self._rows(schema, wanted)
+
+    def _change(self, gone: DataFrame | None, key: str, rows: DataFrame | None) -> None:
+        """Chunks whose key ``gone`` holds go and rows come, in one commit; collections without such chunks stay as they are."""
+        number, schema, folders = self._state()
+        new: dict[str, list[str]] = {}
+        if number >= 0 and gone is not None:
+            there = self._rows(schema, [f for own in folders.values() for f in own])
+            touched = [f"type={r['type']}/level={r['level']}" for r in there.join(gone.select(key).distinct(), key, "left_semi").select("type", "level").distinct().collect()]
+            rest = self._rows(schema, [f for k in touched for f in folders[k]]).join(gone.select(key).distinct(), key, "left_anti")
+            folders = {k: own for k, own in folders.items() if k not in touched}
+            new = self._written(rest) if touched else {}
+        added = {} if rows is None else self._written(rows if schema is None else rows.select(StructType.fromJson(json.loads(schema)).names))
+        for more in (new, added):
+            for k, own in more.items():
+                folders[k] = [*folders.get(k, []), *own]
+        self._commit(number + 1, schema or rows.schema.json(), folders)
 
     def insert(self, rows: DataFrame) -> None:
-        """Appends to the current version."""
-        if v := self.versions():
-            rows.write.mode("append").partitionBy("type", "level").parquet(f"{self.path}/v{v[-1]}")
-        else:
-            self._replace(rows)
+        """Adds chunks; those there stay, also those of the same id."""
+        self._change(None, "id", rows)
 
     def upsert(self, rows: DataFrame) -> None:
         """rows, and the chunks there whose id they don't hold."""
-        there = self.read()
-        self._replace(rows if there is None else there.join(rows.select("id"), "id", "left_anti").unionByName(rows.select(there.columns)))
+        self._change(rows, "id", rows)
+
+    def replace_paths(self, paths: DataFrame, rows: DataFrame) -> None:
+        """rows in place of all chunks of these paths."""
+        self._change(paths, "path", rows)
 
     def delete(self, by: DataFrame, key: str = "id") -> None:
         """Deletes the chunks whose id or path ``by`` holds."""
-        if (there := self.read()) is not None:
-            self._replace(there.join(by.select(key).distinct(), key, "left_anti"))
+        if self.commits():
+            self._change(by, key, None)
 
     def drop_collection(self, type_: str, level: str) -> None:
-        if v := self.versions():
-            self.fs.delete(self.fs_path(f"{self.path}/v{v[-1]}/type={type_}/level={level}"), True)
+        number, schema, folders = self._state()
+        if number >= 0:
+            self._commit(number + 1, schema, {k: own for k, own in folders.items() if k != f"type={type_}/level={level}"})
+
+    def vacuum(self, keep: int = 2) -> None:
+        """Deletes older commits than the last ``keep``, and folders that none of these names. Not while a writer is at work."""
+        done = self.commits()
+        wanted = {f for n in done[-keep:] for own in self._state(n)[2].values() for f in own}
+        for status in self.fs.globStatus(self.fs_path(f"{self.path}/type=*/level=*/batch=*")) or []:
+            if "/".join(status.getPath().toString().split("/")[-3:]) not in wanted:
+                self.fs.delete(status.getPath(), True)
+        for n in done[:-keep]:
+            self.fs.delete(self.fs_path(f"{self.path}/_commits/{n}.json"), False)
 
     def collections(self) -> DataFrame | None:
         there = self.read()

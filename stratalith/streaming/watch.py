@@ -37,11 +37,7 @@ def incremental_index(events: DataFrame, store, chunk: Callable[[DataFrame], Dat
     """Files (path, content) in a stream become chunks and replace those of their paths; all that is there, then it ends."""
 
     def replace(batch: DataFrame, number: int) -> None:
-        rows = chunk(batch.dropDuplicates(["path"]))
-        there = store.read()
-        if there is not None:
-            rows = rows.unionByName(there.join(batch.select("path").distinct(), "path", "left_anti").select(rows.columns))
-        store._replace(rows)
+        store.replace_paths(batch.select("path").distinct(), chunk(batch.dropDuplicates(["path"])))
 
     return events.writeStream.foreachBatch(replace).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

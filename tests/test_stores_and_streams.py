@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from stratalith.operators import sequences
@@ -51,6 +52,31 @@ def test_chunk_store(spark, tmp_path):
     assert {r.id for r in store.read().collect()} == {"2", "4"}
     store.drop_collection("docs", "symbol")
     assert {r.id for r in store.read().collect()} == {"4"}
+    store.delete(spark.createDataFrame([("4",)], "id string"))
+    assert store.read().collect() == [] and store.collections().collect() == []
+    store.upsert(rows(("5", "a", "v", "code", "file")))
+    assert {r.id for r in store.read("code", "file").collect()} == {"5"} and store.read("docs").collect() == []
+
+
+def test_chunk_store_commits(spark, tmp_path):
+    """A reader keeps its commit, an unfinished change shows nowhere, a second writer fails, untouched collections stay in place."""
+    store = stores.ChunkStore(spark, str(tmp_path / "chunks"))
+    rows = lambda *r: spark.createDataFrame(list(r), "id string, path string, content string, type string, level string")
+    store.insert(rows(("1", "a", "x", "code", "file"), ("2", "b", "y", "docs", "file")))
+    before = store.read()
+    docs = store._state()[2]["type=docs/level=file"]
+    store.upsert(rows(("1", "a", "new", "code", "file")))
+    assert {r.content for r in before.collect()} == {"x", "y"} and {r.content for r in store.read().collect()} == {"new", "y"}
+    assert store._state()[2]["type=docs/level=file"] == docs
+    number = store._state()[0]
+    store._written(rows(("9", "z", "lost", "code", "file")))  # a writer that dies before its commit
+    assert {r.id for r in store.read().collect()} == {"1", "2"}
+    with pytest.raises(Exception, match="(?i)exist"):
+        store._commit(number, "{}", {})
+    assert {r.id for r in store.read().collect()} == {"1", "2"}
+    store.vacuum(1)
+    assert store.commits() == [number] and {r.content for r in store.read().collect()} == {"new", "y"}
+    assert len(list((tmp_path / "chunks").glob("type=*/level=*/batch=*"))) == 2
 
 
 def test_snapshots(spark, tmp_path):

@@ -40,14 +40,15 @@ def _stars(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def components(links: DataFrame, per_part: int = 500_000) -> DataFrame:
     """(id, component) of every id that a link (a, b) joins with another; the component is its smallest id.
 
-    Parts of about ``per_part`` links shrink to stars on their own first; then
+    Parts of about ``per_part`` links shrink to stars on their own first, which are
+    dealt by id, so that no later task has to read a whole part; then
     large-star and small-star rounds alternate until nothing changes, each cut
     off by a checkpoint. Links of an id with itself and repeated links say nothing;
     an id with very many links is spread over tasks.
     """
     links = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a > b")
     n = parts(links.count(), per_part)
-    stars = checkpointed(links.withColumn("part", F.pmod(F.xxhash64("a"), F.lit(n))).repartition(n, "part").select("a", "b").mapInPandas(_stars, "a long, b long"))
+    stars = checkpointed(links.withColumn("part", F.pmod(F.xxhash64("a"), F.lit(n))).repartition(n, "part").select("a", "b").mapInPandas(_stars, "a long, b long").repartition("a"))
     told = None
     while n > 1:
         both = stars.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(stars.select(F.col("b").alias("u"), F.col("a").alias("v")))

@@ -25,6 +25,9 @@ from .spread import spread_join
 from .vectors import matrix, sample_of, valid_vectors
 
 
+FEW_LISTS = 100_000
+
+
 def unit_rows(x: np.ndarray) -> np.ndarray:
     """Rows over their norms; scaled first, so that no square overflows."""
     x = x / np.abs(x).max(axis=1, keepdims=True)
@@ -107,7 +110,10 @@ def near_vectors(rows: DataFrame, least: float = 0.93, pivots: int = 256, names:
     posted = described.select("*", F.explode("pivots").alias("pivot"))
     size = posted.groupBy("label", "pivot").agg(F.ceil(F.count("*") / per_block).alias("blocks"), F.count("*").alias("n"))
     block = F.pmod(F.xxhash64("node"), F.col("blocks"))
-    dealt = spread_join(posted, checkpointed(size), ["label", "pivot"], "n", described.count() * names).withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    size = checkpointed(size)
+    few = size.count() <= FEW_LISTS  # a bounded broadcast, or a join that no long list sends to one task
+    held = posted.join(F.broadcast(size.drop("n")), ["label", "pivot"]) if few else spread_join(posted, size, ["label", "pivot"], "n", described.count() * names)
+    dealt = held.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     lists = dealt.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
     found = checkpointed(lists.groupBy("label", "pivot", "low", "high").applyInPandas(_linking(least, shared, len(points), d), "a long, b long, n long"))
     part = components(found.filter("b IS NOT NULL").select("a", "b"))

@@ -47,6 +47,13 @@ def _replaced(c: Column, *pairs: tuple[str, str]) -> Column:
     return reduce(lambda x, p: F.regexp_replace(x, p[0], p[1]), pairs, c)
 
 
+def ascii_bounds(pattern: str) -> str:
+    """The pattern with word boundaries between ASCII word characters and all others, as \\w has it; here they would know other letters."""
+    word = r"[a-zA-Z0-9_]"
+    head = pattern.removesuffix(r"\b")
+    return head.replace(r"\b", f"(?<!{word})") + (f"(?!{word})" if head != pattern else "")
+
+
 def lookup(key: Column, table: dict[str, str]) -> Column:
     """The table's value for a key, null if there is none."""
     return F.element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), key)

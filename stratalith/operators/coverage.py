@@ -105,3 +105,24 @@ def structure_summary(files: DataFrame, most: int = 30) -> DataFrame:
 def complexity_overview(files: DataFrame, least: float = 5.0) -> DataFrame:
     """avg_overall, avg_maintainability and the number of complex files."""
     return files.agg(round1(F.avg("overall")).alias("avg_overall"), round1(F.avg("maintainability")).alias("avg_maintainability"), F.count_if(F.col("overall") >= least).alias("complex_files"))
+
+
+def gaps_summary(symbols: DataFrame) -> DataFrame:
+    """One row: symbols, undocumented, without_examples, bare_params and the documented share in whole percent, null without symbols."""
+    bare = F.size(F.filter("params", lambda p: F.coalesce(F.length(strip(p["description"])), F.lit(0)) == 0))
+    n = symbols.agg(F.count("*").alias("symbols"), F.count_if(~documented(F.col("description"))).alias("undocumented"), F.count_if(F.coalesce(F.size("examples"), F.lit(0)) <= 0).alias("without_examples"), F.coalesce(F.sum(F.greatest(bare, F.lit(0))), F.lit(0)).alias("bare_params"))
+    return n.withColumn("percent", F.when(F.col("symbols") > 0, F.floor((F.col("symbols") - F.col("undocumented")) * 100.0 / F.col("symbols") + 0.5)))
+
+
+def explorer_tree(modules: DataFrame, freshness: DataFrame, mode: str = "all") -> DataFrame:
+    """folder, files, fresh, stale, paths: modules (path) by their folder, with the status (uri, status) of each; ``mode`` is a status or all."""
+    told = modules.join(freshness.withColumnRenamed("uri", "path"), "path", "left").withColumn("status", F.coalesce("status", F.lit("unknown")))
+    rows = told if mode == "all" else told.filter(F.col("status") == mode)
+    folder = F.when(F.contains("path", F.lit("/")), F.regexp_replace("path", "/[^/]*$", "")).otherwise("")
+    n = lambda s: F.count_if(F.col("status") == s).alias(s)
+    return rows.groupBy(folder.alias("folder")).agg(F.count("*").alias("files"), n("fresh"), n("stale"), F.array_sort(F.collect_list("path")).alias("paths"))
+
+
+def cache_statistics(entries: DataFrame) -> DataFrame:
+    """One row: entries and bytes of a cache (key, size)."""
+    return entries.agg(F.count("*").alias("entries"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"))

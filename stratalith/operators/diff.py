@@ -115,6 +115,12 @@ def changelog_sections(changes: DataFrame) -> DataFrame:
     return changes.withColumn("s", F.explode(F.when(F.size(labels) == 0, other).otherwise(labels))).select("path", "name", "change", "s.priority", "s.section")
 
 
+def changes_by_module(changes: DataFrame) -> DataFrame:
+    """path, first, names: the changes (path, pos, name) of each module, in the order of their place."""
+    listed = F.array_sort(F.collect_list(F.struct("pos", "name")))
+    return changes.groupBy("path").agg(F.min("pos").alias("first"), F.transform(listed, lambda x: x["name"]).alias("names"))
+
+
 def compare_flow(before: DataFrame, after: DataFrame) -> DataFrame:
     """symbol, branch_delta, error_delta, new_errors, breaking of flow matrices (symbol, branches, error_paths, level, errors)."""
     from ..functions.scoring import level_jump

@@ -82,6 +82,22 @@ def merge_exports(*sources: DataFrame) -> DataFrame:
     return both.withColumn("n", n).filter("n = 1").drop("n", "source_rank")
 
 
+def is_exported(symbols: DataFrame, exports: DataFrame) -> DataFrame:
+    """symbols (path, name) with whether their module exports the name."""
+    out = exports.select("path", "name", F.lit(True).alias("exported")).distinct()
+    return symbols.join(out, ["path", "name"], "left").withColumn("exported", F.coalesce("exported", F.lit(False)))
+
+
+def default_exports(exports: DataFrame) -> DataFrame:
+    """(path, name): the first default export (path, pos, name, is_default) of each module that has one."""
+    return exports.filter("is_default").groupBy("path").agg(F.min_by("name", "pos").alias("name"))
+
+
+def schema_failures(files: DataFrame) -> DataFrame:
+    """One row: files, and those without content, which no schema can be built of."""
+    return files.agg(F.count("*").alias("files"), F.count_if(F.coalesce(F.length(F.trim("content")), F.lit(0)) == 0).alias("failed"))
+
+
 def text_coverage(files: DataFrame) -> DataFrame:
     """path, symbols, documented: symbols by pattern, and doc blocks up to that many."""
     c = F.col("content")

@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import last_segment, strip
+from ..functions.text import ascii_bounds, last_segment, strip
 
 # Words that mark a description as a placeholder, first match counts.
 PLACEHOLDERS = [
@@ -45,7 +45,7 @@ def is_blank(c: Column) -> Column:
 
 def first_match(c: Column, patterns: list[tuple[str, str]]) -> Column:
     """The name of the first pattern that matches, else null."""
-    return reduce(lambda rest, p: F.when(c.rlike(p[1]), F.lit(p[0])).otherwise(rest), reversed(patterns), F.lit(None).cast("string"))
+    return reduce(lambda rest, p: F.when(c.rlike(ascii_bounds(p[1])), F.lit(p[0])).otherwise(rest), reversed(patterns), F.lit(None).cast("string"))
 
 
 def _result(df: DataFrame, rule: str, message: Column) -> DataFrame:
@@ -98,6 +98,15 @@ def broken_references(symbols: DataFrame) -> DataFrame:
     return _result(rows, "broken-reference", F.format_string("Symbol \"%s\" refers to \"%s\", which is unknown", "name", "full"))
 
 
+def kept_references(symbols: DataFrame) -> DataFrame:
+    """(path, name, pos, ref): references whose whole or last segment is a known symbol, in their order."""
+    known = symbols.select(F.col("name").alias("key")).distinct()
+    refs = symbols.select("path", "name", F.posexplode("refs").alias("pos", "ref"))
+    whole = refs.join(known, F.col("ref") == F.col("key"), "left_semi")
+    rest = refs.join(known, F.col("ref") == F.col("key"), "left_anti")
+    return whole.unionByName(rest.join(known, last_segment(F.col("ref")) == F.col("key"), "left_semi"))
+
+
 def undocumented_exports(exports: DataFrame, symbols: DataFrame) -> DataFrame:
     """Exports (path, name) without a definition, or with a blank one."""
     own = symbols.select("path", "name", "description", F.lit(True).alias("here"))
@@ -122,6 +131,11 @@ RULES = {
 }
 
 
+def lint_modules(modules: DataFrame, symbols: DataFrame, severity: dict[str, str] | None = None) -> DataFrame:
+    """All rules over the symbols of the modules (path) that a workspace refers to."""
+    return lint(symbols.join(modules.select("path").distinct(), "path", "left_semi"), severity)
+
+
 def lint(symbols: DataFrame, severity: dict[str, str] | None = None) -> DataFrame:
     """All rules over all symbols; ``severity`` overrides a rule's, and 'off' drops it from the plan."""
     told = DEFAULT_SEVERITY | (severity or {})

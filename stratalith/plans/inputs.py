@@ -98,15 +98,20 @@ SYMBOLS = """(SELECT source AS path, CAST(doc_id AS VARCHAR) AS name, CASE doc_i
 WHOLE_SYMBOLS = SYMBOLS.replace("split_part(text, chr(10), 1)", "text")
 
 
+def code_id():
+    """The specification that a document refers to: its own number, or one that is defined nowhere."""
+    return F.concat(F.when(F.col("doc_id") % 2 == 0, "").otherwise("x"), F.col("doc_id").cast("string"))
+
+
 def freshness_store(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """Current files (all but each third document, each fifth altered) and a store of the even ones."""
+    """Current files (all but each third document, each fifth altered) and a store of each second and each third one: every document is on a side."""
     d = table(spark, sf, "documents")
     uri = F.col("doc_id").cast("string").alias("uri")
     text = F.coalesce("text", F.lit(""))
     current = d.filter("doc_id % 3 <> 0").select(uri, F.md5(F.when(F.col("doc_id") % 5 == 0, F.concat(text, F.lit("x"))).otherwise(text)).alias("hash"))
-    store = d.filter("doc_id % 2 = 0").select(uri, F.md5(text).alias("source_hash"))
+    store = d.filter("doc_id % 2 = 0 OR doc_id % 3 = 0").select(uri, F.md5(text).alias("source_hash"))
     return current, store
 
 
 CURRENT = "(SELECT CAST(doc_id AS VARCHAR) AS uri, md5(CASE WHEN doc_id % 5 = 0 THEN coalesce(text, '') || 'x' ELSE coalesce(text, '') END) AS hash FROM documents WHERE doc_id % 3 <> 0)"
-STORE = "(SELECT CAST(doc_id AS VARCHAR) AS uri, md5(coalesce(text, '')) AS source_hash FROM documents WHERE doc_id % 2 = 0)"
+STORE = "(SELECT CAST(doc_id AS VARCHAR) AS uri, md5(coalesce(text, '')) AS source_hash FROM documents WHERE doc_id % 2 = 0 OR doc_id % 3 = 0)"

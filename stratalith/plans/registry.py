@@ -2,37 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scoring, text, vectors
 from ..operators import coverage, diff, freshness, graph, lint, metrics, ranking, rendering, retrieval, sequences, trace
 from . import inputs
+from .register import QUERIES, SQL, query  # noqa: F401, the driver's tables
 from .inputs import CALL_EDGES, CURRENT, CUSTOMER_GRAPH, PARAMS_AFTER, PARAMS_BEFORE, PART_AFTER, PART_BEFORE, STORE, SYMBOLS, WHOLE_SYMBOLS, table
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
-
 STOP = ", ".join(f"'{w}'" for w in text.STOP_WORDS)
 TOKENS = f"list_filter(regexp_split_to_array(regexp_replace(lower(text), '[^\\w\\s]', ' ', 'g'), '\\s+'), lambda x: length(x) > 2 AND x NOT IN ({STOP}))"
 ROUND2 = "floor(({}) * 100 + 0.5) / 100"
 
 
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    """Registers a query under its function's name."""
-
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
 def _n(*names: str) -> list:
     return [F.col(c).cast("long").alias(c) for c in names]
 
@@ -167,12 +149,13 @@ def quality_measures(spark, sf):
     return coverage.quality_measures(inputs.symbols(spark, sf))
 
 
-@query(
-    f"""WITH m AS (SELECT count(*) FILTER (length(description) > 0) * 100.0 / count(*) AS a, count(*) FILTER (has_example) * 100.0 / count(*) AS b, count(*) FILTER (length(lang) > 0) * 100.0 / (2 * count(*)) AS c, count(*) FILTER (kind = 'function' AND return_type IS NOT NULL) * 100.0 / count(*) FILTER (kind = 'function') AS d FROM {SYMBOLS}),
+_HARDENING = f"""WITH m AS (SELECT count(*) FILTER (length(description) > 0) * 100.0 / count(*) AS a, count(*) FILTER (has_example) * 100.0 / count(*) AS b, count(*) FILTER (length(lang) > 0) * 100.0 / (2 * count(*)) AS c, count(*) FILTER (kind = 'function' AND return_type IS NOT NULL) * 100.0 / count(*) FILTER (kind = 'function') AS d FROM {SYMBOLS}),
 f AS (SELECT bool_or(lower(name) LIKE '%readme%') AS r, bool_or(lower(name) LIKE '%changelog%' OR lower(name) LIKE '%history%') AS h, bool_or(lower(name) LIKE '%contributing%') AS k, bool_or(lower(name) LIKE '%license%' OR lower(name) LIKE '%licence%') AS l FROM (SELECT DISTINCT n_name AS name FROM nation UNION ALL SELECT 'README.md' UNION ALL SELECT 'LICENSE'))
 SELECT 'has-readme' AS id, 'error' AS severity, r AS passed, CAST(r AS DOUBLE) AS value, 1.0::DOUBLE AS target FROM f UNION ALL SELECT 'has-changelog', 'warning', h, CAST(h AS DOUBLE), 1.0 FROM f UNION ALL SELECT 'has-contributing', 'info', k, CAST(k AS DOUBLE), 1.0 FROM f UNION ALL SELECT 'has-license', 'error', l, CAST(l AS DOUBLE), 1.0 FROM f
 UNION ALL SELECT 'public-api-coverage', 'warning', a >= 80, floor(a * 10 + 0.5) / 10, 80 FROM m UNION ALL SELECT 'example-coverage', 'info', b >= 50, floor(b * 10 + 0.5) / 10, 50 FROM m UNION ALL SELECT 'parameter-coverage', 'warning', c >= 70, floor(c * 10 + 0.5) / 10, 70 FROM m UNION ALL SELECT 'return-type-coverage', 'info', d >= 60, floor(d * 10 + 0.5) / 10, 60 FROM m"""
-)
+
+
+@query(_HARDENING)
 def hardening_checks(spark, sf):
     return coverage.hardening_checks(_files(spark, sf), coverage.quality_measures(inputs.symbols(spark, sf)))
 
@@ -181,7 +164,7 @@ def _files(spark, sf):
     return table(spark, sf, "nation").select(F.col("n_name").alias("name")).distinct().union(spark.createDataFrame([("README.md",), ("LICENSE",)], "name string"))
 
 
-@query()
+@query(f"""WITH c AS ({_HARDENING}) SELECT count(*) FILTER (passed) AS passed, count(*) FILTER (NOT passed) AS failed, floor(count(*) FILTER (passed) * 100.0 / count(*) * 10 + 0.5) / 10 AS score, count(*) FILTER (NOT passed AND severity = 'error') = 0 AS is_complete, array_to_string(list_sort(list(id) FILTER (NOT passed)), ',') AS failed_ids FROM c""")
 def hardening_score(spark, sf):
     return coverage.hardening_score(hardening_checks(spark, sf))
 
@@ -393,7 +376,11 @@ def drift(spark, sf):
     return detect_drift(v).select("id", F.round("drift", 4).alias("drift"), F.round("severity", 4).alias("severity"))
 
 
-@query()
+@query(
+    """WITH RECURSIVE c AS (SELECT conv_id AS module, turn AS pos, CAST(ceil(length(text) / 4.0) AS BIGINT) AS tokens, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r FROM conversations),
+g AS (SELECT module, pos, tokens, r, tokens AS used, 0 AS chunk FROM c WHERE r = 1 UNION ALL SELECT c.module, c.pos, c.tokens, c.r, CASE WHEN used > 0 AND used + c.tokens > 200 THEN c.tokens ELSE used + c.tokens END, CASE WHEN used > 0 AND used + c.tokens > 200 THEN chunk + 1 ELSE chunk END FROM g JOIN c ON c.module = g.module AND c.r = g.r + 1)
+SELECT module, pos, tokens, chunk FROM g"""
+)
 def greedy_chunks(spark, sf):
     c = table(spark, sf, "conversations").select(F.col("conv_id").alias("module"), F.col("turn").alias("pos"), text.estimate_tokens(F.col("text")).alias("tokens"))
     return sequences.greedy_chunks(c, 400)
@@ -405,7 +392,17 @@ def chunk_windows(spark, sf):
     return sequences.text_windows(d)
 
 
-@query()
+_HEADER = "regexp_matches(text, '^([A-Z][a-z]{1,3}) ')"
+
+
+@query(
+    f"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM documents),
+c AS (SELECT doc_id, text, line, sum(CASE WHEN {_HEADER} THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line) AS section FROM l),
+s AS (SELECT doc_id, section, min(line) AS line_start, max(line) AS line_end, string_agg(text, chr(10) ORDER BY line) AS content, CASE WHEN section > 0 THEN regexp_extract(min_by(text, line), '^([A-Z][a-z]{{1,3}}) ', 1) ELSE '' END AS title FROM c GROUP BY 1, 2),
+x AS (SELECT *, line_end = max(line_end) OVER (PARTITION BY doc_id) AS last FROM s)
+SELECT CAST(doc_id AS VARCHAR) AS path, substr(sha256(doc_id || ':section:' || CASE WHEN title <> '' THEN title WHEN last THEN 'end' ELSE 'intro' END), 1, 16) AS id, CASE WHEN title <> '' THEN title WHEN last THEN 'Content' ELSE 'Introduction' END AS symbol, CAST(line_start AS INTEGER) AS line_start, CAST(line_end AS INTEGER) AS line_end, content, 'symbol' AS level FROM x WHERE ceil(length(content) / 4.0) >= 50
+UNION ALL SELECT CAST(doc_id AS VARCHAR), substr(sha256(doc_id || ':file'), 1, 16), NULL, NULL, NULL, array_to_string(list_slice(string_split(text, chr(10)), 1, 20), chr(10)), 'file' FROM documents"""
+)
 def chunk_sections(spark, sf):
     # no line starts with '#': lines of a capital and a short word open a section
     d = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("path"), F.col("text").alias("content"))
@@ -509,17 +506,17 @@ def placeholder_rules(spark, sf):
     return c.select(F.col("conv_id").cast("string").alias("path"), F.col("turn").cast("string").alias("name"), lint.first_match(F.col("text"), [p for p in lint.PLACEHOLDERS if p[0] in ("todo", "tbd")]).alias("hit"), (F.length("text") > 0).alias("any_text"))
 
 
-@query("WITH code AS (SELECT CAST(doc_id AS VARCHAR) AS id, CASE WHEN doc_id % 9 = 0 THEN 'ticket' ELSE 'spec' END AS type FROM documents WHERE doc_id % 2 = 0), docs AS (SELECT CAST(item_id * 3 AS VARCHAR) AS id FROM benchmark) SELECT DISTINCT id, 'implemented' AS state FROM code WHERE id IN (SELECT id FROM docs) OR type = 'ticket' UNION ALL SELECT DISTINCT id, 'unimplemented' FROM docs WHERE id NOT IN (SELECT id FROM code)")
+@query("WITH code AS (SELECT CASE WHEN doc_id % 2 = 0 THEN '' ELSE 'x' END || doc_id AS id, CASE WHEN doc_id % 9 = 0 THEN 'ticket' ELSE 'spec' END AS type FROM documents), docs AS (SELECT CAST(item_id * 3 AS VARCHAR) AS id FROM benchmark) SELECT DISTINCT id, 'implemented' AS state FROM code WHERE id IN (SELECT id FROM docs) OR type = 'ticket' UNION ALL SELECT DISTINCT id, 'unimplemented' FROM docs WHERE id NOT IN (SELECT id FROM code)")
 def trace_states(spark, sf):
     return trace.cross_reference(*_specs(spark, sf))
 
 
 def _specs(spark, sf):
-    code = table(spark, sf, "documents").filter("doc_id % 2 = 0").select(F.col("doc_id").cast("string").alias("id"), F.when(F.col("doc_id") % 9 == 0, "ticket").otherwise("spec").alias("type"))
+    code = table(spark, sf, "documents").select(inputs.code_id().alias("id"), F.when(F.col("doc_id") % 9 == 0, "ticket").otherwise("spec").alias("type"))
     return code, table(spark, sf, "benchmark").select((F.col("item_id") * 3).cast("string").alias("id"))
 
 
-@query("WITH code AS (SELECT CAST(doc_id AS VARCHAR) AS id, doc_id % 9 = 0 AS t FROM documents WHERE doc_id % 2 = 0), docs AS (SELECT CAST(item_id * 3 AS VARCHAR) AS id FROM benchmark), i AS (SELECT count(DISTINCT id) AS implemented FROM code WHERE t OR id IN (SELECT id FROM docs)) SELECT implemented, (SELECT count(DISTINCT id) FROM docs) AS defined, implemented * 100.0 / (SELECT count(DISTINCT id) FROM docs)::DOUBLE AS coverage FROM i")
+@query("WITH code AS (SELECT CASE WHEN doc_id % 2 = 0 THEN '' ELSE 'x' END || doc_id AS id, doc_id % 9 = 0 AS t FROM documents), docs AS (SELECT CAST(item_id * 3 AS VARCHAR) AS id FROM benchmark), i AS (SELECT count(DISTINCT id) AS implemented FROM code WHERE t OR id IN (SELECT id FROM docs)) SELECT implemented, (SELECT count(DISTINCT id) FROM docs) AS defined, implemented * 100.0 / (SELECT count(DISTINCT id) FROM docs)::DOUBLE AS coverage FROM i")
 def trace_report(spark, sf):
     code, docs = _specs(spark, sf)
     return trace.trace_report(trace.cross_reference(code, docs), docs)
@@ -571,15 +568,6 @@ def index_lines(spark, sf):
     return rendering.index_lines(s).select("id", "label")
 
 
-@query()
-def incoherence(spark, sf):
-    from ..operators.incoherence import find_incoherence
-
-    e = table(spark, sf, "embeddings").join(table(spark, sf, "documents"), F.col("vec_id") == F.col("doc_id"))
-    rows = e.select(F.col("doc_id").cast("string").alias("id"), F.col("source").alias("path"), F.concat(F.lit("s"), (F.col("doc_id") % 50).cast("string")).alias("symbol"), F.lit("function").alias("kind"), F.col("text").alias("content"), F.lit("f(a): string").alias("signature"), F.lit("public").alias("visibility"), F.lit(True).alias("exported"), F.lit(1).alias("complexity"), F.col("embedding").alias("vec"), "doc_id")
-    return find_incoherence(rows.filter("doc_id % 2 = 0").drop("doc_id"), rows.filter("doc_id % 2 = 1").drop("doc_id"))
-
-
 # --- extraction and contexts --------------------------------------------------------------
 
 
@@ -634,12 +622,16 @@ def context_buckets(spark, sf):
     return rows.select("module", F.nullif(F.array_join("functions", ","), F.lit("")).alias("functions"), F.nullif(F.array_join("classes", ","), F.lit("")).alias("classes"))
 
 
-@query()
+@query(
+    """SELECT CAST(p_partkey AS VARCHAR) AS path, replace(kind, '?', '') AS kind, name || p_partkey AS name, CAST(line AS INTEGER) AS line, replace(replace(signature, '#', CAST(p_partkey AS VARCHAR)), '@', p_type) AS signature, exported, documented
+FROM part, (VALUES ('function', 'add_', 1, '(a: @): number', TRUE, FALSE), ('class', 'K', 3, 'K#', FALSE, TRUE), ('interface', 'I', 5, 'I#<T>', FALSE, TRUE), ('type', 'T', 6, 'T#', TRUE, TRUE)) v(kind, name, line, signature, exported, documented)"""
+)
 def extracted_symbols(spark, sf):
     from ..operators.extraction import extract_symbols
 
-    code = F.concat(F.lit("/** Adds. */\nexport function add_"), F.col("page_id").cast("string"), F.lit("(a: number): number { return a; }\n"), "html")
-    return extract_symbols(table(spark, sf, "pages").select(F.col("page_id").cast("string").alias("path"), code.alias("content")))
+    k = F.col("p_partkey").cast("string")
+    code = F.concat(F.lit("/** Adds. */\nexport function add_"), k, F.lit("(a: "), "p_type", F.lit("): number { }\nabstract class K"), k, F.lit(" {}\n// one\ninterface I"), k, F.lit("<T> {}\nexport type T"), k, F.lit(" = string\nfunction _hidden() {}\n"))
+    return extract_symbols(table(spark, sf, "part").select(k.alias("path"), code.alias("content")))
 
 
 @query("SELECT vec_id, CAST(label AS BIGINT) AS label FROM embeddings WHERE label IN (1, 2)")
@@ -655,3 +647,7 @@ def collection_filter(spark, sf):
 def age_days(spark, sf):
     ts = F.timestamp_seconds(F.unix_timestamp(F.lit("2024-01-01 00:00:00").cast("timestamp")) + F.col("s_suppkey") * 3600)
     return table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), scoring.floor_days(F.lit("2024-06-01").cast("timestamp"), ts).alias("days"))
+
+
+# the other families register themselves
+from . import function_queries, rule_queries, text_queries  # noqa: E402, F401

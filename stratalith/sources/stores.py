@@ -38,18 +38,18 @@ def parse_freshness(texts: DataFrame) -> DataFrame:
     return made.filter("source_hash IS NOT NULL AND doc_hash IS NOT NULL AND last_generated IS NOT NULL")
 
 
-def read_freshness(spark: SparkSession, path: str) -> DataFrame:
-    """The store at a path; empty if there is none."""
+def read_freshness(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """The store at a path, JSON objects of entries by uri, one for each file or line; empty if there is none."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
         return spark.createDataFrame([], "uri string, source_hash string, doc_hash string, last_generated timestamp, git_commit string")
-    return parse_freshness(spark.read.text(path, wholetext=True).withColumnRenamed("value", "text"))
+    return parse_freshness(spark.read.text(path, wholetext=not lines).withColumnRenamed("value", "text"))
 
 
 def write_freshness(store: DataFrame, path: str) -> None:
-    """The store as one JSON object; a store is a workspace's, thus one row for each file."""
+    """The store as lines, each a JSON object of one entry, so that no row holds a whole store."""
     entry = F.struct(F.col("source_hash").alias("sourceHash"), F.col("doc_hash").alias("docHash"), F.date_format("last_generated", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("lastGenerated"), F.col("git_commit").alias("gitCommit"))
-    store.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("uri", entry)))).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+    store.select(F.to_json(F.create_map("uri", entry)).alias("value")).write.mode("overwrite").text(path)
 
 
 class ChunkStore:

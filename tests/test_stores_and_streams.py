@@ -33,7 +33,7 @@ def test_freshness_round_trip(spark, tmp_path):
     store = stores.read_freshness(spark, str(first))
     assert {r.uri for r in store.collect()} == {"u1", "u2"}
     stores.write_freshness(store, str(tmp_path / "out"))
-    again = stores.read_freshness(spark, str(tmp_path / "out"))
+    again = stores.read_freshness(spark, str(tmp_path / "out"), lines=True)
     assert sorted(map(tuple, again.collect()), key=str) == sorted(map(tuple, store.collect()), key=str)
     assert stores.read_freshness(spark, str(tmp_path / "none")).count() == 0
 

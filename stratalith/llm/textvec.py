@@ -142,6 +142,12 @@ def classes() -> np.ndarray:
     return t
 
 
+@functools.lru_cache(maxsize=1)
+def unassigned() -> np.ndarray:
+    """Code points without a category in this Python's tables; a library's may know more of them."""
+    return np.fromiter((unicodedata.category(chr(i)) == "Cn" for i in range(0x110000)), bool, 0x110000)
+
+
 def _contractions(cp: np.ndarray, first: np.ndarray, start: np.ndarray) -> None:
     """Tokens such as 's and 'll, where a token starts with the apostrophe: moves the start behind them."""
     at = np.flatnonzero((cp == 39) & start)

@@ -21,8 +21,9 @@ import pyarrow as pa
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
-from .textvec import HashTable, code_points, span_hashes, trimmed, utf8_chunks, word_level_spans
+from .textvec import HashTable, code_points, span_hashes, trimmed, unassigned, utf8_chunks, word_level_spans
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -79,9 +80,10 @@ class PairMerger:
 
 
 class TokenCounter:
-    """Token counts of texts under a word-level byte-pair vocabulary file."""
+    """Token counts of texts under a word-level byte-pair vocabulary file; texts with code points younger than this Python go to the library."""
 
     def __init__(self, path: str):
+        self.path, self._library = path, None
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.merger = PairMerger(spec["model"]["merges"], spec["model"]["end_of_word_suffix"] or "")
@@ -132,9 +134,20 @@ class TokenCounter:
         if plain and raw.isascii():
             text = raw.decode("ascii").lower()
             return self._many(text, np.frombuffer(text.encode("utf-32-le"), np.uint32), offsets)
-        text, _, places = code_points(data, offsets)
+        text, cp, places = code_points(data, offsets)
         texts = [text[a:b] for a, b in zip(places[:-1].tolist(), places[1:].tolist(), strict=True)]
-        return self._texts(texts) if plain else np.array([self.one(x) for x in texts], np.int64)
+        out = self._texts(texts) if plain else np.array([self.one(x) for x in texts], np.int64)
+        new = np.flatnonzero(unassigned()[cp])  # code points younger than this Python: the library knows their classes and cases
+        for i in np.unique(np.searchsorted(places, new, "right") - 1).tolist():
+            out[i] = len(self.library().encode(texts[i], add_special_tokens=False).ids)
+        return out
+
+    def library(self) -> Tokenizer:
+        if self._library is None:
+            self._library = Tokenizer.from_file(self.path)
+            self._library.no_truncation()
+            self._library.no_padding()
+        return self._library
 
 
 @functools.lru_cache(maxsize=2)

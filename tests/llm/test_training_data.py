@@ -104,6 +104,18 @@ def test_token_counts_of_documents(spark, awkward, empty):
     assert count_tokens(empty, path).count() == 0
 
 
+def test_new_code_points():
+    """Letters that this Python's tables don't know are counted as the library does."""
+    import pyarrow as pa
+
+    from stratalith.llm.token_counts import counter
+
+    word = word_tokenizer()
+    texts = ["", "a\ua7cbb x\ua7dc1 plain", "plain", "\ua7dc", "\U0001f8ff \U000e0fff <|endoftext|> \u0378a", "\ua7cb" * 9]
+    for _, _, data, offsets in utf8_chunks(pa.array(texts)):
+        assert counter(public_tokenizers.path("word_bpe_49k.json")).chunk(data, offsets).tolist() == [len(word.encode(t, add_special_tokens=False).ids) for t in texts]
+
+
 def test_cache_has_a_bound():
     counter = TokenCounter(public_tokenizers.path("word_bpe_49k.json"))
     counter.table.most = 3

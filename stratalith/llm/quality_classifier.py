@@ -218,7 +218,10 @@ def _unpacked(text: list[bytes], meta: list[bytes]) -> tuple[np.ndarray, np.ndar
     return read(text, TEXT_WIDTH).astype(np.float64), meta_features(read(meta, 5)).astype(np.float64)
 
 
-def _blocks(batch: pa.RecordBatch, most: int = 2048) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+BLOCK = 2048  # rows whose wide features are there at a time
+
+
+def _blocks(batch: pa.RecordBatch, most: int = BLOCK) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     for lo in range(0, batch.num_rows, most):
         own = batch.slice(lo, most)
         yield own, *_unpacked(own.column("text").to_pylist(), own.column("meta").to_pylist())
@@ -328,7 +331,10 @@ def _filtering(model: Model | None, least: float) -> Callable[[Iterator[pa.Recor
                 yield batch.select(["row"])
                 continue
             text, meta = _features(batch)
-            yield batch.select(["row"]).filter(pa.array(model.scores(text.astype(np.float64), meta_features(meta).astype(np.float64))[0] >= least))
+            for lo in range(0, batch.num_rows, BLOCK):
+                own = slice(lo, lo + BLOCK)
+                score = model.scores(text[own].astype(np.float64), meta_features(meta[own]).astype(np.float64))[0]
+                yield batch.select(["row"]).slice(lo, BLOCK).filter(pa.array(score >= least))
 
     return run
 

@@ -52,7 +52,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def utf8_chunks(column: pa.Array, target: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def utf8_chunks(column: pa.Array, target: int = 1 << 19) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, last row + 1, bytes, offsets) of runs of whole texts; null is empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
@@ -80,7 +80,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 def span_hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of codes[s:e] for every span: polynomial over mixed codes, then finalised with the length."""
     n = len(codes)
-    size = 1 << max(21, (n + 1).bit_length())
+    size = 1 << max(20, (n + 1).bit_length())
     power, inverse = _powers(size)
     with np.errstate(over="ignore"):
         total = np.zeros(n + 1, U64)

@@ -129,41 +129,47 @@ def _within(turn: int, most: int | None) -> None:
         raise ValueError(f"rows are left after {most} turns")
 
 
-def transitive_closure(edges: DataFrame, seeds: DataFrame, most: int | None = None) -> DataFrame:
-    """(seed, id, level): everything reachable, at its first level; a seed itself only over a cycle."""
-    edges = edges.select("src", "dst").distinct()
-    frontier = checkpointed(edges.join(seeds, F.col("src") == F.col("seed")).select("seed", F.col("dst").alias("id")).distinct().withColumn("level", F.lit(1)))
-    known = frontier
-    for level in count(2):
-        step = frontier.join(edges, F.col("id") == F.col("src")).select("seed", F.col("dst").alias("id")).distinct()
-        frontier = checkpointed(step.join(known, ["seed", "id"], "left_anti").withColumn("level", F.lit(level)))
-        if frontier.isEmpty():
-            break
-        _within(level, most)
-        known = _grown(known, frontier, level)
-    return known
+def _spread_out(known: DataFrame, edges: DataFrame, key: str, most: int | None, turns: int = 3) -> DataFrame:
+    """known (key, id, level, path) with all that edges (src, dst) reach, at its first level, by the smallest path there.
 
+    A turn joins the last level with the edges and folds what is new into the
+    known rows in one aggregation; several turns share a plan and a checkpoint.
+    """
+    known = checkpointed(known)
+    at = 0
+    while True:
+        for _ in range(turns):
+            at += 1
+            last = known.filter(F.col("level") == at - 1).select(key, F.col("id").alias("src"), "path")
+            step = last.join(edges, "src").select(key, F.col("dst").alias("id"), F.lit(at).alias("level"), F.when(F.col("path").isNotNull(), F.concat("path", F.array("dst"))).alias("path"))
+            best = known.unionByName(step).groupBy(key, "id").agg(F.min(F.struct("level", "path")).alias("best"))
+            known = best.select(key, "id", "best.level", "best.path")
+        known = checkpointed(known)
+        if known.filter(F.col("level") == at).isEmpty():
+            return known
+        _within(at, most)
 
-def _grown(known: DataFrame, frontier: DataFrame, turn: int, each: int = 8) -> DataFrame:
-    """known with the frontier's rows; written anew every few turns only, so that neither files nor plans pile up."""
-    both = known.unionByName(frontier)
-    return both if turn % each else checkpointed(both)
+
+def transitive_closure(edges: DataFrame, seeds: DataFrame, most: int | None = None) -> DataFrame:
+    """(seed, id, level): everything reachable, at its first level; a seed itself only over a cycle."""
+    edges = checkpointed(edges.select("src", "dst").distinct())
+    none = F.lit(None).cast(f"array<{edges.schema['dst'].dataType.simpleString()}>").alias("path")
+    first = edges.join(seeds.select("seed").distinct(), F.col("src") == F.col("seed")).select("seed", F.col("dst").alias("id"), F.lit(0).alias("level"), none)
+    return _spread_out(first, edges, "seed", most and most - 1).select("seed", "id", (F.col("level") + 1).alias("level"))
 
 
 def shortest_paths(edges: DataFrame, pairs: DataFrame, most: int | None = None) -> DataFrame:
     """(start, goal, path) for pairs (start, goal) with a path; of equal ones the smallest predecessors."""
-    edges = edges.select("src", "dst").distinct()
-    known = checkpointed(pairs.select("start", F.col("start").alias("id"), F.array("start").alias("path")).distinct())
-    frontier = known
-    for turn in count(1):
-        step = frontier.join(edges, F.col("id") == F.col("src")).groupBy("start", "dst").agg(F.min("path").alias("path"))
-        new = step.select("start", F.col("dst").alias("id"), F.concat("path", F.array("dst")).alias("path"))
-        frontier = checkpointed(new.join(known, ["start", "id"], "left_anti"))
-        if frontier.isEmpty():
-            break
-        _within(turn, most)
-        known = _grown(known, frontier, turn)
-    return pairs.join(known.withColumnRenamed("id", "goal"), ["start", "goal"])
+    edges = checkpointed(edges.select("src", "dst").distinct())
+    first = pairs.select("start", F.col("start").alias("id"), F.lit(0).alias("level"), F.array("start").alias("path")).distinct()
+    found = _spread_out(first, edges, "start", most)
+    return pairs.join(found.select("start", F.col("id").alias("goal"), "path"), ["start", "goal"])
+
+
+def _grown(known: DataFrame, more: DataFrame, turn: int, each: int = 8) -> DataFrame:
+    """known with more rows; written anew every few turns only, so that neither files nor plans pile up."""
+    both = known.unionByName(more)
+    return both if turn % each else checkpointed(both)
 
 
 def cycle_members(edges: DataFrame, most: int | None = None) -> DataFrame:

@@ -386,7 +386,16 @@ def greedy_chunks(spark, sf):
     return sequences.greedy_chunks(c, 400)
 
 
-@query()
+_TOKENS_OF = "CAST(ceil(length({}) / 4.0) AS BIGINT)"
+
+
+@query(
+    f"""WITH RECURSIVE d AS (SELECT CAST(doc_id AS VARCHAR) AS path, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+w AS (SELECT path, lines, 1 AS i, [lines[1]] AS held, {_TOKENS_OF.format("lines[1]")} AS used, 0 AS start, CAST(NULL AS INTEGER) AS line_start, CAST(NULL AS INTEGER) AS line_end, CAST(NULL AS VARCHAR) AS content FROM d
+UNION ALL SELECT path, lines, i + 1, CASE WHEN cut THEN list_append(carried, lines[i + 1]) ELSE list_append(held, lines[i + 1]) END, n + CASE WHEN cut THEN {_TOKENS_OF.format("array_to_string(carried, chr(10))")} ELSE used END, CASE WHEN cut THEN i - len(carried) ELSE start END,
+CAST(CASE WHEN cut THEN start END AS INTEGER), CAST(CASE WHEN cut THEN i - 1 END AS INTEGER), CASE WHEN cut THEN array_to_string(held, chr(10)) END FROM (SELECT *, {_TOKENS_OF.format("lines[i + 1]")} AS n, used + {_TOKENS_OF.format("lines[i + 1]")} > 512 AS cut, list_slice(held, -13, len(held)) AS carried FROM w WHERE i < len(lines)))
+SELECT path, line_start, line_end, content FROM w WHERE content IS NOT NULL UNION ALL SELECT path, CAST(start AS INTEGER), CAST(len(lines) - 1 AS INTEGER), array_to_string(held, chr(10)) FROM w WHERE i = len(lines) AND used >= 50"""
+)
 def chunk_windows(spark, sf):
     d = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("path"), F.col("text").alias("content"))
     return sequences.text_windows(d)

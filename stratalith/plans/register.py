@@ -21,3 +21,8 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
         return f
 
     return add
+
+
+def count_sql(c: str, patterns: list[str]) -> str:
+    """How often any of the patterns matches, each for itself, in SQL."""
+    return " + ".join(f"len(regexp_extract_all({c}, '{p.replace(chr(39), chr(39) * 2)}'))" for p in patterns)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import scoring, text, vectors
 from ..operators import coverage, diff, freshness, graph, lint, metrics, ranking, rendering, retrieval, sequences, trace
 from . import inputs
-from .register import QUERIES, SQL, query  # noqa: F401, the driver's tables
+from .register import QUERIES, SQL, count_sql, query  # noqa: F401, the driver's tables
 from .inputs import CALL_EDGES, CURRENT, CUSTOMER_GRAPH, PARAMS_AFTER, PARAMS_BEFORE, PART_AFTER, PART_BEFORE, STORE, SYMBOLS, WHOLE_SYMBOLS, table
 
 STOP = ", ".join(f"'{w}'" for w in text.STOP_WORDS)
@@ -425,20 +425,16 @@ def _pages(spark, sf):
     return table(spark, sf, "pages").select(F.col("page_id").alias("path"), F.col("html").alias("content"))
 
 
-def _count_sql(c: str, patterns: list[str]) -> str:
-    return " + ".join(f"len(regexp_extract_all({c}, '{p.replace(chr(39), chr(39) * 2)}'))" for p in patterns)
-
-
 _PLAIN = "regexp_replace(regexp_replace(html, '//[^\\n]*', '', 'g'), '/\\*.*?\\*/', '', 'gs')"
 
 
-@query(f"SELECT page_id AS path, CAST(1 + {_count_sql(_PLAIN, [*metrics.DECISIONS, *metrics.LOGICAL])} AS INTEGER) AS cyclomatic, CAST(1 + {_count_sql('html', metrics.ESTIMATE)} AS INTEGER) AS estimated FROM pages")
+@query(f"SELECT page_id AS path, CAST(1 + {count_sql(_PLAIN, [*metrics.DECISIONS, *metrics.LOGICAL])} AS INTEGER) AS cyclomatic, CAST(1 + {count_sql('html', metrics.ESTIMATE)} AS INTEGER) AS estimated FROM pages")
 def cyclomatic(spark, sf):
     c = F.col("content")
     return _pages(spark, sf).select("path", metrics.cyclomatic(c).alias("cyclomatic"), metrics.estimated_cyclomatic(c).alias("estimated"))
 
 
-@query(f"SELECT page_id AS path, CAST({_count_sql('html', metrics.FLOW['loops'])} AS INTEGER) AS loops, CAST({_count_sql('html', metrics.FLOW['errors'])} AS INTEGER) AS error_paths, CAST(greatest(0, len(regexp_extract_all(html, '\\breturn\\b')) - 1) AS INTEGER) AS early_returns FROM pages")
+@query(f"SELECT page_id AS path, CAST({count_sql('html', metrics.FLOW['loops'])} AS INTEGER) AS loops, CAST({count_sql('html', metrics.FLOW['errors'])} AS INTEGER) AS error_paths, CAST(greatest(0, len(regexp_extract_all(html, '\\breturn\\b')) - 1) AS INTEGER) AS early_returns FROM pages")
 def flow_counts(spark, sf):
     rows = _pages(spark, sf).select("path", metrics.flow_matrix(F.col("content"), F.lit("f(): void")).alias("m"))
     return rows.select("path", "m.loops", "m.error_paths", "m.early_returns")
@@ -449,11 +445,6 @@ def line_counts(spark, sf):
     return _pages(spark, sf).select("path", F.size(F.split("content", "\n")).cast("long").alias("lines"))
 
 
-@query()
-def complexity(spark, sf):
-    return metrics.analyze_complexity(_pages(spark, sf).withColumn("path", F.col("path").cast("string")))
-
-
 @query("WITH d AS (SELECT o_orderkey AS path, o_orderdate AS doc_ts FROM orders), c AS (SELECT l_orderkey AS path, l_shipdate AS ts, count(*) AS n, min(l_linenumber) AS k FROM lineitem GROUP BY 1, 2) SELECT d.path, max_by(k, ts) AS content FROM d LEFT JOIN c ON c.path = d.path AND ts <= doc_ts + INTERVAL 60 DAY GROUP BY 1")
 def as_of_commit(spark, sf):
     docs = table(spark, sf, "orders").select(F.col("o_orderkey").alias("path"), (F.col("o_orderdate") + F.expr("INTERVAL 60 DAYS")).alias("doc_ts"))
@@ -583,7 +574,7 @@ def index_lines(spark, sf):
 _SYM = [r"(?:export\s+)?(?:async\s+)?function\s+\w+", r"(?:export\s+)?class\s+\w+", r"(?:export\s+)?interface\s+\w+", r"(?:export\s+)?type\s+\w+\s*="]
 
 
-@query(f"SELECT page_id AS path, CAST({_count_sql('html', _SYM)} AS INTEGER) AS symbols, CAST(least({_count_sql('html', _SYM)}, len(regexp_extract_all(html, '/\\*\\*(.|\\n)*?\\*/'))) AS INTEGER) AS documented FROM pages")
+@query(f"SELECT page_id AS path, CAST({count_sql('html', _SYM)} AS INTEGER) AS symbols, CAST(least({count_sql('html', _SYM)}, len(regexp_extract_all(html, '/\\*\\*(.|\\n)*?\\*/'))) AS INTEGER) AS documented FROM pages")
 def text_coverage(spark, sf):
     from ..operators.extraction import text_coverage as run
 

@@ -11,7 +11,7 @@ from ..operators import diff, extraction, freshness, metrics, rendering, retriev
 from ..sources import stores
 from . import inputs
 from .inputs import CURRENT, PART_AFTER, PART_BEFORE, STORE, SYMBOLS, table
-from .register import query
+from .register import SQL, count_sql, query
 
 
 def _folder(spark, name):
@@ -413,3 +413,21 @@ def halstead_metrics(spark, sf):
 def overall_scores(spark, sf):
     z, k = F.col("p_size"), F.col("p_partkey")
     return table(spark, sf, "part").select("p_partkey", F.round(metrics.maintainability(F.col("p_retailprice"), z, z), 6).alias("maintainability"), metrics.overall_score(z, z * 3, z, k % 9, k % 5).cast("int").alias("overall"))
+
+
+# pages behind a small function, so that every file has bodies: run over three lines with two parameters, and the branch in it
+_CODE = "(SELECT page_id, 'function run(a, b) {' || chr(10) || '  if (a) { return ' || page_id || '; }' || chr(10) || '}' || chr(10) || html AS html FROM pages)"
+_PART = {name: f"({SQL[name].replace('FROM pages', f'FROM {_CODE}')})" for name in ("line_metrics", "halstead_metrics")}
+_BRANCHES = f"(SELECT page_id AS path, CAST(1 + {count_sql(_PLAIN, [*metrics.DECISIONS, *metrics.LOGICAL])} AS INTEGER) AS cyclomatic FROM {_CODE})"
+
+
+@query(
+    f"""WITH x AS (SELECT l.path, l.code_lines, l.comment_lines, c.cyclomatic, l.cognitive, l.nesting, CASE WHEN unique_operators + unique_operands > 0 THEN (operators + operands) * log2(unique_operators + unique_operands) * difficulty ELSE 0 END AS effort FROM {_PART["line_metrics"]} l JOIN {_PART["halstead_metrics"]} h ON h.path = l.path JOIN {_BRANCHES} c ON c.path = l.path),
+m AS (SELECT *, greatest(0.0, least(100.0, (171 - 5.2 * CASE WHEN effort > 0 THEN ln(effort) ELSE 0 END - 0.23 * cyclomatic - 16.2 * CASE WHEN code_lines > 0 THEN ln(code_lines) ELSE 0 END) * 100 / 171)) AS mi FROM x)
+SELECT path, code_lines, comment_lines, cyclomatic, cognitive, nesting AS max_nesting, 2::BIGINT AS functions, 2.0::DOUBLE AS avg_function_length, 3::BIGINT AS parameters, round(mi, 4) AS maintainability,
+CAST(least(10, CASE WHEN cyclomatic > 50 THEN 3 WHEN cyclomatic > 20 THEN 2 WHEN cyclomatic > 10 THEN 1 ELSE 0 END + CASE WHEN cognitive > 100 THEN 3 WHEN cognitive > 50 THEN 2 WHEN cognitive > 20 THEN 1 ELSE 0 END + CASE WHEN mi < 20 THEN 2 WHEN mi < 40 THEN 1 ELSE 0 END + CASE WHEN nesting > 6 THEN 1 ELSE 0 END) AS INTEGER) AS overall FROM m"""
+)
+def complexity(spark, sf):
+    code = F.concat(F.lit("function run(a, b) {\n  if (a) { return "), F.col("page_id").cast("string"), F.lit("; }\n}\n"), "html")
+    rows = metrics.analyze_complexity(table(spark, sf, "pages").select(F.col("page_id").alias("path"), code.alias("content")))
+    return rows.select("path", "code_lines", "comment_lines", "cyclomatic", "cognitive", "max_nesting", "functions", "avg_function_length", "parameters", F.round("maintainability", 4).alias("maintainability"), "overall")

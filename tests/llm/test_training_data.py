@@ -141,6 +141,9 @@ def test_pieces_and_packing(spark, awkward, empty):
     whole = pack(tokenized_pieces(docs, path)).select("sequence_id").distinct().count()
     assert bound <= whole <= 1.005 * bound + 1
     assert pack(tokenized_pieces(empty, path)).count() == 0
+    odd = pack(tokenized_pieces(awkward, path))  # with null and repeated ids
+    assert odd.filter("piece = 0").count() == awkward.count() and odd.filter("doc_id IS NULL").count() == awkward.filter("doc_id IS NULL").count()
+    assert odd.groupBy("sequence_id").agg(F.sum("length").alias("n")).filter("n > 1024").count() == 0
 
 
 @settings(max_examples=60, deadline=None)
@@ -456,6 +459,23 @@ def test_near_vectors(spark, odd_vectors, per_block):
     assert near_vectors(odd_vectors.limit(0)).count() == 0
 
 
+def test_near_vectors_with_all_pivots_named(spark, odd_vectors):
+    """Where every vector names every pivot all pairs are candidates: links and components are those of brute force."""
+    good = {i: (v, k) for i, (v, k) in sound(odd_vectors.collect()).items() if k is not None}
+    a, b, links = [], [], Counter()
+    for i, (v, k) in good.items():
+        for j, (u, m) in good.items():
+            if i != j and k == m and v @ u / np.sqrt((v @ v) * (u @ u)) >= 0.93:
+                links[i] += 1
+                a.append(i)
+                b.append(j)
+    want = forest(a, b)
+    for per_block in (2048, 11):
+        got = near_vectors(odd_vectors, pivots=24, names=24, per_block=per_block)
+        told = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in got.collect()}
+        assert told == {i: (links[i], want.get(i, i), i is None or want.get(i, i) == i) for i in {r.vec_id for r in odd_vectors.collect()}}
+
+
 # --- mixing ----------------------------------------------------------------------------
 
 

@@ -34,6 +34,7 @@ from .spread import small, spread_join
 from .textvec import U64, mix64, span_hashes, trimmed, utf8_chunks, word_spans
 
 REGISTERS, BAND = 252, 6
+PER_NODE = 512  # shingles of a node that a block reckons with; longer ones count for several nodes
 _GOLDEN, _SIDE = U64(0x9E3779B97F4A7C15), U64(0xD1B54A32D192ED03)
 
 
@@ -216,8 +217,8 @@ def cross_links(placed: DataFrame, part: DataFrame, bags: DataFrame, least: floa
     sides = sides.groupBy("n", "s", "t").agg(F.min(F.struct("band", "main")).alias("one")).select("one.band", F.col("one.main.component").alias("main"), "n")  # bands of the same nodes ask the same
     sides = checkpointed(sides)
     rank = F.floor(F.log(F.col("size").cast("double")) / float(np.log(1.0 / least) + 1e-6)).cast("int").alias("rank")
-    mixed = checkpointed(spread_join(own.select("band", "id", "component", rank), sides, ["band"], "n", placed.count()))
-    blocks = lambda n: F.ceil(F.count("*") / per_block).cast("int").alias(n)
+    mixed = checkpointed(spread_join(own.select("band", "id", "size", "component", rank), sides, ["band"], "n", placed.count()))
+    blocks = lambda n: F.ceil(F.greatest(F.count("*") / per_block, F.sum("size") / (per_block * PER_NODE))).cast("int").alias(n)
     asking = mixed.filter("component <> main").withColumn("rank", F.explode(F.array(*[F.col("rank") + d for d in (-1, 0, 1)])))
     n_asks, n_all = (df.groupBy("band", "rank").agg(blocks(x), F.count("*").alias(f"{x}_rows")) for df, x in ((asking, "n_asks"), (mixed, "n_all")))
     meets = checkpointed(n_all.join(n_asks, ["band", "rank"]))
@@ -238,7 +239,7 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, per_block: int = 2048)
     class's own row. Documents without words (null, empty, marks only) are each
     their own. Rows that share a doc_id are told apart by their text, whose key is
     ``said``; repeated rows are marked alike. A null doc_id has a null class and is
-    kept. ``per_block`` bounds the nodes of a band that meet in a task.
+    kept. ``per_block`` bounds the nodes of a band that meet in a task, and their shingles.
     """
     rows = _texts(docs)
     signed = checkpointed(rows.mapInArrow(trimmed(_signing), "doc_id long, said long, left long, right long, size long, bands array<long>"))

@@ -28,6 +28,7 @@ TEXT_WIDTH = 22 + HASHED
 META_HASHED = 128
 META_PAIRS = 3 + 2 * META_HASHED
 META_WIDTH = META_PAIRS + META_HASHED
+PACKED = 5  # the declared length, whether it is null, three slots
 
 
 def _kinds() -> np.ndarray:
@@ -96,8 +97,8 @@ def meta_slots(source: str | None, lang: str | None) -> tuple[int, ...]:
 
 
 def meta_features(packed: np.ndarray) -> np.ndarray:
-    """Rows of the declared length, its square, whether it is null, and the slots, from packed ones (length, null, three slots)."""
-    out = np.zeros((len(packed), META_WIDTH), np.float32)
+    """Rows of the declared length over ten, its square, whether it is null, and the slots, from packed ones (length, null, three slots)."""
+    out = np.zeros((len(packed), META_WIDTH))
     if len(packed):
         out[:, 0], out[:, 1], out[:, 2] = packed[:, 0] / 10, (packed[:, 0] / 10) ** 2, packed[:, 1]
         out[np.arange(len(packed))[:, None], packed[:, 2:].astype(np.int64)] = 1.0
@@ -115,7 +116,13 @@ class View(NamedTuple):
     shift: float = 0.0
 
     def margin(self, x: np.ndarray) -> np.ndarray:
-        return ((x - self.mean) / self.scale) @ self.weight + self.bias
+        """Of rows of features, or of packed metadata, whose slots are looked up."""
+        own = self.weight / self.scale
+        start = self.bias - self.mean @ own
+        if x.shape[1] != PACKED:
+            return x @ own + start
+        length = x[:, 0] / 10
+        return start + length * own[0] + length**2 * own[1] + x[:, 1] * own[2] + own[x[:, 2:].astype(np.int64)].sum(axis=1)
 
     def calibrated(self, x: np.ndarray) -> np.ndarray:
         return np.clip(self.slope * self.margin(x) + self.shift, -30, 30)
@@ -174,7 +181,7 @@ def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, surest: Surest,
     apart, taught = every[every % 4 == 0], every[every % 4 != 0]
     if len(set(y[taught].tolist())) < 2 or len(set(y[apart].tolist())) < 2:
         apart = taught = every
-    views = [text, meta]
+    views = [text, meta_features(meta)]
     extra: list[dict[int, tuple[int, np.ndarray]]] = [{}, {}]  # of each view, by key: what the other one told it
     for turn in range(rounds + 1):
         models = []
@@ -184,7 +191,7 @@ def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, surest: Surest,
             models.append(fit_view(rows, np.concatenate([y[taught], [c for c, _ in told]]).astype(np.float64), (TEXT_WIDTH, META_PAIRS)[v]))
         if turn < rounds:
             for v, value, key, *features in surest(models, [set(extra[1]), set(extra[0])]):
-                extra[1 - v].setdefault(key, (value, features[1 - v]))
+                extra[1 - v].setdefault(key, (value, meta_features(features[1][None])[0] if v == 0 else features[0]))
     done = []
     for v in (0, 1):
         slope, shift = logistic(models[v].margin(views[v][apart])[:, None], y[apart].astype(np.float64), ridge=1e-2)
@@ -200,7 +207,7 @@ def _features(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     rows = list(zip(*(batch.column(c).to_pylist() for c in ("source", "lang")), strict=True))
     slots = {r: meta_slots(*r) for r in set(rows)}
     chars = batch.column("n_chars").to_pylist()
-    meta = np.array([(np.log1p(max(c or 0, 0)), c is None, *slots[r]) for c, r in zip(chars, rows, strict=True)], np.float32).reshape(len(rows), 5)
+    meta = np.array([(np.log1p(max(c or 0, 0)), c is None, *slots[r]) for c, r in zip(chars, rows, strict=True)], np.float32).reshape(len(rows), PACKED)
     return np.concatenate(text), meta
 
 
@@ -215,7 +222,7 @@ def _featuring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _unpacked(text: list[bytes], meta: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     read = lambda rows, width: np.frombuffer(b"".join(rows), "<f4").reshape(len(rows), width)
-    return read(text, TEXT_WIDTH).astype(np.float64), meta_features(read(meta, 5)).astype(np.float64)
+    return read(text, TEXT_WIDTH).astype(np.float64), read(meta, PACKED).astype(np.float64)
 
 
 BLOCK = 2048  # rows whose wide features are there at a time
@@ -333,7 +340,7 @@ def _filtering(model: Model | None, least: float) -> Callable[[Iterator[pa.Recor
             text, meta = _features(batch)
             for lo in range(0, batch.num_rows, BLOCK):
                 own = slice(lo, lo + BLOCK)
-                score = model.scores(text[own].astype(np.float64), meta_features(meta[own]).astype(np.float64))[0]
+                score = model.scores(text[own].astype(np.float64), meta[own].astype(np.float64))[0]
                 yield batch.select(["row"]).slice(lo, BLOCK).filter(pa.array(score >= least))
 
     return run

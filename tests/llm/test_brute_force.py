@@ -162,7 +162,8 @@ def test_surest_rows_match_brute_force(spark):
     text, meta = quality_classifier._unpacked([bytes(r.text) for r in every], [bytes(r.meta) for r in every])
     rng = np.random.default_rng(5)
     y = rng.integers(0, 2, len(every)).astype(float)
-    models = [quality_classifier.fit_view(x[:200], y[:200], w) for x, w in ((text, quality_classifier.TEXT_WIDTH), (meta, quality_classifier.META_PAIRS))]
+    models = [quality_classifier.fit_view(x[:200], y[:200], w) for x, w in ((text, quality_classifier.TEXT_WIDTH), (quality_classifier.meta_features(meta), quality_classifier.META_PAIRS))]
+    assert np.allclose(models[1].margin(meta), models[1].margin(quality_classifier.meta_features(meta)))
     known = [{r.key for r in every[:100]}, set()]
     for pool in (rows, rows.repartition(13)):
         got = quality_classifier._surest(pool, 0.6, 7, salts=5)(models, known)

@@ -3,7 +3,8 @@
 A vector is described by its nearest reference points (pivots), in order of
 distance. Inverted lists hold, for each label and pivot, the vectors that name
 it; two vectors of a list are candidates when they share at least ``shared``
-pivots, and are measured exactly, in the list of the first pivot they share.
+pivots, and are measured exactly, in the list of the first pivot they share; a
+vector needs no place in the lists of its last ``shared`` - 1.
 Equal vectors are one node with a count, and long lists are dealt to pairs of
 blocks of bounded size. Lists return counts of links and a spanning forest,
 not pairs.
@@ -79,7 +80,7 @@ def _linking(least: float, shared: int, n_pivots: int, d: int) -> Callable[[pd.D
     return run
 
 
-def near_vectors(rows: DataFrame, least: float = 0.93, pivots: int = 256, names: int = 10, shared: int = 2, per_block: int = 2048, most_pivots: int = 4096) -> DataFrame:
+def near_vectors(rows: DataFrame, least: float = 0.93, pivots: int = 256, names: int = 14, shared: int = 3, per_block: int = 2048, most_pivots: int = 4096) -> DataFrame:
     """One row for each row: vec_id, n_links, component_id, kept.
 
     Vectors link when their labels are equal and not null and their cosine is at
@@ -107,7 +108,8 @@ def near_vectors(rows: DataFrame, least: float = 0.93, pivots: int = 256, names:
     equal = checkpointed(own.groupBy("h1", "h2").agg(F.min(F.struct("vec_id", "label", "embedding")).alias("v"), F.count("*").alias("copies")).select("h1", "h2", F.col("v.vec_id").alias("node"), "copies", "v.label", "v.embedding"))
     member = own.select("vec_id", "h1", "h2")
     described = checkpointed(equal.select("node", "copies", "label", "embedding").mapInPandas(_describing(points, names), f"node long, copies long, label string, embedding {kind}, pivots array<int>"))
-    posted = described.select("*", F.explode("pivots").alias("pivot"))
+    # the first of at least ``shared`` pivots that two vectors have in common is not among either's last ``shared`` - 1
+    posted = described.select("*", F.explode(F.slice(F.array_sort("pivots"), 1, names - shared + 1)).alias("pivot"))
     size = posted.groupBy("label", "pivot").agg(F.ceil(F.count("*") / per_block).alias("blocks"), F.count("*").alias("n"))
     block = F.pmod(F.xxhash64("node"), F.col("blocks"))
     size = checkpointed(size)

@@ -418,6 +418,7 @@ def overall_scores(spark, sf):
 # pages behind a small function, so that every file has bodies: run over three lines with two parameters, and the branch in it
 _CODE = "(SELECT page_id, 'function run(a, b) {' || chr(10) || '  if (a) { return ' || page_id || '; }' || chr(10) || '}' || chr(10) || html AS html FROM pages)"
 _PART = {name: f"({SQL[name].replace('FROM pages', f'FROM {_CODE}')})" for name in ("line_metrics", "halstead_metrics")}
+_PART["halstead_metrics"] = _PART["halstead_metrics"].replace("round(CASE WHEN kinds", "(CASE WHEN kinds").replace("END, 6)::DOUBLE", "END)::DOUBLE")  # not rounded
 _BRANCHES = f"(SELECT page_id AS path, CAST(1 + {count_sql(_PLAIN, [*metrics.DECISIONS, *metrics.LOGICAL])} AS INTEGER) AS cyclomatic FROM {_CODE})"
 
 

@@ -15,7 +15,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .sampling import hash_limit
@@ -136,14 +136,17 @@ def _sample(train: DataFrame, sample: int) -> DataFrame:
     """At most ``sample`` distinct rows of each language: those of the smallest hashes.
 
     A limit on the hash, set by an estimate of each language's rows, lets about
-    twice as many through, so that few texts are moved and a hot language is no
-    hot task; one row for each language comes to the driver.
+    twice as many through; the sets of these hashes say where a language's sample ends,
+    and only texts up to there are moved, each by its own hash. One row for each language
+    comes to the driver.
     """
+    spark = train.sparkSession
     told = train.groupBy("lang").agg(F.approx_count_distinct("hash", 0.02).alias("n")).collect()
-    limit = train.sparkSession.createDataFrame([(r["lang"], hash_limit(r["n"], sample)) for r in told], "lang string, limit long")
-    near = train.join(F.broadcast(limit), "lang").filter(F.col("hash") <= F.col("limit")).dropDuplicates(["lang", "hash"])
-    one = F.row_number().over(Window.partitionBy("lang").orderBy("hash"))
-    return near.withColumn("n", one).filter(F.col("n") <= sample).select("doc_id", "lang", "text")
+    limit = spark.createDataFrame([(r["lang"], hash_limit(r["n"], sample)) for r in told], "lang string, limit long")
+    near = train.join(F.broadcast(limit), "lang").filter(F.col("hash") <= F.col("limit"))
+    edges = near.groupBy("lang").agg(F.element_at(F.slice(F.sort_array(F.collect_set("hash")), 1, sample), -1).alias("edge")).collect()
+    edge = spark.createDataFrame([(r["lang"], r["edge"]) for r in edges], "lang string, edge long")
+    return train.join(F.broadcast(edge), "lang").filter(F.col("hash") <= F.col("edge")).dropDuplicates(["lang", "hash"]).select("doc_id", "lang", "text")
 
 
 def fit(train: DataFrame, sample: int = 4000, per_language: int = 4) -> Centroids | None:

@@ -172,7 +172,7 @@ def verified(pairs: DataFrame, bags: DataFrame, least: float, per_task: int = 40
     places = F.coalesce("places", F.lit(1))
     there = bags.select(F.col("id").alias("a"), F.col("bag").alias("bag_a")).join(busy, "a", "left").select("a", "bag_a", F.explode(F.sequence(F.lit(0), places - 1)).alias("place"))
     asks = pairs.join(busy, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), places).cast("int").alias("place"))
-    both = asks.join(there, ["a", "place"]).join(bags.select(F.col("id").alias("b"), F.col("bag").alias("bag_b")), "b")
+    both = asks.join(there.hint("merge"), ["a", "place"]).join(bags.select(F.col("id").alias("b"), F.col("bag").alias("bag_b")).hint("merge"), "b")
     shared = F.size(F.array_intersect("bag_a", "bag_b"))
     return both.filter(shared >= F.lit(least) * (F.size("bag_a") + F.size("bag_b") - shared)).select("a", "b").distinct()
 
@@ -227,7 +227,7 @@ def cross_links(placed: DataFrame, part: DataFrame, bags: DataFrame, least: floa
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     there = spread_join(mixed, meets.drop("n_asks_rows"), ["band", "rank"], "n_all_rows", held[0] or 0).select("band", "rank", "id", "component", F.lit(False).alias("asks"), block("n_all", 1).alias("x"), each("n_asks").alias("y"))
     asks = spread_join(asking, meets.drop("n_all_rows"), ["band", "rank"], "n_asks_rows", held[1] or 0).select("band", "rank", "id", "component", F.lit(True).alias("asks"), each("n_all").alias("x"), block("n_asks", 2).alias("y"))
-    dealt = there.unionByName(asks).join(bags, "id")
+    dealt = there.unionByName(asks).join(bags.hint("merge"), "id")
     return dealt.groupBy("band", "rank", "x", "y").applyInPandas(_crossing(least), "a long, b long")
 
 

@@ -179,7 +179,7 @@ def mixed_documents(docs: DataFrame, **options: float) -> DataFrame:
     number = F.row_number().over(Window.partitionBy("id", "said").orderBy("source")).alias("n")
     told = mix(docs, **options).select(key("doc_id"), "said", "source", copies).select("id", "said", number, "copies")
     rows = docs.select(F.struct("*").alias("row"), key("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("said"), F.col("source").cast("string").alias("source")).select("row", "id", "said", number)
-    taken = rows.join(told.filter("copies > 0"), ["id", "said", "n"])
+    taken = rows.join(told.filter("copies > 0").hint("merge"), ["id", "said", "n"])
     return taken.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).select("row.*")
 
 

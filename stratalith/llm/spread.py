@@ -14,12 +14,13 @@ def spread_join(rows: DataFrame, table: DataFrame, on: list[str], n: str, total:
     Keys that a thousandth of all rows hold, of which there can be no more than a
     thousand, are broadcast, so that their rows stay where they are; the others
     are dealt by key. ``n`` itself is left out. With ``once``, rows that repeat a
-    key are one.
+    key are one. The join of the others is a sort-merge join at every size, so that
+    what is moved grows with the rows alone and not with what happens to be ready first.
     """
     hot = table.filter(F.col(n) * MOST_HOT >= F.lit(total)).drop(n)
     rest = table.filter(F.col(n) * MOST_HOT < F.lit(total)).drop(n)
     cold = rows.join(F.broadcast(hot.select(*on)), on, "left_anti")
-    near, far = rows.join(F.broadcast(hot), on), cold.join(rest, on)
+    near, far = rows.join(F.broadcast(hot), on), cold.join(rest.hint("merge"), on)
     return near.dropDuplicates(on).unionByName(far.dropDuplicates(on)) if once else near.unionByName(far)
 
 

@@ -215,7 +215,7 @@ def without_repeats(docs: DataFrame, least: int = 20) -> DataFrame:
     passage that repeats within a document stays at its first place.
     """
     rows = docs.select(F.struct(*[c for c in docs.columns if c != "text"]).alias("row"), F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("key"))
-    joined = rows.join(repeated_chunks(docs), F.col("key") == F.col("doc_id"), "left").select("row", "text", "elsewhere", "own")
+    joined = rows.join(repeated_chunks(docs).hint("merge"), F.col("key") == F.col("doc_id"), "left").select("row", "text", "elsewhere", "own")
     kind = f"row {joined.schema['row'].dataType.simpleString()}, text string, lost long, removed array<struct<from:long,until:long>>"
     return joined.mapInArrow(trimmed(_removing(least)), kind)
 

@@ -37,7 +37,7 @@ def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     kept = near_duplicates(docs).filter("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("id"), "said").distinct()
     rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), text_key(F.col("text")).alias("said"))
     one = F.row_number().over(Window.partitionBy("id", "said").orderBy(F.xxhash64("row")))
-    alone = rows.filter("id IS NOT NULL").join(kept, ["id", "said"], "left_semi").withColumn("n", one).filter("n = 1")
+    alone = rows.filter("id IS NOT NULL").join(kept.hint("merge"), ["id", "said"], "left_semi").withColumn("n", one).filter("n = 1")
     return alone.select("row.*").unionByName(rows.filter("id IS NULL").select("row.*"))
 
 

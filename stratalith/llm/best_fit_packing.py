@@ -50,10 +50,13 @@ class PieceEncoder:
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
-    def _learn(self, words: list[str]) -> None:
+    def _ids_of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of these pre-tokens in a row, how many each has)."""
         made = self.tokenizer.encode(words, is_pretokenized=True, add_special_tokens=False)
-        flat = np.array(made.ids, np.uint32)
-        sizes = np.bincount(np.array(made.word_ids, np.int64), minlength=len(words))
+        return np.array(made.ids, np.uint32), np.bincount(np.array(made.word_ids, np.int64), minlength=len(words))
+
+    def _learn(self, words: list[str]) -> None:
+        flat, sizes = self._ids_of(words)
         while self.used + len(flat) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
         self.pool[self.used : self.used + len(flat)] = flat
@@ -69,9 +72,12 @@ class PieceEncoder:
             lists = [self.whole(text[a:b]) for a, b in zip(places[:-1].tolist(), places[1:].tolist(), strict=True)]
             return np.concatenate([np.zeros(0, np.uint32), *lists]), np.concatenate([[0], np.cumsum([len(x) for x in lists], dtype=np.int64)])
         starts = byte_level_starts(cp, places)
+        return self._spans(text, cp, starts, np.append(starts[1:], len(cp)), places)
+
+    def _spans(self, text: str, cp: np.ndarray, starts: np.ndarray, ends: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same of pre-tokens that stand at these places."""
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(len(places), np.int64)
-        ends = np.append(starts[1:], len(cp))
         keys, example, inverse = np.unique(span_hashes(cp, starts, ends), return_index=True, return_inverse=True)
         if self.table.full():
             self._reset()

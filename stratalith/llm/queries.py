@@ -19,11 +19,12 @@ from .source_mixing import op10_source_mixing
 from .sql import HARD_NEGATIVES, sort_means_sql
 from .substring_dedup import op3_substring_dedup
 from .token_counts import op5_token_counts
+from .token_files import op12_token_files
 
 
 OPERATORS = [
     op1_best_fit_packing, op2_quality_classifier, op3_substring_dedup, op4_ann_forest, op5_token_counts, op6_language_id, op7_minhash_dedup,
-    op8_pivot_dedup, op9_license_scan, op10_source_mixing, op11_sort_means, op13_hard_negatives,
+    op8_pivot_dedup, op9_license_scan, op10_source_mixing, op11_sort_means, op12_token_files, op13_hard_negatives,
 ]
 
 

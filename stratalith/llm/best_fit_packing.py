@@ -31,6 +31,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # one thread for each
 
 TOKENIZER = "byte_bpe_50k.json"
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+A_BLOCK = 1000  # repeated pieces that are dealt together
 SEQUENCE = "sequence_id long, offset long"
 
 
@@ -218,7 +219,11 @@ def best_fit_pairs(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarr
 
 def _packing(size: int, turn: int, last: bool) -> Callable[[pd.DataFrame], pd.DataFrame]:
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["length", "doc_id", "piece", "ids_crc32", "start"], ascending=[False, True, True, True, True], kind="stable")
+        many = group["many"].to_numpy()
+        first = np.cumsum(many) - many
+        group = group.loc[group.index.repeat(many)].assign(many=1)  # repeated pieces came as one row
+        group["copy"] += np.arange(len(group)) - np.repeat(first, many)
+        group = group.sort_values(["length", "doc_id", "piece", "ids_crc32", "start", "copy"], ascending=[False, *[True] * 5], kind="stable")
         lengths = group["length"].to_numpy()
         bins, offsets, n = best_fit_decreasing(lengths, size)
         bound = lower_bound(lengths, size)
@@ -238,19 +243,22 @@ def pack(pieces: DataFrame, size: int = 1024, rounds: int = 3, per_part: int = 2
     Adds sequence_id (distinct, not dense), offset (gapless from 0), and bins and
     bound of the partition that packed it. A whole piece of ``size`` tokens is a
     sequence by itself and is not moved. Ties go by doc_id and piece; repeated
-    rows are packed each; no rows give none. Each partition holds about
-    ``per_part`` pieces whatever the input.
+    rows are packed each, numbered, and dealt in blocks of a thousand; no rows give
+    none. Each partition holds about ``per_part`` pieces whatever the input.
     """
     pieces = checkpointed(pieces)
     full = pieces.filter(F.col("length") >= size).select("*", (F.lit(1 << 62) + F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"), F.lit(1).cast("long").alias("bins"), F.lit(1).cast("long").alias("bound"))
-    open_ = pieces.filter(F.col("length") < size)
-    schema = f"{PIECES}, part long, {SEQUENCE}, done boolean, bins long, bound long"
+    names = [c.split()[0] for c in PIECES.split(", ")]
+    same = pieces.filter(F.col("length") < size).groupBy(*names).agg(F.count("*").alias("n"))
+    block = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / A_BLOCK).cast("long")))
+    open_ = same.select(*names, "n", block.alias("block")).withColumn("copy", F.col("block") * A_BLOCK).select(*names, "copy", F.least(F.lit(A_BLOCK).cast("long"), F.col("n") - F.col("copy")).alias("many"))
+    schema = f"{PIECES}, copy long, many long, part long, {SEQUENCE}, done boolean, bins long, bound long"
     placed = full
     for turn in range(1, rounds + 1):
-        n = parts(open_.count(), per_part)
-        dealt = open_.select(*[c.split()[0] for c in PIECES.split(", ")], F.pmod(F.xxhash64(F.lit(turn), "doc_id", "piece", "start"), F.lit(n)).alias("part"))
+        n = parts(open_.agg(F.sum("many")).first()[0] or 0, per_part)
+        dealt = open_.select(*names, "copy", "many", F.pmod(F.xxhash64(F.lit(turn), *names, "copy"), F.lit(n)).alias("part"))
         packed = checkpointed(dealt.groupBy("part").applyInPandas(_packing(size, turn, turn == rounds or n == 1), schema))
-        placed = placed.unionByName(packed.filter("done").drop("done", "part"))
+        placed = placed.unionByName(packed.filter("done").drop("done", "part", "copy", "many"))
         open_ = packed.filter(~F.col("done"))
         if n == 1:
             break

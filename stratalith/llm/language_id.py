@@ -22,6 +22,7 @@ from .sampling import hash_limit
 from .textvec import classes, code_points, trimmed, utf8_chunks
 
 WIDTH = 4096
+GRID = 1 << 20
 UNKNOWN = "und"
 
 
@@ -45,7 +46,7 @@ def ngram_counts(data: np.ndarray, offsets: np.ndarray, width: int = WIDTH) -> n
     folded = FOLD[data]
     row = np.repeat(np.arange(n), np.diff(offsets))
     keep = folded != 32
-    keep[1:] |= folded[:-1] != 32  # one space after a word
+    keep[1:] |= (folded[:-1] != 32) & (row[1:] == row[:-1])  # one space after a word
     folded, row = folded[keep].astype(np.uint32), row[keep]
     where, key = [np.zeros(0, np.int64)], np.zeros(len(folded), np.uint32)
     for size in (1, 2, 3):
@@ -72,6 +73,18 @@ def unit(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
 
+def grid_rows(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """Normalised TF-IDF rows as whole numbers of 1 / GRID, which depend on nothing but the row.
+
+    Logarithms come from a table by count, weights are rounded to whole numbers whose
+    squares add up exactly, and products of two such rows do so too, so that neither the rows
+    of a block nor the order of summation can change a bit.
+    """
+    counts = counts.astype(np.int64)
+    weight = np.rint(np.log1p(np.arange(int(counts.max(initial=0)) + 1))[counts] * (1024.0 * idf.astype(np.float64)))
+    return np.rint(weight / np.maximum(np.sqrt((weight * weight).sum(axis=1, keepdims=True)), 1.0) * GRID)
+
+
 class Centroids(NamedTuple):
     idf: np.ndarray
     names: list[str]
@@ -186,9 +199,9 @@ def _predicting(model: Centroids | None) -> Callable[[Iterator[pa.RecordBatch]],
                     best = np.zeros(len(known), np.int64)
                     value, far = np.zeros(len(known)), np.ones(len(known), bool)
                     if model is not None:
-                        cosine = unit(ngram_counts(d, o), model.idf) @ model.rows.T
+                        cosine = grid_rows(ngram_counts(d, o), model.idf) @ np.rint(model.rows.T.astype(np.float64) * GRID) / GRID**2
                         best = np.argmax(cosine, axis=1)
-                        value = np.clip(cosine[np.arange(len(best)), best].astype(np.float64), 0, 1)
+                        value = np.clip(cosine[np.arange(len(best)), best], 0, 1)
                         far = value < model.reach[best]
                     name += [model.names[model.language[b]] if k else UNKNOWN for k, b in zip(known, best, strict=True)]
                     score.append(np.where(known, value, 0.0))

@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..numbering import numbered
 from .session import checkpointed, parts
 from .spread import spread_join
 from .textvec import trimmed, utf8_chunks
@@ -26,7 +27,9 @@ from .textvec import trimmed, utf8_chunks
 WEIGHTS = (5.0, 2.0, 1.0)
 _GAP = np.zeros(256, bool)
 _GAP[[0x20, *range(0x09, 0x0E)]] = True
-ROWS = "doc_id long, source string, said long, size long, source_size long, target double, copies long, chance double, order long, chunk long, open boolean"
+A_BLOCK = 1000  # repeated rows that are dealt together
+FEW = 10_000  # rows of one document that a window may number
+ROWS = "many long, doc_id long, source string, said long, size long, source_size long, target double, copies long, chance double, order long, chunk long, open boolean"
 
 
 def _sizing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,7 +111,9 @@ def pivot(size: np.ndarray, chance: np.ndarray, dice: np.random.Generator) -> in
 
 def _rounding(level: int, last: bool, seed: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["order", "doc_id", "size"], kind="stable").reset_index(drop=True)
+        if level == 0:
+            group = group.loc[group.index.repeat(group["many"])].assign(many=1)  # repeated rows came as one
+        group = group.sort_values(["order", "doc_id", "said", "size"], kind="stable").reset_index(drop=True)
         chunk = int(group["chunk"].iloc[0])
         if level == 0:
             r = group["target"].to_numpy() / np.maximum(group["source_size"].to_numpy(), 1)
@@ -143,19 +148,23 @@ def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, per_chunk: int =
     Documents without words take part in nothing but are listed, taken 0. A null
     source is one of its own, last in order. Repeated rows are documents each.
     The same rows give the same result, whatever their partitions. A chunk holds
-    about ``per_chunk`` documents of any sources, so that a hot one is dealt out,
-    and the table of sources is joined without gathering it.
+    about ``per_chunk`` documents of any sources, so that a hot one is dealt out;
+    repeated rows are dealt in blocks of a thousand, and the table of sources is joined
+    without gathering it.
     """
     sizes = checkpointed(document_sizes(docs))
     told = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     about = checkpointed(mix_targets(told, share, most))
     total = about.agg(F.sum("n")).first()[0] or 0
     key = F.coalesce(F.concat(F.lit("s"), "source"), F.lit("")).alias("key")
-    rows = spread_join(sizes.select("*", key), about.select(key, "source_size", "target", "n"), ["key"], "n", total)
+    same = sizes.groupBy("doc_id", "source", "said", "size").agg(F.count("*").alias("all"))
+    block = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("all") - 1) / A_BLOCK).cast("long"))).alias("block")
+    dealt = same.select("*", block).withColumn("many", F.least(F.lit(A_BLOCK).cast("long"), F.col("all") - F.col("block") * A_BLOCK)).drop("all")
+    rows = spread_join(dealt.select("*", key), about.select(key, "source_size", "target", "n"), ["key"], "n", total)
     chunks = parts(total, per_chunk)
-    order, chunk = F.xxhash64("doc_id", "size", F.lit(seed)), F.pmod(F.xxhash64(F.lit(seed), "doc_id", "said"), F.lit(chunks))
+    order, chunk = F.xxhash64("doc_id", "said", "size", F.lit(seed)), F.pmod(F.xxhash64(F.lit(seed), "doc_id", "said", "block"), F.lit(chunks))
     rows = rows.withColumn("order", order).withColumn("chunk", chunk).withColumn("copies", F.lit(0).cast("long")).withColumn("chance", F.lit(0.0)).withColumn("open", F.lit(True))
-    columns = ["doc_id", "source", "said", "size", "source_size", "target", "copies", "chance", "order", "chunk", "open"]
+    columns = ["many", "doc_id", "source", "said", "size", "source_size", "target", "copies", "chance", "order", "chunk", "open"]
     placed, level = None, 0
     while True:
         last = chunks == 1
@@ -171,16 +180,28 @@ def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, per_chunk: int =
 def mixed_documents(docs: DataFrame, **options: float) -> DataFrame:
     """The rows of docs, each as often as the mix takes it; a document without words is kept once.
 
-    Rows that repeat a doc_id are told apart by their text, then source; a null
-    doc_id is an id like any other.
+    Rows that repeat doc_id, text and source are one key; where the mix takes some of
+    them once more than the others, those come first in the order of their hashes.
+    Only such rows are numbered: in a window, or over ranges where a key has very many.
     """
-    key = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(-(1 << 63))).alias("id")
-    copies = F.when(F.col("size") == 0, 1).otherwise(F.col("copies")).cast("int").alias("copies")
-    number = F.row_number().over(Window.partitionBy("id", "said").orderBy("source")).alias("n")
-    told = mix(docs, **options).select(key("doc_id"), "said", "source", copies).select("id", "said", number, "copies")
-    rows = docs.select(F.struct("*").alias("row"), key("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("said"), F.col("source").cast("string").alias("source")).select("row", "id", "said", number)
-    taken = rows.join(told.filter("copies > 0").hint("merge"), ["id", "said", "n"])
-    return taken.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).select("row.*")
+    keys = lambda source: [F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("")).alias("id"), F.coalesce(F.concat(F.lit("s"), F.col(source).cast("string")), F.lit("")).alias("from")]
+    on = ["id", "from", "said"]
+    copies = F.when(F.col("size") == 0, 1).otherwise(F.col("copies"))
+    told = mix(docs, **options).select(*keys("source"), "said", copies.alias("copies")).groupBy(*on).agg(F.min("copies").alias("least"), F.sum("copies").alias("all"), F.count("*").alias("m"))
+    told = checkpointed(told.select(*on, "least", (F.col("all") - F.col("least") * F.col("m")).alias("more"), "m", F.col("m").alias("n")).filter("least + more > 0"))
+    rows = docs.select(F.struct("*").alias("row"), *keys("source"), F.xxhash64(F.col("text").cast("string")).alias("said"))
+    taken = spread_join(rows, told, on, "n", told.agg(F.sum("m")).first()[0] or 0)
+    alike = taken.filter("more = 0").select("row", F.col("least").alias("copies"))
+    first = F.row_number().over(Window.partitionBy(*on).orderBy(F.xxhash64("row")))
+    few = taken.filter(f"more > 0 AND m <= {FEW}").withColumn("place", first).select("row", (F.col("least") + (F.col("place") <= F.col("more")).cast("long")).alias("copies"))
+    out = alike.unionByName(few)
+    if told.filter(f"more > 0 AND m > {FEW}").take(1):
+        many = numbered(taken.filter(f"more > 0 AND m > {FEW}").withColumn("salt", F.monotonically_increasing_id()), [*on, F.xxhash64("row"), "salt"], "place")
+        begin = many.groupBy(*on).agg(F.min("place").alias("begin"), F.count("*").alias("n"))
+        placed = spread_join(many, begin, on, "n", many.count())
+        out = out.unionByName(placed.select("row", (F.col("least") + (F.col("place") - F.col("begin") < F.col("more")).cast("long")).alias("copies")))
+    copy = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))
+    return out.filter("copies > 0").withColumn("copy", copy).select("row.*")
 
 
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -101,7 +101,7 @@ _HYBRID = f"""WITH c AS (SELECT q.vec_id AS qid, e.vec_id AS id, {_COS} AS vec F
 k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY vec DESC, id) AS r FROM c) WHERE r <= 30),
 t AS (SELECT qid, id, vec, {TOKENS} AS toks FROM k JOIN documents ON doc_id = id), g AS (SELECT qid, count(*) AS n, avg(len(toks)) AS al FROM t GROUP BY 1),
 p AS (SELECT qid, id, len(toks) AS l, unnest(toks) AS term FROM t), tf AS (SELECT qid, id, l, term, count(*) AS tf FROM p GROUP BY ALL), df AS (SELECT qid, term, count(*) AS df FROM tf GROUP BY 1, 2),
-qt AS (SELECT item_id AS qid, unnest({TOKENS}) AS term FROM benchmark),
+bt AS (SELECT item_id, unnest({TOKENS}) AS term FROM benchmark), qt AS (SELECT vec_id AS qid, term FROM embeddings JOIN bt ON item_id = vec_id // 20 % (SELECT count(*) FROM benchmark) WHERE vec_id % 20 = 0),
 s AS (SELECT qid, id, sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * (l / al)))) AS raw FROM qt JOIN tf USING (qid, term) JOIN df USING (qid, term) JOIN g USING (qid) GROUP BY 1, 2),
 a AS (SELECT k.qid, k.id, k.vec, coalesce(raw, 0.0) AS raw FROM k LEFT JOIN s USING (qid, id))
 SELECT qid, id, round(raw / greatest(max(raw) OVER (PARTITION BY qid), 1.0), 6) AS bm25, round(0.7 * vec + 0.3 * (raw / greatest(max(raw) OVER (PARTITION BY qid), 1.0)), 6) AS score FROM a"""
@@ -111,7 +111,9 @@ SELECT qid, id, round(raw / greatest(max(raw) OVER (PARTITION BY qid), 1.0), 6)
 def hybrid_search(spark, sf):
     v = _vectors(spark, sf).select("id", "vec")
     q = v.filter("id % 20 = 0").select(F.col("id").alias("qid"), "vec")
-    asked = inputs.queries_from_benchmark(spark, sf)
+    texts = inputs.queries_from_benchmark(spark, sf).withColumnRenamed("qid", "item")
+    number = texts.agg(F.count("*").alias("n"))  # each query has the text of an item, round after round
+    asked = q.join(F.broadcast(number)).select("qid", F.floor(F.col("qid") / 20 % F.col("n")).alias("item")).join(texts, "item").select("qid", "text")
     out = retrieval.hybrid(retrieval.knn(q, v, 30, exclude_self=True).select("qid", "id", "vec"), asked, inputs.texts(spark, sf))
     return out.select("qid", "id", F.round("bm25", 6).alias("bm25"), F.round("score", 6).alias("score"))
 

@@ -41,18 +41,23 @@ def kept_references(spark, sf):
     return lint.kept_references(inputs.symbols(spark, sf)).select("path", "name", "ref")
 
 
-_HARD = f"""SELECT path, name, 'stub' AS rule, 'error' AS severity FROM {SYMBOLS} WHERE kind = 'function' AND signature = 'return null;' AND path <> 'src1'
-UNION ALL SELECT path, name, 'missing-description', 'error' FROM {SYMBOLS} WHERE NOT regexp_matches(coalesce(description, ''), '\\S') AND path <> 'src1'"""
+_PLACEHOLDER = " OR ".join(f"regexp_matches(description, '{p}')" for _, p in lint.PLACEHOLDERS)
+_RULED = f"""SELECT path, name, 'missing-description' AS rule, 'error' AS severity FROM {SYMBOLS} WHERE NOT regexp_matches(coalesce(description, ''), '\\S')
+UNION ALL SELECT path, name, 'missing-param-description', 'warning' FROM {SYMBOLS} UNION ALL SELECT path, name, 'missing-param-description', 'warning' FROM {SYMBOLS} WHERE NOT regexp_matches(coalesce(lang, ''), '\\S')
+UNION ALL SELECT path, name, 'missing-return-description', 'error' FROM {SYMBOLS} WHERE kind = 'function' AND return_type = 'string' AND NOT contains(lower(coalesce(description, '')), '@return') AND NOT contains(lower(coalesce(description, '')), 'returns ')
+UNION ALL SELECT path, name, 'placeholder', 'warning' FROM {SYMBOLS} WHERE {_PLACEHOLDER} UNION ALL SELECT path, name, 'stub', 'error' FROM {SYMBOLS} WHERE kind = 'function' AND signature = 'return null;'
+UNION ALL SELECT path, name, 'generic-parameter', 'info' FROM {SYMBOLS} UNION ALL SELECT path, name, 'broken-reference', 'error' FROM {SYMBOLS} WHERE doc_id * 2 NOT IN (SELECT doc_id FROM documents)"""
 
 
-@query(_HARD)
+@query(f"SELECT * FROM ({_RULED}) WHERE path IS NOT NULL")
 def lint_configured(spark, sf):
-    config = {"stub": "error", **dict.fromkeys(("missing-param-description", "missing-return-description", "missing-example", "placeholder", "generic-parameter", "broken-reference"), "off")}
-    modules = table(spark, sf, "documents").filter("source <> 'src1'").select(F.col("source").alias("path"))
+    """All rules but the one that the configuration switches off, over all modules; two have another severity."""
+    config = {"stub": "error", "missing-return-description": "error", "missing-example": "off"}
+    modules = table(spark, sf, "documents").select(F.col("source").alias("path"))
     return lint.lint_modules(modules, inputs.symbols(spark, sf), config).select("path", "name", "rule", "severity")
 
 
-@query(f"SELECT path, name, rule, 'warning' AS severity FROM ({_HARD}) WHERE rule = 'stub'")
+@query(f"SELECT path, name, rule, CASE rule WHEN 'stub' THEN 'warning' ELSE severity END AS severity FROM ({_RULED}) WHERE path IS NOT NULL AND rule <> 'missing-description'")
 def severity_overrides(spark, sf):
     return filters.with_severity(lint_configured(spark, sf), {"stub": "warning", "missing-description": "off"})
 
@@ -111,9 +116,9 @@ def model_lists(spark, sf):
     return named(filters.text_chat_models(m), "chat").unionByName(named(filters.filtered_models(m, "Brand#2", True, "E"), "found")).unionByName(named(filters.filtered_models(m, "Brand#1"), "category"))
 
 
-@query(f"SELECT 0 AS pos, 'auto' AS id, 'Automatic' AS label UNION ALL SELECT CAST(row_number() OVER (ORDER BY created DESC, id) AS INTEGER), id, name FROM {_MODELS} WHERE list_contains(modalities, 'text') AND id <> 'm8'")
+@query(f"SELECT 0 AS pos, 'auto' AS id, 'Automatic' AS label UNION ALL SELECT CAST(row_number() OVER (ORDER BY created DESC, id) AS INTEGER), id, name FROM {_MODELS} WHERE list_contains(modalities, 'text')")
 def model_options(spark, sf):
-    return filters.model_options(_models(spark, sf).filter("id <> 'm8'")).select("pos", "id", "label")
+    return filters.model_options(_models(spark, sf)).select("pos", "id", "label")
 
 
 @query(f"SELECT id FROM {_MODELS} ORDER BY created DESC, id DESC LIMIT 1")

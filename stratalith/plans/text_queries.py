@@ -223,23 +223,35 @@ def class_members(spark, sf):
 _HASH = "substr(sha256({}), 1, 16)"
 
 
+# white space of any kind at the ends, as the operators take it off
+_STRIP = "trim({}, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(160) || chr(8232) || chr(8233) || chr(65279))"
+
+
 @query(
-    f"""WITH s AS (SELECT source AS path, 's' || doc_id AS symbol, 'private export ' || text AS content, doc_id FROM documents)
-SELECT {_HASH.format("path || ':symbol:' || symbol")} AS id, path, symbol, 'function' AS kind, content, CASE WHEN length(string_split(content, chr(10))[1]) > 100 THEN substr(string_split(content, chr(10))[1], 1, 100) || '...' ELSE string_split(content, chr(10))[1] END AS signature, 'private' AS visibility, TRUE AS exported FROM s WHERE ceil(length(content) / 4.0) >= 50 AND NOT contains(content, '{{')"""
+    f"""WITH s AS (SELECT source AS path, 's' || doc_id AS symbol, 'private export ' || CASE WHEN doc_id % 3 = 0 THEN 'function f' || doc_id || '(a)' || chr(10) || '  {{ ' ELSE '' END || text AS content FROM documents),
+h AS (SELECT *, string_split(content, chr(10))[1] AS line, {_STRIP.format("string_split(content, '{')[1]")} AS head FROM s WHERE ceil(length(content) / 4.0) >= 50)
+SELECT {_HASH.format("path || ':symbol:' || symbol")} AS id, path, symbol, 'function' AS kind, content, CASE WHEN contains(content, '{{') THEN head WHEN length(line) > 100 THEN substr(line, 1, 100) || '...' ELSE line END AS signature, 'private' AS visibility, TRUE AS exported FROM h"""
 )
 def symbol_chunks(spark, sf):
     d = table(spark, sf, "documents")
-    rows = d.select(F.col("source").alias("path"), F.concat(F.lit("s"), F.col("doc_id").cast("string")).alias("name"), F.lit("function").alias("kind"), F.concat(F.lit("private export "), "text").alias("text"))
-    return extraction.symbol_chunks(rows.filter(~F.contains("text", F.lit("{"))))
+    own = F.col("doc_id").cast("string")
+    start = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("function f"), own, F.lit("(a)\n  { "))).otherwise("")
+    rows = d.select(F.col("source").alias("path"), F.concat(F.lit("s"), own).alias("name"), F.lit("function").alias("kind"), F.concat(F.lit("private export "), start, "text").alias("text"))
+    return extraction.symbol_chunks(rows)
+
+
+# a comment's markers at the ends, slashes and stars at the starts of lines, quotes at the ends
+_UNMARKED = _STRIP.format("""regexp_replace(regexp_replace(regexp_replace(regexp_replace(' ' || text || ' ', '(?m)^///?', '', 'g'), '(?m)^\\s*\\*\\s?', '', 'g'), '^"{3}|"{3}$', '', 'g'), '^''{3}|''{3}$', '', 'g')""")
 
 
 @query(
-    f"""SELECT {_HASH.format("conv_id || ':comment:' || turn")} AS id, CAST(conv_id AS VARCHAR) AS path, role AS symbol, text AS content FROM conversations WHERE ceil(length(text) / 4.0) >= 50 AND length(trim(text)) = length(text) AND NOT contains(text, '*') AND NOT contains(text, chr(10)) AND NOT contains(text, '//')
+    f"""WITH c AS (SELECT conv_id, turn, role, {_UNMARKED} AS content FROM conversations)
+SELECT {_HASH.format("conv_id || ':comment:' || turn")} AS id, CAST(conv_id AS VARCHAR) AS path, role AS symbol, content FROM c WHERE ceil(length(content) / 4.0) >= 50
 UNION ALL SELECT {_HASH.format("'pr-' || page_id || ':pr'")}, 'pr/' || page_id, NULL, '# ' || url || chr(10) || chr(10) || 'body' || chr(10) || chr(10) || '## Discussion' || chr(10) || '- one' || chr(10) || '- ' || page_id FROM pages"""
 )
 def talk_chunks(spark, sf):
-    plain = table(spark, sf, "conversations").filter("length(trim(text)) = length(text) AND NOT contains(text, '*') AND NOT contains(text, '\n') AND NOT contains(text, '//')")
-    comments = extraction.comment_chunks(plain.select(F.col("conv_id").cast("string").alias("path"), F.col("turn").alias("line"), F.concat(F.lit("/** "), "text", F.lit(" */")).alias("text"), F.col("role").alias("symbol")))
+    talk = table(spark, sf, "conversations")
+    comments = extraction.comment_chunks(talk.select(F.col("conv_id").cast("string").alias("path"), F.col("turn").alias("line"), F.concat(F.lit("/** "), "text", F.lit(" */")).alias("text"), F.col("role").alias("symbol")))
     number = F.col("page_id").cast("string")
     requests = extraction.request_chunks(table(spark, sf, "pages").select(F.col("page_id").alias("num"), F.col("url").alias("title"), F.lit("body").alias("body"), F.array(F.lit("one"), number).alias("comments")))
     return comments.select("id", "path", "symbol", "content").unionByName(requests.select("id", "path", F.lit(None).cast("string").alias("symbol"), "content"))

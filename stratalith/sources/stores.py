@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import json
 import uuid
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.text import language_of
+from .commits import CommitLog
 
 # Extensions of source files and folders that are left out.
 SOURCE_GLOB = "*.{ts,tsx,js,jsx,py,rs,go}"
@@ -53,85 +55,94 @@ def write_freshness(store: DataFrame, path: str) -> None:
 
 
 class ChunkStore:
-    """Chunks in Parquet, partitioned by (type, level); reads of one collection touch its folders only.
-
-    A change writes the folders that it touches anew, under a name of its own, and
-    then a commit: a file that names the folders of every collection, and which
-    can be created once only. Readers follow the last commit, so that they never see
-    half a change, and of two writers that start from the same commit the second
-    fails. Folders that no kept commit names go with ``vacuum``.
+    """Chunks in Parquet by (type, level) and a bucket of their path; reads of a collection or path touch its folders only.
+
+    A change writes its own rows, and the keys of those that go, and then a commit; what
+    was there is left as it is. Reading merges: a chunk is gone if its id or path
+    was deleted by a later commit than its own. ``compact`` writes what is left anew.
+    Readers follow the last commit, so that they never see half a change, and of two
+    writers that start from the same commit the second fails. Folders that no kept
+    commit names go with ``vacuum``.
     """
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 16):
+        self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
         self.fs_path = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p)
         self.fs = self.fs_path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
+        self.log = CommitLog(spark, f"{self.path}/_commits")
 
     def commits(self) -> list[int]:
-        folder = self.fs_path(f"{self.path}/_commits")
-        names = [s.getPath().getName() for s in self.fs.listStatus(folder)] if self.fs.exists(folder) else []
-        return sorted(int(n.removesuffix(".json")) for n in names if n.endswith(".json") and n.removesuffix(".json").isdigit())
-
-    def _state(self, commit: int | None = None) -> tuple[int, str | None, dict[str, list[str]]]:
-        """(number, schema, folders of each collection) of a commit, the last one if none is given."""
-        if commit is None:
-            done = self.commits()
-            if not done:
-                return -1, None, {}
-            commit = done[-1]
-        stream = self.fs.open(self.fs_path(f"{self.path}/_commits/{commit}.json"))
-        try:
-            told = json.loads(bytes(stream.readAllBytes()).decode())
-        finally:
-            stream.close()
-        return commit, told["schema"], told["folders"]
-
-    def _commit(self, number: int, schema: str, folders: dict[str, list[str]]) -> None:
-        """Raises if another writer has made this commit."""
-        stream = self.fs.create(self.fs_path(f"{self.path}/_commits/{number}.json"), False)
-        try:
-            stream.write(bytearray(json.dumps({"schema": schema, "folders": folders}).encode()))
-        finally:
-            stream.close()
-
-    def _written(self, rows: DataFrame) -> dict[str, list[str]]:
+        return self.log.numbers()
+
+    def _state(self, commit: int | None = None) -> tuple[int, dict]:
+        """(number, state): schema, buckets, folders of each collection and deletes, both with the number of their commit."""
+        number, told = self.log.read(commit)
+        return number, told or {"schema": None, "buckets": self.buckets, "folders": {}, "deletes": []}
+
+    def _bucket(self, path: Column, n: int) -> Column:
+        return F.pmod(F.xxhash64(path), F.lit(n)).cast("int")
+
+    def _written(self, rows: DataFrame, buckets: int) -> dict[str, list[str]]:
         """Writes rows to new folders; those of each collection."""
         name = uuid.uuid4().hex
-        rows.withColumn("batch", F.lit(name)).write.mode("append").partitionBy("type", "level", "batch").parquet(self.path)
-        found = self.fs.globStatus(self.fs_path(f"{self.path}/type=*/level=*/batch={name}")) or []
-        paths = [s.getPath().toString().split("/")[-3:] for s in found]
-        return {f"{t}/{level}": [f"{t}/{level}/{b}"] for t, level, b in paths}
-
-    def _rows(self, schema: str, folders: list[str]) -> DataFrame:
-        kind = StructType.fromJson(json.loads(schema))
+        placed = rows.withColumn("bucket", self._bucket(F.col("path"), buckets)).hint("rebalance", "type", "level", "bucket")  # a hot path is split over tasks
+        placed.withColumn("batch", F.lit(name)).write.mode("append").partitionBy("type", "level", "bucket", "batch").parquet(self.path)
+        found = self.fs.globStatus(self.fs_path(f"{self.path}/type=*/level=*/bucket=*/batch={name}")) or []
+        out: dict[str, list[str]] = {}
+        for s in found:
+            parts = s.getPath().toString().split("/")[-4:]
+            out.setdefault("/".join(parts[:2]), []).append("/".join(parts))
+        return out
+
+    def _rows(self, state: dict, folders: list[list]) -> DataFrame:
+        """The rows of these folders that no later commit deletes."""
+        kind = StructType.fromJson(json.loads(state["schema"]))
         if not folders:
             return self.spark.createDataFrame([], kind)
         whole = StructType([*kind.fields, StructField("batch", StringType())])
-        return self.spark.read.schema(whole).option("basePath", self.path).parquet(*[f"{self.path}/{f}" for f in folders]).select(kind.names)
-
-    def read(self, type_: str | None = None, level: str | None = None) -> DataFrame | None:
+        rows = self.spark.read.schema(whole).option("basePath", self.path).parquet(*[f"{self.path}/{f}" for f, _ in folders])
+        since = min(n for _, n in folders)
+        later = [d for d in state["deletes"] if d[2] > since]
+        if not later:
+            return rows.select(kind.names)
+        numbers = self.spark.createDataFrame(sorted({(f.rsplit("batch=", 1)[1], n) for f, n in folders}), "batch string, __made long")
+        rows = rows.join(F.broadcast(numbers), "batch")  # a row for each change since the last compaction
+        for key in sorted({k for k, _, _ in later}):
+            made = [self.spark.read.parquet(f"{self.path}/{f}").select(F.col("key").alias(key), F.lit(n).cast("long").alias("__gone")) for k, f, n in later if k == key]
+            gone = reduce(DataFrame.unionByName, made).groupBy(key).agg(F.max("__gone").alias("__gone"))
+            rows = rows.join(gone, key, "left").filter("__gone IS NULL OR __gone <= __made").drop("__gone")
+        return rows.select(kind.names)
+
+    def read(self, type_: str | None = None, level: str | None = None, commit: int | None = None) -> DataFrame | None:
         """All chunks, or those of a collection; null if nothing was ever written."""
-        number, schema, folders = self._state()
+        number, state = self._state(commit)
         if number < 0:
             return None
-        wanted = [f for key, own in folders.items() for f in own if (type_ is None or key.startswith(f"type={type_}/")) and (level is None or key.endswith(f"/level={level}"))]
-        return self._rows(schema, wanted)
+        wanted = [f for key, own in state["folders"].items() for f in own if (type_ is None or key.startswith(f"type={type_}/")) and (level is None or key.endswith(f"/level={level}"))]
+        return self._rows(state, wanted)
 
     def _change(self, gone: DataFrame | None, key: str, rows: DataFrame | None) -> None:
-        """Chunks whose key ``gone`` holds go and rows come, in one commit; collections without such chunks stay as they are."""
-        number, schema, folders = self._state()
-        new: dict[str, list[str]] = {}
+        """Chunks whose key ``gone`` holds go and rows come, in one commit; no row that stays is written again."""
+        number, state = self._state()
+        schema, new = state["schema"], number + 1
         if number >= 0 and gone is not None:
-            there = self._rows(schema, [f for own in folders.values() for f in own])
-            touched = [f"type={r['type']}/level={r['level']}" for r in there.join(gone.select(key).distinct(), key, "left_semi").select("type", "level").distinct().collect()]
-            rest = self._rows(schema, [f for k in touched for f in folders[k]]).join(gone.select(key).distinct(), key, "left_anti")
-            folders = {k: own for k, own in folders.items() if k not in touched}
-            new = self._written(rest) if touched else {}
-        added = {} if rows is None else self._written(rows if schema is None else rows.select(StructType.fromJson(json.loads(schema)).names))
-        for more in (new, added):
-            for k, own in more.items():
-                folders[k] = [*folders.get(k, []), *own]
-        self._commit(number + 1, schema or rows.schema.json(), folders)
+            folder = f"_deletes/{uuid.uuid4().hex}"
+            gone.select(F.col(key).alias("key")).distinct().write.parquet(f"{self.path}/{folder}")
+            state["deletes"].append([key, folder, new])
+        if rows is not None:
+            rows = rows if schema is None else rows.select(StructType.fromJson(json.loads(schema)).names)
+            for k, own in self._written(rows, state["buckets"]).items():
+                state["folders"][k] = [*state["folders"].get(k, []), *([f, new] for f in own)]
+            state["schema"] = schema or rows.schema.json()
+        self.log.commit(new, state)
+
+    def compact(self) -> None:
+        """Writes all chunks that are left anew, without deletes."""
+        number, state = self._state()
+        if number >= 0:
+            there = self._rows(state, [f for own in state["folders"].values() for f in own])
+            folders = {k: [[f, number + 1] for f in own] for k, own in self._written(there, state["buckets"]).items()}
+            self.log.commit(number + 1, state | {"folders": folders, "deletes": []})
 
     def insert(self, rows: DataFrame) -> None:
         """Adds chunks; those there stay, also those of the same id."""
@@ -151,27 +162,34 @@ class ChunkStore:
             self._change(by, key, None)
 
     def drop_collection(self, type_: str, level: str) -> None:
-        number, schema, folders = self._state()
+        number, state = self._state()
         if number >= 0:
-            self._commit(number + 1, schema, {k: own for k, own in folders.items() if k != f"type={type_}/level={level}"})
+            state["folders"].pop(f"type={type_}/level={level}", None)
+            self.log.commit(number + 1, state)
 
     def vacuum(self, keep: int = 2) -> None:
         """Deletes older commits than the last ``keep``, and folders that none of these names. Not while a writer is at work."""
         done = self.commits()
-        wanted = {f for n in done[-keep:] for own in self._state(n)[2].values() for f in own}
-        for status in self.fs.globStatus(self.fs_path(f"{self.path}/type=*/level=*/batch=*")) or []:
-            if "/".join(status.getPath().toString().split("/")[-3:]) not in wanted:
-                self.fs.delete(status.getPath(), True)
+        states = [self._state(n)[1] for n in done[-keep:]]
+        wanted = {f for s in states for own in s["folders"].values() for f, _ in own} | {d[1] for s in states for d in s["deletes"]}
+        for pattern, depth in (("type=*/level=*/bucket=*/batch=*", 4), ("_deletes/*", 2)):
+            for status in self.fs.globStatus(self.fs_path(f"{self.path}/{pattern}")) or []:
+                if "/".join(status.getPath().toString().split("/")[-depth:]) not in wanted:
+                    self.fs.delete(status.getPath(), True)
         for n in done[:-keep]:
-            self.fs.delete(self.fs_path(f"{self.path}/_commits/{n}.json"), False)
+            self.log.forget(n)
 
     def collections(self) -> DataFrame | None:
         there = self.read()
         return None if there is None else there.groupBy("type", "level").agg(F.count("*").alias("n"))
 
     def by_path(self, path: str) -> DataFrame | None:
-        there = self.read()
-        return None if there is None else there.filter(F.col("path") == path)
+        """Chunks of a path; only its bucket is read."""
+        number, state = self._state()
+        if number < 0:
+            return None
+        bucket = self.spark.range(1).select(self._bucket(F.lit(path), state["buckets"]).alias("b")).first()["b"]
+        return self._rows(state, [f for own in state["folders"].values() for f in own if f"/bucket={bucket}/" in f[0]]).filter(F.col("path") == path)
 
     def by_id(self, key: str) -> DataFrame | None:
         there = self.read()

@@ -59,24 +59,52 @@ def test_chunk_store(spark, tmp_path):
 
 
 def test_chunk_store_commits(spark, tmp_path):
-    """A reader keeps its commit, an unfinished change shows nowhere, a second writer fails, untouched collections stay in place."""
+    """A reader keeps its commit, an unfinished change shows nowhere, a second writer fails, and what stays is not written again."""
     store = stores.ChunkStore(spark, str(tmp_path / "chunks"))
     rows = lambda *r: spark.createDataFrame(list(r), "id string, path string, content string, type string, level string")
-    store.insert(rows(("1", "a", "x", "code", "file"), ("2", "b", "y", "docs", "file")))
-    before = store.read()
-    docs = store._state()[2]["type=docs/level=file"]
+    store.insert(rows(("1", "a", "x", "code", "file"), ("2", "b", "y", "docs", "file"), ("3", "c", "z", "code", "file")))
+    before, first = store.read(), store._state()[1]["folders"]
     store.upsert(rows(("1", "a", "new", "code", "file")))
-    assert {r.content for r in before.collect()} == {"x", "y"} and {r.content for r in store.read().collect()} == {"new", "y"}
-    assert store._state()[2]["type=docs/level=file"] == docs
-    number = store._state()[0]
-    store._written(rows(("9", "z", "lost", "code", "file")))  # a writer that dies before its commit
-    assert {r.id for r in store.read().collect()} == {"1", "2"}
+    assert {r.content for r in before.collect()} == {"x", "y", "z"} and {r.content for r in store.read().collect()} == {"new", "y", "z"}
+    number, state = store._state()
+    assert state["folders"]["type=docs/level=file"] == first["type=docs/level=file"]
+    assert [f for f in state["folders"]["type=code/level=file"] if f not in first["type=code/level=file"]] and all(f in state["folders"]["type=code/level=file"] for f in first["type=code/level=file"])
+    store._written(rows(("9", "z", "lost", "code", "file")), 16)  # a writer that dies before its commit
+    assert {r.id for r in store.read().collect()} == {"1", "2", "3"}
     with pytest.raises(Exception, match="(?i)exist"):
-        store._commit(number, "{}", {})
-    assert {r.id for r in store.read().collect()} == {"1", "2"}
+        store.log.commit(number, {})
+    assert {r.id for r in store.read().collect()} == {"1", "2", "3"}
+    assert {r.content for r in store.read(commit=0).collect()} == {"x", "y", "z"}
+    store.compact()
     store.vacuum(1)
-    assert store.commits() == [number] and {r.content for r in store.read().collect()} == {"new", "y"}
-    assert len(list((tmp_path / "chunks").glob("type=*/level=*/batch=*"))) == 2
+    assert store.commits() == [number + 1] and {r.content for r in store.read().collect()} == {"new", "y", "z"}
+    assert not list((tmp_path / "chunks" / "_deletes").glob("*")) and not store._state()[1]["deletes"]
+
+
+def test_half_written_commits_are_none(spark, tmp_path):
+    store = stores.ChunkStore(spark, str(tmp_path / "chunks"))
+    row = spark.createDataFrame([("1", "a", "x", "code", "file")], "id string, path string, content string, type string, level string")
+    store.insert(row)
+    (tmp_path / "chunks/_commits/1.json").write_text("")  # an empty file where the next commit would be
+    (tmp_path / "chunks/_commits/.1-abc").write_text('{"schema"')  # a writer between create and rename
+    assert store.commits() == [0] and [r.id for r in store.read().collect()] == ["1"]
+    store.insert(row.withColumn("id", F.lit("2")))
+    assert store.commits() == [0, 1] and {r.id for r in store.read().collect()} == {"1", "2"}
+
+
+def test_bytes_written_follow_the_change(spark, tmp_path):
+    store = stores.ChunkStore(spark, str(tmp_path / "chunks"), buckets=8)
+    size = lambda: sum(p.stat().st_size for p in (tmp_path / "chunks").rglob("*.parquet"))
+    said = F.concat_ws(" ", F.sha2(F.col("id").cast("string"), 512), F.sha2((-F.col("id")).cast("string"), 512))
+    rows = spark.range(20_000).select(F.col("id").cast("string").alias("id"), F.concat(F.lit("p"), F.col("id") % 500).alias("path"), said.alias("content"), F.lit("code").alias("type"), F.lit("file").alias("level"))
+    store.insert(rows)
+    whole = size()
+    for k in range(3):
+        store.replace_paths(spark.createDataFrame([(f"p{k}",)], "path string"), rows.filter(F.col("path") == f"p{k}").withColumn("content", F.lit("new")))
+    assert size() - whole < whole / 20
+    got = store.read()
+    assert got.count() == 20_000 and got.filter("content = 'new'").count() == 120
+    assert len(store.by_path("p77").inputFiles()) < len(got.inputFiles()) / 3 and store.by_path("p77").count() == 40
 
 
 def test_snapshots(spark, tmp_path):

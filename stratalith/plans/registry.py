@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from ..checkpoints import ensure_checkpoint_dir
 from ..functions import scoring, text, vectors
 from ..operators import coverage, diff, freshness, graph, lint, metrics, ranking, rendering, retrieval, sequences, trace
+from ..sources.inverted_index import InvertedIndex
+from ..sources.vector_index import VectorIndex
 from . import inputs
 from .register import QUERIES, SQL, count_sql, query  # noqa: F401, the driver's tables
 from .inputs import CALL_EDGES, CURRENT, CUSTOMER_GRAPH, PARAMS_AFTER, PARAMS_BEFORE, PART_AFTER, PART_BEFORE, STORE, SYMBOLS, WHOLE_SYMBOLS, table
@@ -60,7 +65,21 @@ def _vectors(spark, sf):
     return table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"), F.col("label").alias("type"))
 
 
-@query(f"SELECT qid, id, rank, round(vec, 6) AS vec FROM (SELECT q.vec_id AS qid, e.vec_id AS id, {_COS} AS vec, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_COS} DESC, e.vec_id) AS rank FROM embeddings e, embeddings q WHERE q.vec_id % 20 = 0 AND e.vec_id <> q.vec_id) WHERE rank <= 10")
+_KNN = f"SELECT qid, id, rank, round(vec, 6) AS vec FROM (SELECT q.vec_id AS qid, e.vec_id AS id, {_COS} AS vec, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_COS} DESC, e.vec_id) AS rank FROM embeddings e, embeddings q WHERE q.vec_id % 20 = 0 AND e.vec_id <> q.vec_id) WHERE rank <= 10"
+
+
+@query(_KNN)
+def indexed_knn(spark, sf):
+    """The same by the index on disk: cells near a query first, then those that angles cannot rule out."""
+    v = _vectors(spark, sf)
+    index = VectorIndex(spark, f"{ensure_checkpoint_dir(spark)}/vectors-{uuid.uuid4().hex}")
+    index.insert(v.filter("id % 3 <> 0").select("id", "vec"))
+    index.insert(v.filter("id % 3 = 0").select("id", "vec"))
+    hits = index.search(v.filter("id % 20 = 0").select(F.col("id").alias("qid"), "vec"), 10, exact=True, exclude_self=True).hits
+    return hits.select("qid", "id", F.col("rank").cast("long").alias("rank"), F.round("vec", 6).alias("vec"))
+
+
+@query(_KNN)
 def knn_topk(spark, sf):
     v = _vectors(spark, sf)
     q = v.filter("id % 20 = 0").select(F.col("id").alias("qid"), F.col("vec"))
@@ -92,6 +111,17 @@ def bm25_topk(spark, sf):
     return retrieval.top_k(scores, 10, "qid", "bm25", "id").select("qid", "id", F.col("rank").cast("long").alias("rank"), "bm25")
 
 
+@query(f"{_BM25} SELECT qid, id, rank, round(s, 6) AS bm25 FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(s, 6) DESC, id) AS rank FROM s) WHERE rank <= 10")
+def indexed_bm25(spark, sf):
+    """The same by postings on disk, of which only blocks that can matter are read; a third of the documents is written anew in between."""
+    texts = inputs.texts(spark, sf)
+    index = InvertedIndex(spark, f"{ensure_checkpoint_dir(spark)}/postings-{uuid.uuid4().hex}")
+    index.update(texts.withColumn("text", F.when(F.col("id") % 3 == 0, F.concat(F.lit("older words "), F.reverse("text"))).otherwise(F.col("text"))))
+    index.update(texts.filter("id % 3 = 0"))
+    hits = index.search(inputs.queries_from_benchmark(spark, sf), 10, digits=6).hits
+    return hits.select("qid", "id", F.col("rank").cast("long").alias("rank"), F.round("bm25", 6).alias("bm25"))
+
+
 @query(f"WITH t AS (SELECT doc_id, {TOKENS} AS toks FROM documents), u AS (SELECT DISTINCT doc_id, unnest(toks) AS term FROM t) SELECT term, count(*) AS df FROM u GROUP BY 1")
 def bm25_document_frequency(spark, sf):
     return retrieval.bm25_index(inputs.texts(spark, sf))[1]

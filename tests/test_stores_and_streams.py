@@ -161,3 +161,35 @@ def test_incremental_index(spark, tmp_path):
 def test_converge(spark):
     rows, turns = watch.converge(lambda df: df.select(F.floor(F.col("id") / 2).alias("id")), spark.range(5))
     assert turns == 4 and {r.id for r in rows.collect()} == {0}
+    with pytest.raises(ValueError, match="settled"):
+        watch.converge(lambda df: df.select((F.col("id") + 1).alias("id")), spark.range(5), most=2, strict=True)
+
+
+def test_quiet_batches(spark, tmp_path):
+    """A gap flushes all paths of a root together; late and repeated changes join; a restart loses and repeats nothing; a busy root is cut."""
+    start = datetime(2024, 1, 1)
+    source, done = str(tmp_path / "in"), str(tmp_path / "out")
+
+    def put(*rows):
+        made = [(r, p, start + timedelta(seconds=s)) for r, p, s in rows]
+        spark.createDataFrame(made, "root string, path string, ts timestamp").coalesce(1).write.mode("append").parquet(source)
+
+    def turn(most=100):
+        stream = spark.readStream.schema("root string, path string, ts timestamp").option("maxFilesPerTrigger", 1).parquet(source)
+        q = watch.quiet_batches(stream, 2000, "5 seconds", most).writeStream.format("parquet").option("path", done).option("checkpointLocation", str(tmp_path / "cp")).outputMode("append").trigger(availableNow=True).start()
+        q.awaitTermination()
+        rows = spark.read.parquet(done).collect()
+        return sorted((r.root, (r.started - start).total_seconds(), (r["last"] - start).total_seconds(), tuple(r.paths), r.quiet) for r in rows)
+
+    put(("w", "a", 0), ("w", "b", 1), ("w", "a", 2.5), ("v", "x", 1), (None, "n", 1))
+    turn()
+    put(("w", "c", 1.5), ("w", "d", 4), ("w", "a", 7))  # c comes late and joins; a follows a quiet gap
+    first = turn()
+    assert ("w", 0.0, 4.0, ("a", "b", "c", "d"), True) in first and not [r for r in first if "n" in r[3]]
+    put(("w", "z", 60))  # after a restart the watermark closes what waited
+    put(("w", "z", 61))
+    got = turn()
+    assert got == [("v", 1.0, 1.0, ("x",), True), ("w", 0.0, 4.0, ("a", "b", "c", "d"), True), ("w", 7.0, 7.0, ("a",), True)]
+    put(*[("busy", f"p{i}", 100 + i) for i in range(5)])
+    cut = [r for r in turn(most=2) if r[0] == "busy"]
+    assert [r[3:] for r in cut if not r[4]] == [(("p0", "p1"), False), (("p2", "p3"), False)]

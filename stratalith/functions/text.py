@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -48,10 +49,15 @@ def _replaced(c: Column, *pairs: tuple[str, str]) -> Column:
 
 
 def ascii_bounds(pattern: str) -> str:
-    """The pattern with word boundaries between ASCII word characters and all others, as \\w has it; here they would know other letters."""
+    """The pattern with word boundaries between ASCII word characters and all others, as \\w has it; here they would know other letters.
+
+    A boundary before plain letters is asked for behind them, so that the search
+    looks at the letters first and back only where they stand.
+    """
     word = r"[a-zA-Z0-9_]"
     head = pattern.removesuffix(r"\b")
-    return head.replace(r"\b", f"(?<!{word})") + (f"(?!{word})" if head != pattern else "")
+    behind = re.sub(r"\\b([a-zA-Z]+)(?![a-zA-Z*+?{|])", lambda m: f"{m[1]}(?<!{word}{m[1]})", head)
+    return behind.replace(r"\b", f"(?<!{word})") + (f"(?!{word})" if head != pattern else "")
 
 
 def lookup(key: Column, table: dict[str, str]) -> Column:
@@ -122,7 +128,6 @@ def highlight(terms: list[str], c: Column, most: int = 3) -> Column:
 
 def expand_query(query: str) -> list[str]:
     """The query and its variants with a synonym in place of a keyword, each once."""
-    import re
 
     words = [w for w in re.split(r"\s+", re.sub(r"[^\w\s]", " ", query.lower(), flags=re.ASCII)) if len(w) > 2 and w not in STOP_WORDS]
     variants = [re.sub(w, s, query, flags=re.IGNORECASE) for w in words for s in CODE_SYNONYMS.get(w, [])]
@@ -227,7 +232,6 @@ def escape_markdown(c: Column) -> Column:
 
 def matches_query(c: Column, query: str) -> Column:
     """Any text for the empty query; else a substring, or the query's characters in order."""
-    import re
 
     if not query:
         return F.lit(True)
@@ -237,7 +241,6 @@ def matches_query(c: Column, query: str) -> Column:
 
 def is_watch_excluded(path: Column, output: str = ".output") -> Column:
     """Paths that no watch regenerates: dependencies, build results and the tool's own output folder."""
-    import re
 
     return path.rlike(rf"node_modules|{re.escape(output)}|dist/|build/")
 

@@ -93,7 +93,7 @@ def _block_scores(k: int | None, least: float | None, exclude_self: bool) -> Cal
 
 
 def vector_scores(queries: DataFrame, chunks: DataFrame, k: int | None = None, least: float | None = None, exclude_self: bool = False, by: str | None = None, per_block: int = 4096) -> DataFrame:
-    """(qid, id, vec) cosine of queries (qid, vec) with chunks (id, vec): every pair, or each block's best ``k`` of a query.
+    """(qid, id, vec) cosine of queries (qid, vec) with chunks (id, vec): pairs of at least ``least``, or each block's best ``k`` of a query.
 
     Blocks of queries meet blocks of chunks of the same length (and the same
     ``by``), a matrix product each. Null vectors meet nothing; a zero vector has
@@ -102,6 +102,8 @@ def vector_scores(queries: DataFrame, chunks: DataFrame, k: int | None = None, l
     keys = [F.size("vec").alias("size"), *([F.col(by).alias("by")] if by else [])]
     names = ["size", *(["by"] if by else []), "x", "y"]
     asked, rows = queries.filter(F.col("vec").isNotNull()), chunks.filter(F.col("vec").isNotNull())
+    if k is None and least is None:
+        raise ValueError("every pair is asked for: give k or least")
     blocks = [max(1, -(-df.count() // per_block)) for df in (asked, rows)]
     block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))

@@ -6,6 +6,7 @@ import math
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,22 +55,35 @@ def modifier_names(bits: Column, names: list[str]) -> Column:
     return F.filter(F.array(*[F.when(bits.bitwiseAND(F.lit(1 << i)) != 0, F.lit(n)) for i, n in enumerate(names)]), lambda x: x.isNotNull())
 
 
+def _filling(room: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Chunk numbers of rows that come by module and place; only the open chunk is held."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        module, used, chunk = object(), 0, 0
+        for batch in batches:
+            chunks = []
+            for own, size in zip(batch.column("by").to_pylist(), batch.column("size").to_pylist(), strict=True):
+                if own != module:
+                    module, used, chunk = own, 0, 0
+                elif used > 0 and used + size > room:
+                    used, chunk = 0, chunk + 1
+                used += size
+                chunks.append(chunk)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("by", "pos", "tokens")), pa.array(chunks, pa.int32())], ["by", "pos", "tokens", "chunk"])
+
+    return run
+
+
 def greedy_chunks(symbols: DataFrame, budget: int, overhead: int = 200, by: str = "module") -> DataFrame:
     """symbols (module, pos, tokens) with chunk: each goes on while the budget holds, else it opens a chunk.
 
-    A fold over the module's ordered sizes, then joined to the rows by place.
+    Rows of a module pass one task in order, which holds the open chunk's size alone.
+    A null size counts as 0.
     """
-    room = budget - overhead
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.lit(0).alias("chunk"), F.array().cast("array<int>").alias("chunks"))
-
-    def step(s: Column, t: Column) -> Column:
-        opens = (s["used"] > 0) & (s["used"] + t > room)
-        chunk = F.when(opens, s["chunk"] + 1).otherwise(s["chunk"])
-        return F.struct(F.when(opens, t).otherwise(s["used"] + t).cast("long").alias("used"), chunk.alias("chunk"), F.concat(s["chunks"], F.array(chunk)).alias("chunks"))
-
-    ordered = symbols.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("pos", "tokens"))).alias("rows"))
-    folded = ordered.withColumn("chunks", F.aggregate(F.transform("rows", lambda r: r["tokens"].cast("long")), start, step, lambda s: s["chunks"]))
-    return folded.select(by, F.explode(F.arrays_zip("rows", "chunks")).alias("z")).select(by, "z.rows.pos", "z.rows.tokens", F.col("z.chunks").alias("chunk"))
+    kinds = ", ".join(f"{name} {symbols.schema[c].dataType.simpleString()}" for name, c in (("by", by), ("pos", "pos"), ("tokens", "tokens")))
+    rows = symbols.select(F.col(by).alias("by"), "pos", "tokens", F.coalesce(F.col("tokens").cast("long"), F.lit(0).cast("long")).alias("size"))
+    made = rows.repartition("by").sortWithinPartitions("by", "pos", "tokens").mapInArrow(_filling(budget - overhead), f"{kinds}, chunk int")
+    return made.select(F.col("by").alias(by), "pos", "tokens", "chunk")
 
 
 def _windowing(most: int, least: int, overlap: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:

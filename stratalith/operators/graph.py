@@ -130,20 +130,22 @@ def _within(turn: int, most: int | None) -> None:
 
 
 def _spread_out(known: DataFrame, edges: DataFrame, key: str, most: int | None, turns: int = 3) -> DataFrame:
-    """known (key, id, level, path) with all that edges (src, dst) reach, at its first level, by the smallest path there.
+    """known (key, id, level and, if there, path) with all that edges (src, dst) reach, at its first level, by the smallest path there.
 
     A turn joins the last level with the edges and folds what is new into the
-    known rows in one aggregation; several turns share a plan and a checkpoint.
+    known rows in one aggregation, of plain numbers where no paths are kept; several
+    turns share a plan and a checkpoint.
     """
+    paths = ["path"] if "path" in known.columns else []
     known = checkpointed(known)
     at = 0
     while True:
         for _ in range(turns):
             at += 1
-            last = known.filter(F.col("level") == at - 1).select(key, F.col("id").alias("src"), "path")
-            step = last.join(edges, "src").select(key, F.col("dst").alias("id"), F.lit(at).alias("level"), F.when(F.col("path").isNotNull(), F.concat("path", F.array("dst"))).alias("path"))
-            best = known.unionByName(step).groupBy(key, "id").agg(F.min(F.struct("level", "path")).alias("best"))
-            known = best.select(key, "id", "best.level", "best.path")
+            last = known.filter(F.col("level") == at - 1).select(key, F.col("id").alias("src"), *paths)
+            step = last.join(edges, "src").select(key, F.col("dst").alias("id"), F.lit(at).alias("level"), *[F.concat("path", F.array("dst")).alias("path")] * bool(paths))
+            both = known.unionByName(step).groupBy(key, "id")
+            known = both.agg(F.min(F.struct("level", "path")).alias("best")).select(key, "id", "best.level", "best.path") if paths else both.agg(F.min("level").alias("level"))
         known = checkpointed(known)
         if known.filter(F.col("level") == at).isEmpty():
             return known
@@ -153,8 +155,7 @@ def _spread_out(known: DataFrame, edges: DataFrame, key: str, most: int | None,
 def transitive_closure(edges: DataFrame, seeds: DataFrame, most: int | None = None) -> DataFrame:
     """(seed, id, level): everything reachable, at its first level; a seed itself only over a cycle."""
     edges = checkpointed(edges.select("src", "dst").distinct())
-    none = F.lit(None).cast(f"array<{edges.schema['dst'].dataType.simpleString()}>").alias("path")
-    first = edges.join(seeds.select("seed").distinct(), F.col("src") == F.col("seed")).select("seed", F.col("dst").alias("id"), F.lit(0).alias("level"), none)
+    first = edges.join(seeds.select("seed").distinct(), F.col("src") == F.col("seed")).select("seed", F.col("dst").alias("id"), F.lit(0).alias("level"))
     return _spread_out(first, edges, "seed", most and most - 1).select("seed", "id", (F.col("level") + 1).alias("level"))
 
 

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..checkpoints import ensure_checkpoint_dir
-from ..operators import diff, extraction, freshness, metrics, rendering, retrieval, sequences
+from ..operators import diff, embedder, extraction, freshness, metrics, rendering, retrieval, sequences
 from ..sources import stores
 from . import inputs
 from .inputs import CURRENT, PART_AFTER, PART_BEFORE, STORE, SYMBOLS, table
@@ -444,3 +444,13 @@ def complexity(spark, sf):
     code = F.concat(F.lit("function run(a, b) {\n  if (a) { return "), F.col("page_id").cast("string"), F.lit("; }\n}\n"), "html")
     rows = metrics.analyze_complexity(table(spark, sf, "pages").select(F.col("page_id").alias("path"), code.alias("content")))
     return rows.select("path", "code_lines", "comment_lines", "cyclomatic", "cognitive", "max_nesting", "functions", "avg_function_length", "parameters", F.round("maintainability", 4).alias("maintainability"), "overall")
+
+
+@query()
+def fitted_neighbours(spark, sf):
+    """The nearest documents of every twentieth one by the fitted embedder."""
+    docs = inputs.texts(spark, sf)
+    model = embedder.fit_embedder(docs)
+    asked = docs.filter("id % 20 = 0")
+    hits = retrieval.knn(embedder.embed(asked, model).select(F.col("id").alias("qid"), "vec"), embedder.embed(docs, model), 5, exclude_self=True)
+    return hits.select("qid", F.col("rank").cast("long").alias("rank"), "id", F.round("vec", 6).alias("score"))

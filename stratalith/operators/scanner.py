@@ -15,7 +15,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import clean_comment, language_of
+from ..functions.text import clean_comment, estimate_tokens, hash_id, language_of
+from .extraction import file_context, symbol_chunks
+from .ranking import module_definitions
 
 # Words that declare, and the kind of symbol.
 DECLARES = {
@@ -459,3 +461,26 @@ def _import_rows(content: str, language: str) -> Iterator[tuple]:
 def import_bindings(files: DataFrame) -> DataFrame:
     """path, pos, source, imported (* for all), local, again (exported again) of every imported name."""
     return _apply(files, _import_rows, "pos int, source string, imported string, local string, again boolean")
+
+
+def tree_exports(tree: DataFrame) -> DataFrame:
+    """path, pos, name, is_default, is_type_only of what modules export, from their symbols at the top."""
+    own = tree.filter("parent < 0 AND exported")
+    return own.select("path", "pos", "name", F.col("signature").rlike(r"^export\s+default\b").alias("is_default"), F.col("kind").isin("interface", "type").alias("is_type_only"))
+
+
+def module_schema(tree: DataFrame) -> DataFrame:
+    """module, key, kind, parent, line, end_line, documentation, visibility: a module's definitions by name, those one level down by parent.name; of equal keys the last counts."""
+    above = tree.select("path", F.col("pos").alias("parent"), F.col("name").alias("owner"), F.col("parent").alias("above"))
+    near = tree.join(above, ["path", "parent"], "left").filter("parent < 0 OR above < 0")
+    rows = near.select(F.col("path").alias("module"), "pos", "name", "kind", F.col("owner").alias("parent"), F.when(F.col("parent") < 0, 0).otherwise(1).alias("depth"), "line", "end_line", "documentation", "visibility")
+    return module_definitions(rows).select("module", "key", "kind", "parent", "line", "end_line", "documentation", "visibility")
+
+
+def source_chunks(files: DataFrame, least: int = 50) -> DataFrame:
+    """id, path, level, symbol, content: of each file (path, content) what it imports and declares, its symbols and its doc comments, those of at least ``least`` tokens."""
+    context = files.select(hash_id(F.col("path"), F.lit("file"), F.lit("context")).alias("id"), "path", F.lit("file").alias("level"), F.lit(None).cast("string").alias("symbol"), file_context(F.col("content")).alias("content"))
+    symbols = symbol_chunks(symbol_tree(files, texts=True), least).select("id", "path", F.lit("symbol").alias("level"), "symbol", "content")
+    docs = doc_comments(files).filter(estimate_tokens(F.col("text")) >= least)
+    said = docs.select(hash_id(F.col("path"), F.lit("comment"), F.col("line").cast("string")).alias("id"), "path", F.lit("comment").alias("level"), "symbol", F.col("text").alias("content"))
+    return context.filter("content <> ''").unionByName(symbols).unionByName(said)

@@ -62,3 +62,31 @@ def text_references(spark, sf):
     found = checkpointed(names.resolve_names(files))
     said = names.hovers(found, symbols).select("path", "at", "contents").distinct()
     return names.references(found).join(said, ["path", "at"]).select("target", "path", "line", "contents")
+
+
+@query(f"WITH {_SYMBOLS} SELECT path, pos, name, FALSE AS is_default, FALSE AS is_type_only FROM s WHERE exported")
+def tree_exports(spark, sf):
+    return scanner.tree_exports(scanner.symbol_tree(source_files(spark, sf)))
+
+
+@query(f"WITH {_SYMBOLS} SELECT c.path AS module, CASE WHEN c.parent < 0 THEN c.name ELSE p.name || '.' || c.name END AS key, c.kind, c.line, c.documentation FROM s c LEFT JOIN s p ON p.path = c.path AND p.pos = c.parent")
+def module_schemas(spark, sf):
+    return scanner.module_schema(scanner.symbol_tree(source_files(spark, sf))).select("module", "key", "kind", "line", "documentation")
+
+
+_TEXT = r"regexp_replace(coalesce(text, ''), '[`\\$]', ' ', 'g')"
+_CLASS = f"'export class Doc' || i || ' {{' || chr(10) || '  // function fake() {{ class Nope {{' || chr(10) || '  ' || field || chr(10) || '  {_RUN} {{ return this.size() + before(`{{`); }}' || chr(10) || '  {_SIZE} {{ return helper' || i || '(1); }}' || chr(10) || '}}'"
+_HEAD = "'import { helper' || (i - 1) || ' as before } from ''./d' || (i - 1) || ''';' || chr(10) || '/** Document ' || i || ' in ' || lang || '. */' || chr(10)"
+_FOOT = "chr(10) || 'export function helper' || i || '(n: number) { const step = () => n; return step(); }' || chr(10)"
+_CHUNK = "substr(sha256(path || ':{}:' || {}), 1, 16)"
+
+
+@query(
+    f"""WITH t AS (SELECT doc_id AS i, 'm/d' || doc_id || '.ts' AS path, coalesce(lang, 'none') AS lang, 'private text = `' || {_TEXT} || '`' AS field FROM documents), u AS (SELECT i, path, lang, field || ';' AS field FROM t),
+c AS (SELECT *, {_CLASS} AS class FROM u), w AS (SELECT *, {_HEAD} || class || {_FOOT} AS content FROM c)
+SELECT {_CHUNK.format("file", "'context'")} AS id, path, 'file' AS level, NULL AS symbol, array_to_string(list_slice(list_filter(string_split(content, chr(10)), lambda l: regexp_matches(l, '^\\s*(import|export|module|//|/\\*|\\*|#)')), 1, 50), chr(10)) AS content FROM w
+UNION ALL SELECT {_CHUNK.format("symbol", "'Doc' || i")}, path, 'symbol', 'Doc' || i, class FROM w WHERE ceil(length(class) / 4.0) >= 50
+UNION ALL SELECT {_CHUNK.format("symbol", "'text'")}, path, 'symbol', 'text', field FROM w WHERE ceil(length(field) / 4.0) >= 50"""
+)
+def source_chunks(spark, sf):
+    return scanner.source_chunks(source_files(spark, sf))

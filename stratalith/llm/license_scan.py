@@ -58,6 +58,9 @@ def words_of(text: str) -> list[str]:
     return [folded[a:b].tobytes().decode() for a, b in zip(starts, ends, strict=True)]
 
 
+WINDOW = 2  # a template's words stand within so many times its length
+
+
 def word_keys(words: list[str]) -> np.ndarray:
     """The hashes that span_hashes gives these words."""
     raw = [w.encode() for w in words]
@@ -119,7 +122,7 @@ class Templates:
         self.rank = np.zeros(len(words), np.int64)
         self.rank[order] = np.arange(len(words))
         of = {words[i]: int(self.rank[i]) for i in range(len(words))}
-        self.sets, self.labels, self.needs = [], [], []
+        self.sets, self.labels, self.needs, self.reach = [], [], [], []
         self.index: dict[int, list[tuple[int, int]]] = {}
         for label, text in templates:
             ranks = sorted({of[w] for w in words_of(text)})
@@ -129,6 +132,7 @@ class Templates:
             for place in range(len(ranks) - need + 1):
                 self.index.setdefault(ranks[place], []).append((len(self.sets), place))
             self.sets.append(ranks)
+            self.reach.append(WINDOW * len(words_of(text)))
             self.labels.append(label)
             self.needs.append(need)
         self.prefix = np.zeros(len(words), bool)
@@ -151,6 +155,22 @@ class Templates:
         return met
 
 
+def closest(places: np.ndarray, ranks: np.ndarray, reach: int) -> int:
+    """The most different ranks that stand within ``reach`` words of each other; places in order."""
+    held: dict[int, int] = {}
+    most = low = 0
+    for p, r in zip(places.tolist(), ranks.tolist(), strict=True):
+        held[r] = held.get(r, 0) + 1
+        while p - places[low] >= reach:
+            gone = int(ranks[low])
+            held[gone] -= 1
+            if not held[gone]:
+                del held[gone]
+            low += 1
+        most = max(most, len(held))
+    return most
+
+
 def _blocks(data: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
     """Bytes at which blocks of a kind begin: lines, then paragraphs."""
     feed = data == 10
@@ -197,6 +217,13 @@ def _scanning(templates: list[tuple[str, str]], frequency: dict[str, int], least
                     cuts = np.flatnonzero(np.diff(groups)) + 1
                     for g, ranks in zip(groups[np.concatenate([[0], cuts])] if len(groups) else (), np.split(own, cuts), strict=False):
                         for t, share in side.match(ranks).items():
+                            there = np.arange(*np.searchsorted(block, [g, g + 1]))
+                            there = there[np.isin(rank[there], side.sets[t])]
+                            if len(there) and hit[there[-1]] - hit[there[0]] >= side.reach[t]:  # a long block: the words have to stand together
+                                both = closest(hit[there], rank[there], side.reach[t])
+                                if both < side.needs[t]:
+                                    continue
+                                share = both / len(side.sets[t])
                             d = int(np.searchsorted(offsets, begin[g], "right")) - 1
                             label = side.labels[t]
                             best[d][label] = max(share, best[d].get(label, 0.0))
@@ -218,7 +245,8 @@ def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES,
 
     A null text is empty: no words, no labels (empty strings), score 0. The score
     is 1 where a base phrase stands, else the largest containment of a template
-    that meets ``least``, else 0. Repeated rows are scanned each; no rows give none.
+    that meets ``least`` within a line or paragraph, in a stretch of ``WINDOW`` times the
+    template's words, else 0. Repeated rows are scanned each; no rows give none.
     """
     frequency = document_frequency(docs, templates)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(

@@ -226,11 +226,14 @@ def brute_license(text):
             held.append(line)
     blocks = lines + ["\n".join(p) for p in [*paragraphs, held]]
     for block in blocks:
-        own = set(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", block))
+        own = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", block)
         for label, template in TEMPLATES:
-            want = set(words_of(template))
-            if len(want & own) >= 0.9 * len(want) - 1e-9:
-                best[label] = max(best.get(label, 0), len(want & own) / len(want))
+            want, reach = set(words_of(template)), 2 * len(words_of(template))
+            if len(want & set(own)) < 0.9 * len(want) - 1e-9:
+                continue
+            both = max(len(want & set(own[i : i + reach])) for i in range(max(1, len(own) - reach + 1)))
+            if both >= 0.9 * len(want) - 1e-9:
+                best[label] = max(best.get(label, 0), both / len(want))
     score = 1.0 if labels else max(best.values(), default=0.0)
     return len(found), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(labels)), ",".join(sorted(labels | best.keys())), score
 
@@ -241,9 +244,13 @@ def test_licenses(spark, awkward, empty):
     for _, t in TEMPLATES:
         w = t.split()
         texts += [t, f"{words(rng, 20)}\n{t}\n{words(rng, 9)}", "\n".join(w), f"{words(rng, 3)}\n\n" + "\n".join(w), " ".join(w[: len(w) * 4 // 5]), " ".join(x for x in w if rng.random() < 0.95)]
+    far = [f" {words(rng, 60)} ".join(t.split()) for _, t in TEMPLATES]  # all words of a template in one long line, but not together
+    texts += far + [f"{far[0]} {TEMPLATES[0][1]} {words(rng, 300)}"]
     docs = rows_of(spark, texts).unionByName(awkward.select("doc_id", "text", "lang", "source", "n_chars").filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).withColumn("doc_id", F.col("doc_id") + 1000))
     got = {r.doc_id: tuple(r)[1:] for r in scan_licenses(docs).collect()}
     assert got == {r.doc_id: brute_license(r.text) for r in docs.collect()}
+    apart = range(len(texts) - 1 - len(far), len(texts) - 1)
+    assert all(got[i][5] == got[i][4] for i in apart) and TEMPLATES[0][0] in got[len(texts) - 1][5]
     assert scan_licenses(empty).count() == 0 and scan_licenses(awkward).count() == awkward.count()
 
 

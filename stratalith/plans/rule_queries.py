@@ -156,17 +156,17 @@ _DAY = "CAST(epoch({}) // 86400 AS BIGINT)"
 
 
 @query(
-    f"""WITH s AS (SELECT o_custkey % 40 AS path, o_orderkey AS k, {_DAY.format("o_orderdate")} AS a, {_DAY.format("o_orderdate")} + CASE WHEN o_orderkey % 50 = 0 THEN 700 ELSE o_orderkey % 4 END AS b FROM orders),
-r AS (SELECT l_suppkey % 40 AS path, l_orderkey * 10 + l_linenumber AS k, {_DAY.format("l_shipdate")} AS a, {_DAY.format("l_shipdate")} + CASE WHEN l_orderkey % 90 = 0 THEN 2000 ELSE CAST(l_quantity AS BIGINT) % 12 END AS b FROM lineitem)
+    f"""WITH s AS (SELECT o_custkey % 400 AS path, o_orderkey AS k, {_DAY.format("o_orderdate")} AS a, {_DAY.format("o_orderdate")} + CASE WHEN o_orderkey % 50 = 0 THEN 700 ELSE o_orderkey % 4 END AS b FROM orders),
+r AS (SELECT l_suppkey % 400 AS path, l_orderkey * 10 + l_linenumber AS k, {_DAY.format("l_shipdate")} AS a, {_DAY.format("l_shipdate")} + CASE WHEN l_orderkey % 90 = 0 THEN 2000 ELSE CAST(l_quantity AS BIGINT) % 12 END AS b FROM lineitem)
 SELECT s.k AS selection, count(*) AS n, min(r.k) AS first, CAST(sum(r.k) AS BIGINT) AS total FROM s JOIN r ON s.path = r.path AND s.a <= r.b AND r.a <= s.b GROUP BY 1"""
 )
 def selection_overlaps(spark, sf):
     """Many selections over many spans, short and long: what each one meets."""
     day = lambda c: F.unix_date(F.col(c).cast("date")).cast("long")
     key = F.col("o_orderkey")
-    o = table(spark, sf, "orders").select((F.col("o_custkey") % 40).alias("path"), key.alias("k"), day("o_orderdate").alias("start_line"), (day("o_orderdate") + F.when(key % 50 == 0, 700).otherwise(key % 4)).alias("end_line"))
+    o = table(spark, sf, "orders").select((F.col("o_custkey") % 400).alias("path"), key.alias("k"), day("o_orderdate").alias("start_line"), (day("o_orderdate") + F.when(key % 50 == 0, 700).otherwise(key % 4)).alias("end_line"))
     long = F.when(F.col("l_orderkey") % 90 == 0, 2000).otherwise(F.col("l_quantity").cast("long") % 12)
-    li = table(spark, sf, "lineitem").select((F.col("l_suppkey") % 40).alias("path"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("k"), day("l_shipdate").alias("start_line"), (day("l_shipdate") + long).alias("end_line"))
+    li = table(spark, sf, "lineitem").select((F.col("l_suppkey") % 400).alias("path"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("k"), day("l_shipdate").alias("start_line"), (day("l_shipdate") + long).alias("end_line"))
     met = overlap_join(o, li, ["path"])
     return met.groupBy(F.col("left.k").alias("selection")).agg(F.count("*").alias("n"), F.min("right.k").alias("first"), F.sum("right.k").alias("total"))
 

@@ -212,13 +212,14 @@ def template_summary(kind: Column, name: Column, description: Column) -> Column:
 
 
 def module_purpose(symbols: DataFrame, exports: DataFrame) -> DataFrame:
-    """module, text: the kinds and first three exported symbols of each module (module, pos, name, kind)."""
-    own = symbols.join(exports.select(F.col("path").alias("module"), "name", F.lit(True).alias("out")).distinct(), ["module", "name"], "left")
-    ordered = F.array_sort(F.collect_list(F.struct("pos", "name", "kind", F.coalesce("out", F.lit(False)).alias("out"))))
-    rows = own.groupBy("module").agg(ordered.alias("s"))
-    main = F.array_join(F.slice(F.transform(F.filter("s", lambda x: x["out"]), lambda x: x["name"]), 1, 3), ", ")
-    kinds = F.array_join(F.array_distinct(F.transform("s", lambda x: x["kind"])), ", ")
-    return rows.select("module", F.concat(F.lit("Module providing "), kinds, F.lit(" definitions. Main exports: "), F.when(main == "", "none").otherwise(main), F.lit(".")).alias("text"))
+    """module, text: the kinds and first three exported symbols of each module (module, pos, name, kind); no more than those are gathered."""
+    out = exports.select(F.col("path").alias("module"), "name").distinct()
+    place = F.row_number().over(Window.partitionBy("module").orderBy("pos", "name"))
+    main = symbols.join(out, ["module", "name"], "left_semi").withColumn("n", place).filter("n <= 3").select("module", F.lit("main").alias("what"), "pos", F.col("name").alias("t"))
+    kinds = symbols.groupBy("module", "kind").agg(F.min("pos").alias("pos")).select("module", F.lit("kind").alias("what"), "pos", F.col("kind").alias("t"))
+    listed = lambda w: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("what") == w, F.struct("pos", "t")))), lambda x: x["t"]), ", ")
+    rows = kinds.unionByName(main).groupBy("module").agg(listed("kind").alias("kinds"), listed("main").alias("main"))
+    return rows.select("module", F.concat(F.lit("Module providing "), "kinds", F.lit(" definitions. Main exports: "), F.when(F.col("main") == "", "none").otherwise(F.col("main")), F.lit(".")).alias("text"))
 
 
 def context_buckets(symbols: DataFrame) -> DataFrame:
@@ -237,11 +238,14 @@ def class_members(symbols: DataFrame) -> DataFrame:
 
 
 def usage_patterns(symbols: DataFrame, most: int = 5) -> DataFrame:
-    """module, usage, practices: the first example notes and replacements of symbols (module, pos, name, example, replacement)."""
-    first = lambda c, text: F.slice(F.transform(F.array_sort(F.collect_list(F.when(F.col(c).isNotNull(), F.struct("pos", text.alias("t"))))), lambda x: x["t"]), 1, most)
+    """module, usage, practices: the first example notes and replacements of symbols (module, pos, name, example, replacement); no more than those are gathered."""
     note = F.concat("name", F.lit(": "), "example")
     instead = F.concat(F.lit("Use "), last_segment(F.col("replacement")), F.lit(" instead of "), "name")
-    return symbols.groupBy("module").agg(first("example", note).alias("usage"), first("replacement", instead).alias("practices"))
+    said = lambda what, text: F.struct(F.lit(what).alias("what"), text.alias("t"))
+    rows = symbols.select("module", "pos", F.explode(F.array(said("usage", note), said("practices", instead), said("module", F.lit("")))).alias("x")).select("module", "pos", "x.*").filter("t IS NOT NULL")
+    first = rows.withColumn("n", F.row_number().over(Window.partitionBy("module", "what").orderBy("pos", "t"))).filter(F.col("n") <= most)
+    listed = lambda w: F.transform(F.array_sort(F.collect_list(F.when(F.col("what") == w, F.struct("n", "t")))), lambda x: x["t"]).alias(w)
+    return first.groupBy("module").agg(listed("usage"), listed("practices"))
 
 
 def fill_descriptions(symbols: DataFrame) -> DataFrame:

@@ -612,5 +612,5 @@ def test_stages_take_empty_tables(spark, empty):
 def test_registered():
     from stratalith.llm.queries import queries
 
-    assert sorted(int(n[2:].split("_")[0]) for n in queries()) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries()) == list(range(1, 14))
     assert json.dumps(sorted(queries()))

@@ -19,6 +19,7 @@ from ..functions.text import tokenize
 from ..functions.vectors import hybrid_score
 
 K1, B = 1.2, 0.75
+MARK, MARKS = "\x00", 256  # no token begins so
 
 
 def top_k(rows: DataFrame, k: int, by: str, score: str, tie: str) -> DataFrame:
@@ -42,17 +43,18 @@ def bm25_scores(queries: DataFrame, docs: DataFrame) -> DataFrame:
     """(qid, id, bm25) of queries (qid, text) against docs (id, text) that share a term; repeated query terms count each.
 
     One pass over the documents: a token goes on only if a query asks for its term,
-    and an empty one stands for the document itself. Lengths, document frequencies
-    and scores are small aggregates of what is left.
+    and a mark, one of a few hundred so that none is hot, stands for the document
+    itself. Lengths, document frequencies and scores are small aggregates of what is left.
     """
     asked = queries.select("qid", F.explode(tokenize(F.col("text"))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qtf"))
-    wanted = asked.select("term").union(docs.sparkSession.createDataFrame([("",)], "term string")).distinct()
+    wanted = asked.select("term").union(docs.sparkSession.range(MARKS).select(F.concat(F.lit(MARK), F.col("id")))).distinct()
     tokens = docs.select("id", F.coalesce(tokenize(F.col("text")), F.array().cast("array<string>")).alias("tokens"))
-    spread = tokens.select("id", F.size("tokens").alias("length"), F.explode(F.concat(F.array(F.lit("")), "tokens")).alias("term"))
+    spread = tokens.select("id", F.size("tokens").alias("length"), F.explode(F.concat(F.array(F.concat(F.lit(MARK), F.pmod(F.xxhash64("id"), F.lit(MARKS)))), "tokens")).alias("term"))
     hits = checkpointed(spread.join(wanted, "term", "left_semi").groupBy("term", "id", "length").agg(F.count("*").alias("tf")))
-    sizes = hits.filter("term = ''").agg(F.count("*").alias("doc_count"), F.avg("length").alias("avg_length"))
+    mark = F.col("term").startswith(MARK)
+    sizes = hits.filter(mark).agg(F.count("*").alias("doc_count"), F.avg("length").alias("avg_length"))
     df = hits.groupBy("term").agg(F.count("*").alias("df"))  # a row for each asked term, so that a frequent one is only counted
-    weighed = hits.filter("term <> ''").join(df, "term").crossJoin(sizes)  # one row of totals
+    weighed = hits.filter(~mark).join(df, "term").crossJoin(sizes)  # one row of totals
     idf = F.log((F.col("doc_count") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     part = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * (F.col("length") / F.col("avg_length"))))
     scored = weighed.select("id", "term", (idf * part).alias("w"))

@@ -34,7 +34,7 @@ BRACES = re.compile(r"(?P<comment>//[^\n]*|/\*[\s\S]*?(?:\*/|\Z))|(?P<string>\"(
 RUST = re.compile(r"(?P<comment>//[^\n]*|/\*[\s\S]*?(?:\*/|\Z))|(?P<string>\"(?:[^\"\\]++|\\[\s\S])*+\"?|'(?:\\.[^']*|[^'\\\n])')|" + _COMMON)
 PYTHON = re.compile(r"(?P<comment>#[^\n]*)|(?P<string>(?:[rbfuRBFU]{0,2})(?:\"\"\"(?:[^\\\"']++|\\[\s\S]|[\"'])*?(?:\"\"\"|\Z)|'''(?:[^\\\"']++|\\[\s\S]|[\"'])*?(?:'''|\Z)|\"(?:[^\"\\\n]++|\\[\s\S])*+\"?|'(?:[^'\\\n]++|\\[\s\S])*+'?))|" + _COMMON)
 HELD = 1 << 22  # characters of files whose rows are handed on together
-_REGEX = re.compile(r"/(?![*/])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\n\[])+/\w*")
+_REGEX = re.compile(r"/(?![*/])(?:\\.|\[(?:\\.|[^\]\\\n]){0,60}\]|[^/\\\n\[]){1,500}/\w*")  # bounded, so that many that never end cost no more
 _TEMPLATE = re.compile(r"(?:[^`\\$]++|\\[\s\S]|\$(?!\{))*+(`|\$\{|\\?\Z)")
 SCRIPTS = ("typescript", "javascript", "typescriptreact", "javascriptreact")
 
@@ -484,3 +484,10 @@ def source_chunks(files: DataFrame, least: int = 50) -> DataFrame:
     docs = doc_comments(files).filter(estimate_tokens(F.col("text")) >= least)
     said = docs.select(hash_id(F.col("path"), F.lit("comment"), F.col("line").cast("string")).alias("id"), "path", F.lit("comment").alias("level"), "symbol", F.col("text").alias("content"))
     return context.filter("content <> ''").unionByName(symbols).unionByName(said)
+
+
+def schema_failures(files: DataFrame) -> DataFrame:
+    """path, reason of the files (path, content) that no schema can be built of: empty ones, and those without a symbol."""
+    there = symbol_tree(files).select("path", F.lit(True).alias("known")).distinct()
+    rows = files.select("path", (F.coalesce(F.length(F.trim(F.col("content").cast("string"))), F.lit(0)) == 0).alias("empty")).join(there, "path", "left")
+    return rows.filter("empty OR known IS NULL").select("path", F.when(F.col("empty"), "empty").otherwise("no symbols").alias("reason"))

@@ -100,7 +100,7 @@ def test_broken_texts_do_not_crash(language):
             list(scanner._use_rows(text, language)), list(scanner._import_rows(text, language))
 
 
-@pytest.mark.parametrize(("text", "language"), [(TS, "typescript"), (PY, "python"), ("{ ( [ ", "typescript"), ("`${", "typescript"), ("/** x */ ", "typescript")])
+@pytest.mark.parametrize(("text", "language"), [(TS, "typescript"), (PY, "python"), ("{ ( [ ", "typescript"), ("=/[", "typescript"), ("=/a ", "typescript"), ("'\\a", "rust"), ('"', "python"), ("`${", "typescript"), ("/** x */ ", "typescript")])
 def test_time_is_linear(text, language):
     took = []
     for n in (1 << 17, 1 << 20):

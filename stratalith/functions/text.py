@@ -134,6 +134,14 @@ def expand_query(query: str) -> list[str]:
     return list(dict.fromkeys([query, *variants]))
 
 
+def query_variants(c: Column) -> Column:
+    """expand_query of a column: the text, then its variants in the order of its keywords, each once."""
+    synonyms = F.create_map(*[x for k, v in CODE_SYNONYMS.items() for x in (F.lit(k), F.array(*[F.lit(s) for s in v]))])
+    known = F.filter(tokenize(c), lambda w: w.isin(list(CODE_SYNONYMS)))
+    found = F.transform(known, lambda w: F.transform(synonyms[w], lambda s: F.regexp_replace(c, F.concat(F.lit("(?i)"), w), s)))
+    return F.array_distinct(F.concat(F.array(c), F.flatten(found)))
+
+
 # --- comments ------------------------------------------------------------------------
 
 

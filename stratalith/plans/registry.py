@@ -682,4 +682,4 @@ def age_days(spark, sf):
 
 
 # the other families register themselves
-from . import function_queries, rule_queries, source_queries, text_queries  # noqa: E402, F401
+from . import document_queries, function_queries, rule_queries, source_queries, text_queries  # noqa: E402, F401

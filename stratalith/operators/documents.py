@@ -19,7 +19,7 @@ from ..functions.text import last_segment, sanitize_id
 from ..numbering import numbered
 from . import diff
 from .graph import participants
-from .rendering import node_shape
+from .rendering import contents_line, node_shape, symbol_section
 
 # Styles of edges and nodes.
 CIRCULAR = RECURSIVE = "stroke:%s,stroke-width:2px"
@@ -57,13 +57,13 @@ def line(spark: SparkSession, number: int, text: str) -> DataFrame:
 
 
 def assembled(parts: list[DataFrame]) -> DataFrame:
-    """(n, part, name, mark, text) of all parts, in the order of their keys.
+    """(n, part, group, name, mark, text) of all parts, in the order of their keys.
 
     Equal blocks are told apart by a running number, so that many of them are no single range.
     """
     rows = reduce(DataFrame.unionByName, parts)
     order = ["part", "group", "at", "name", F.xxhash64("text", "mark"), F.monotonically_increasing_id()]
-    return numbered(rows, order).select("n", "part", "name", "mark", "text")
+    return numbered(rows, order).select("n", "part", "group", "name", "mark", "text")
 
 
 def followed(blocks: DataFrame, more: DataFrame) -> DataFrame:
@@ -155,6 +155,26 @@ def schema_file(symbols: DataFrame) -> DataFrame:
     return assembled([line(symbols.sparkSession, 0, SCHEMA_HEAD), part(own, 1, text, group=F.col("path"), name=F.col("name"))]).select("n", "text")
 
 
+def module_files(symbols: DataFrame) -> DataFrame:
+    """(module, n, text): a file for each module of symbols (module, name, kind, signature, description, params), one behind the other.
+
+    A title, contents by kind, then a section for each symbol by name. A module with a
+    third of all symbols is as many ranges as its blocks fill. Without a module: ''.
+    """
+    own = symbols.withColumn("module", F.coalesce("module", F.lit(""))).withColumn("kind", F.coalesce("kind", F.lit("")))
+    module, last = F.col("module"), F.lit("\x02")  # behind the names of a kind, as the mark before them is \x01
+    kinds = own.select("module", "kind").distinct()
+    listed = lambda *name: F.concat(F.col("kind"), F.lit("\x01"), *name)
+    parts = [
+        part(kinds.select("module").distinct(), 0, F.concat(F.lit("# "), module, F.lit("\n")), group=module),
+        part(kinds, 0, F.concat(F.lit("### "), "kind"), group=module, at=F.lit(1), name=F.col("kind")),
+        part(own, 0, contents_line(F.col("name"), F.col("description")), group=module, at=F.lit(1), name=listed("name")),
+        part(kinds, 0, F.lit(""), group=module, at=F.lit(1), name=F.concat("kind", last)),
+        part(symbol_section(own), 0, F.concat("text", F.lit("\n")), group=module, at=F.lit(2), name=F.col("name")),
+    ]
+    return assembled(parts).select(F.col("group").alias("module"), "n", "text")
+
+
 def change_log(before: DataFrame, after: DataFrame, old: str, new: str, generated: str) -> DataFrame:
     """(n, text): the changes between exports (path, name, signature, description, deprecated) as a change log.
 

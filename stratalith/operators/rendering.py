@@ -40,10 +40,14 @@ def parameters_table(params: Column) -> Column:
     return F.concat(F.lit("| Name | Type | Required | Description |\n| --- | --- | --- | --- |\n"), F.array_join(F.transform(params, row), "\n"))
 
 
+def contents_line(name: Column, description: Column) -> Column:
+    """A link to a symbol's section with its short description."""
+    return F.concat(F.lit("- ["), escape_markdown(name), F.lit("](#"), slugify(name), F.lit(") - "), truncate(F.coalesce(description, F.lit("")), 60))
+
+
 def table_of_contents(symbols: DataFrame) -> DataFrame:
     """module, text: symbols (module, kind, name, description) by kind, with short descriptions."""
-    line = F.concat(F.lit("- ["), escape_markdown(F.col("name")), F.lit("](#"), slugify(F.col("name")), F.lit(") - "), truncate(F.coalesce("description", F.lit("")), 60))
-    kinds = joined(symbols, ["module", "kind"], line, ["name"], name="body")
+    kinds = joined(symbols, ["module", "kind"], contents_line(F.col("name"), F.col("description")), ["name"], name="body")
     return joined(kinds, ["module"], F.concat(F.lit("### "), "kind", F.lit("\n"), "body"), ["kind"], "\n\n")
 
 

@@ -34,6 +34,24 @@ def schema_blocks(spark, sf):
     return documents.schema_file(inputs.symbols(spark, sf, whole=True).withColumn("path", F.coalesce("path", F.lit(""))))
 
 
+_PAGES = """(SELECT coalesce(source, '') AS m, doc_id || 'd' AS name, coalesce(lang, '') AS kind, text AS d, doc_id % 2 = 0 AS param FROM documents)"""
+
+
+@query(
+    f"WITH s AS (SELECT * FROM {_PAGES}), k AS (SELECT DISTINCT m, kind FROM s), r AS ("
+    + """SELECT m, 0 AS k, '' AS b, '# ' || m || chr(10) AS text FROM (SELECT DISTINCT m FROM s) UNION ALL SELECT m, 1, kind, '### ' || kind FROM k UNION ALL SELECT m, 1, kind || chr(2), '' FROM k
+UNION ALL SELECT m, 1, kind || chr(1) || name, '- [' || name || '](#' || name || ') - ' || CASE WHEN length(d) > 60 THEN substr(d, 1, 57) || '...' ELSE coalesce(d, '') END FROM s
+UNION ALL SELECT m, 2, name, '## ' || name || chr(10) || chr(10) || '`' || kind || '`' || chr(10) || chr(10) || '```' || chr(10) || 'f()' || chr(10) || '```' || chr(10) || chr(10) || coalesce(d, '*No description*')
+ || CASE WHEN param THEN chr(10) || chr(10) || '| Name | Type | Required | Description |' || chr(10) || '| --- | --- | --- | --- |' || chr(10) || '| a | int | Yes | first |' ELSE '' END || chr(10) FROM s) SELECT m AS module, row_number() OVER (ORDER BY m, k, b) - 1 AS n, text FROM r"""
+)
+def module_blocks(spark, sf):
+    """A file for each source, with a section for each document."""
+    one = F.struct(F.lit("a").alias("name"), F.lit("int").alias("type"), F.lit(False).alias("optional"), F.lit("first").alias("description"))
+    params = F.when(F.col("doc_id") % 2 == 0, F.array(one)).otherwise(F.slice(F.array(one), 1, 0))
+    rows = table(spark, sf, "documents").select(F.col("source").alias("module"), F.format_string("%dd", "doc_id").alias("name"), F.coalesce("lang", F.lit("")).alias("kind"), F.lit("f()").alias("signature"), F.col("text").alias("description"), params.alias("params"))
+    return documents.module_files(rows)
+
+
 _LOG = f"""WITH b AS ({PART_BEFORE}), a AS ({PART_AFTER}), j AS (SELECT coalesce(b.path, a.path) AS path, coalesce(b.name, a.name) AS name, b.signature AS old, a.signature AS new, CASE WHEN b.name IS NULL THEN 'added' WHEN a.name IS NULL THEN 'removed' WHEN a.deprecated THEN 'deprecated' WHEN b.signature <> a.signature THEN 'modified' END AS change FROM b FULL OUTER JOIN a ON b.path = a.path AND b.name = a.name),
 c AS (SELECT *, CASE change WHEN 'removed' THEN 10 WHEN 'deprecated' THEN 11 WHEN 'added' THEN 12 ELSE 13 END AS p FROM j WHERE change IS NOT NULL),
 m AS (SELECT coalesce(b.path, a.path) AS path, CASE WHEN b.path IS NULL THEN 'added' ELSE 'removed' END AS change FROM (SELECT DISTINCT path FROM b) b FULL OUTER JOIN (SELECT DISTINCT path FROM a) a ON a.path = b.path WHERE a.path IS NULL OR b.path IS NULL),

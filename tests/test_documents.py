@@ -6,8 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from stratalith.functions import text
-from stratalith.operators import documents
-from stratalith.sources.block_files import read_lines, write_blocks
+from stratalith.operators import documents, rendering
+from stratalith.sources.block_files import read_lines, write_blocks, write_files
 
 CALLS = "src string, dst string, pos long, calls int, recursive boolean"
 EDGES = "src string, dst string, pos long, imports int, in_cycle boolean"
@@ -91,6 +91,26 @@ def test_many_equal_blocks_are_numbered_apart(spark):
     assert blocks.count() == 20_001 and blocks.select(F.count_distinct("n")).first()[0] == 20_001
 
 
+def test_module_files(spark, tmp_path):
+    """Each module's file is the text that is made of the module as one row."""
+    kind = "module string, name string, kind string, signature string, description string, params array<struct<name:string,type:string,optional:boolean,description:string>>"
+    rows = [("a", f"f{i:03}", "function" if i % 3 else "fun", f"f{i}()", None if i % 5 else f"says {i}", [("x", "int|null", i % 2 == 0, None)] if i % 2 else []) for i in range(200)]
+    rows += [("b/c", "K", "class", None, "<b>", [])]
+    symbols = spark.createDataFrame(rows, kind).repartition(5)
+    want = {r.module: r.text for r in rendering.module_markdown(symbols).collect()}
+    files = documents.module_files(symbols)
+    found = {}
+    for r in sorted(files.collect(), key=lambda r: r.n):
+        found.setdefault(r.module, []).append(r.text)
+    assert {m: "\n".join(t) for m, t in found.items()} == {m: t + "\n" for m, t in want.items()}
+    write_files(files, "module", str(tmp_path / "out"))
+    for m, folder in (("a", "module=a"), ("b/c", "module=b%2Fc")):
+        assert "".join(p.read_text() for p in sorted(Path(tmp_path / "out" / folder).glob("part-*"))) == want[m] + "\n\n"
+    nameless = documents.module_files(spark.createDataFrame([(None, "n", None, None, None, [])], kind)).orderBy("n").collect()
+    assert [r.module for r in nameless] == [""] * 5 and nameless[0].text == "# \n"
+    assert documents.module_files(symbols.limit(0)).isEmpty()
+
+
 QUERIES = ["delete file", "Test the TEST class", "get it", "", "error, Error: send!", "création update"]
 
 

@@ -145,7 +145,7 @@ def checklist_blocks(spark, sf):
     return documents.checklist(table(spark, sf, "part").select(F.format_string("part %d", "p_partkey").alias("name"), severity.alias("severity"), (F.col("p_partkey") % 4 != 0).alias("passed"), F.format_string("%d%%", "p_size").alias("value"), F.lit("80%").alias("target")))
 
 
-@query(f"SELECT count(*) AS lines, sum(length(text)) AS characters, count_if(text = '  _id: ID') AS types FROM (SELECT unnest(string_split(text, chr(10))) AS text FROM ({_TYPES}))")
+@query(f"SELECT count(*) AS lines, CAST(sum(length(text)) AS BIGINT) AS characters, CAST(count_if(text = '  _id: ID') AS BIGINT) AS types FROM (SELECT unnest(string_split(text, chr(10))) AS text FROM ({_TYPES}))")
 def schema_files(spark, sf):
     """The schema file written and read back."""
     folder = _folder(spark, "schema-file")

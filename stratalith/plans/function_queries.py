@@ -89,7 +89,7 @@ SELECT p_partkey, CAST(greatest(0, least(100, CASE WHEN NOT mc AND NOT gpu THEN
 )
 def model_scores(spark, sf):
     k = F.col("p_partkey")
-    score = scoring.model_score(F.col("p_size").cast("long") * 20_000_000, F.floor("p_retailprice") * 1_000_000, k % 2 == 0, k % 3 == 0, k % 5 != 0, k % 7 == 0)
+    score = scoring.model_score(F.col("p_size").cast("long") * 20_000_000, F.rint("p_retailprice").cast("long") * 1_000_000, k % 2 == 0, k % 3 == 0, k % 5 != 0, k % 7 == 0)
     return table(spark, sf, "part").select("p_partkey", score.cast("int").alias("score"))
 
 

@@ -47,3 +47,16 @@ def overlap_join(left: DataFrame, right: DataFrame, on: list[str], start: str =
     # two joins, so that two short ranges are never compared in the bin of a longer one
     met = ours.filter("own1").join(theirs, [*keys, "at", "bin"]).unionByName(ours.filter("NOT own1").join(theirs.filter("own2"), [*keys, "at", "bin"]))
     return met.filter("a1 <= b2 AND a2 <= b1 AND shiftright(greatest(a1, a2), at) = bin").select("left", "right")
+
+
+def overlap_totals(left: DataFrame, right: DataFrame, on: list[str], number: str, start: str = "start_line", end: str = "end_line") -> DataFrame:
+    """left with n, first and total of ``number`` over the rows of right that each range meets; those that meet none are left out.
+
+    Equal ranges stand for all their rows on either side, so that the join grows
+    with the different ranges and not with the pairs of rows.
+    """
+    names = [*on, start, end]
+    there = right.groupBy(*names).agg(F.count("*").alias("n"), F.min(number).alias("first"), F.sum(number).alias("total"))
+    met = overlap_join(left.select(*names).distinct(), there, on, start, end)
+    told = met.groupBy(*[F.col(f"left.{c}").alias(c) for c in names]).agg(F.sum("right.n").alias("n"), F.min("right.first").alias("first"), F.sum("right.total").alias("total"))
+    return left.join(told, names)

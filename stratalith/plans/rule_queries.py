@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import coverage, extraction, filters, freshness, graph, incoherence, lint, ranking, trace
-from ..operators.overlap import overlap_join
+from ..operators.overlap import overlap_totals
 from . import inputs
 from .inputs import CALL_EDGES, CURRENT, CUSTOMER_GRAPH, STORE, SYMBOLS, table
 from .register import query
@@ -167,8 +167,8 @@ def selection_overlaps(spark, sf):
     o = table(spark, sf, "orders").select((F.col("o_custkey") % 400).alias("path"), key.alias("k"), day("o_orderdate").alias("start_line"), (day("o_orderdate") + F.when(key % 50 == 0, 700).otherwise(key % 4)).alias("end_line"))
     long = F.when(F.col("l_orderkey") % 90 == 0, 2000).otherwise(F.col("l_quantity").cast("long") % 12)
     li = table(spark, sf, "lineitem").select((F.col("l_suppkey") % 400).alias("path"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("k"), day("l_shipdate").alias("start_line"), (day("l_shipdate") + long).alias("end_line"))
-    met = overlap_join(o, li, ["path"])
-    return met.groupBy(F.col("left.k").alias("selection")).agg(F.count("*").alias("n"), F.min("right.k").alias("first"), F.sum("right.k").alias("total"))
+    met = overlap_totals(o, li, ["path"], "k")
+    return met.groupBy(F.col("k").alias("selection")).agg(F.sum("n").alias("n"), F.min("first").alias("first"), F.sum("total").alias("total"))
 
 
 @query("SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem WHERE l_linenumber * 2 <= 9 AND 5 <= l_linenumber * 2 + l_quantity GROUP BY 1, 2")

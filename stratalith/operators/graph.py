@@ -129,25 +129,29 @@ def _within(turn: int, most: int | None) -> None:
         raise ValueError(f"rows are left after {most} turns")
 
 
-def _spread_out(known: DataFrame, edges: DataFrame, key: str, most: int | None, turns: int = 3) -> DataFrame:
+def _spread_out(known: DataFrame, edges: DataFrame, key: str, most: int | None, turns: int = 3, each: int = 250_000, back: bool = False) -> DataFrame:
     """known (key, id, level and, if there, path) with all that edges (src, dst) reach, at its first level, by the smallest path there.
 
     A turn joins the last level with the edges and folds what is new into the
     known rows in one aggregation, of plain numbers where no paths are kept; several
-    turns share a plan and a checkpoint.
+    turns share a plan and a checkpoint. Rows are dealt to partitions of about ``each``,
+    so that what a task holds doesn't grow with them. Paths grow at their end, or,
+    ``back`` along edges turned round, at their front.
     """
     paths = ["path"] if "path" in known.columns else []
     known = checkpointed(known)
+    rows = known.count()
     at = 0
     while True:
         for _ in range(turns):
             at += 1
             last = known.filter(F.col("level") == at - 1).select(key, F.col("id").alias("src"), *paths)
-            step = last.join(edges, "src").select(key, F.col("dst").alias("id"), F.lit(at).alias("level"), *[F.concat("path", F.array("dst")).alias("path")] * bool(paths))
-            both = known.unionByName(step).groupBy(key, "id")
+            step = last.join(edges, "src").select(key, F.col("dst").alias("id"), F.lit(at).alias("level"), *[(F.concat(F.array("dst"), "path") if back else F.concat("path", F.array("dst"))).alias("path")] * bool(paths))
+            both = known.unionByName(step).repartition(max(1, -(-rows // each)), key, "id").groupBy(key, "id")
             known = both.agg(F.min(F.struct("level", "path")).alias("best")).select(key, "id", "best.level", "best.path") if paths else both.agg(F.min("level").alias("level"))
         known = checkpointed(known)
-        if known.filter(F.col("level") == at).isEmpty():
+        rows, new = known.agg(F.count("*"), F.count_if(F.col("level") == at)).first()
+        if not new:
             return known
         _within(at, most)
 
@@ -162,9 +166,12 @@ def transitive_closure(edges: DataFrame, seeds: DataFrame, most: int | None = No
 def shortest_paths(edges: DataFrame, pairs: DataFrame, most: int | None = None) -> DataFrame:
     """(start, goal, path) for pairs (start, goal) with a path; of equal ones the smallest predecessors."""
     edges = checkpointed(edges.select("src", "dst").distinct())
-    first = pairs.select("start", F.col("start").alias("id"), F.lit(0).alias("level"), F.array("start").alias("path")).distinct()
-    found = _spread_out(first, edges, "start", most)
-    return pairs.join(found.select("start", F.col("id").alias("goal"), "path"), ["start", "goal"])
+    starts, goals = pairs.agg(F.count_distinct("start"), F.count_distinct("goal")).first()
+    back = goals < starts  # from the side with fewer ends; the smallest of equal paths is the same from either
+    key, far = ("goal", "start") if back else ("start", "goal")
+    first = pairs.select(key, F.col(key).alias("id"), F.lit(0).alias("level"), F.array(key).alias("path")).distinct()
+    found = _spread_out(first, edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")) if back else edges, key, most, back=back)
+    return pairs.join(found.select(key, F.col("id").alias(far), "path"), ["start", "goal"])
 
 
 def _grown(known: DataFrame, more: DataFrame, turn: int, each: int = 8) -> DataFrame:

@@ -5,12 +5,12 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import estimate_tokens, hash_id, summarize
+from .batches import handing
 
 
 def evictions(entries: DataFrame, limit: Column, by: str = "cache") -> DataFrame:
@@ -86,28 +86,24 @@ def greedy_chunks(symbols: DataFrame, budget: int, overhead: int = 200, by: str
     return made.select(F.col("by").alias(by), "pos", "tokens", "chunk")
 
 
-def _windowing(most: int, least: int, overlap: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+def _windowing(most: int, least: int, overlap: int) -> Callable[[str, str | None], Iterator[tuple]]:
     size = lambda s: -(-(len(s.encode("utf-16-le")) // 2) // 4)
     keep = math.ceil(overlap / 4)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for path, content in zip(batch["path"], batch["content"], strict=True):
-                lines = (content or "").split("\n")
-                held: list[str] = []
-                used = start = 0
-                for i, line in enumerate(lines):
-                    n = size(line)
-                    if held and used + n > most:
-                        rows.append((path, start, i - 1, "\n".join(held)))
-                        held = held[-keep:]
-                        used, start = size("\n".join(held)), i - len(held)
-                    held.append(line)
-                    used += n
-                if held and used >= least:
-                    rows.append((path, start, len(lines) - 1, "\n".join(held)))
-            yield pd.DataFrame(rows, columns=["path", "line_start", "line_end", "content"])
+    def run(path: str, content: str | None) -> Iterator[tuple]:
+        lines = (content or "").split("\n")
+        held: list[str] = []
+        used = start = 0
+        for i, line in enumerate(lines):
+            n = size(line)
+            if held and used + n > most:
+                yield path, start, i - 1, "\n".join(held)
+                held = held[-keep:]
+                used, start = size("\n".join(held)), i - len(held)
+            held.append(line)
+            used += n
+        if held and used >= least:
+            yield path, start, len(lines) - 1, "\n".join(held)
 
     return run
 
@@ -117,7 +113,7 @@ def text_windows(files: DataFrame, most: int = 512, least: int = 50, overlap: in
 
     (path, line_start, line_end, content) of files (path, content).
     """
-    return files.select("path", "content").mapInPandas(_windowing(most, least, overlap), "path string, line_start int, line_end int, content string")
+    return files.select("path", "content").mapInPandas(handing(_windowing(most, least, overlap), ["path", "content"], ["path", "line_start", "line_end", "content"]), "path string, line_start int, line_end int, content string")
 
 
 def sections(files: DataFrame, least: int = 50, header: str = r"^#+\s+(.+)") -> DataFrame:

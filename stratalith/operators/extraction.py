@@ -7,12 +7,12 @@ from bisect import bisect_left
 from collections.abc import Iterator
 from itertools import count
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..checkpoints import checkpointed
+from ..checkpoints import checkpointed, dealt
 from ..functions.text import clean_comment, estimate_tokens, hash_id, last_segment, strip
+from .batches import handing
 
 # Patterns of symbols; group 1 export, 2 name, 3 generics, 4 parameters, 5 return type.
 SYMBOL_PATTERNS = [
@@ -33,24 +33,18 @@ EXPORT_PATTERNS = [
 ]
 
 
-def _symbols(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    compiled = [(k, re.compile(p, re.ASCII)) for k, p in SYMBOL_PATTERNS]
-    columns = ["path", "kind", "name", "line", "signature", "exported", "documented"]
-    for batch in batches:
-        rows = []
-        for path, content in zip(batch["path"], batch["content"], strict=True):
-            content = content or ""
-            feeds = [m.start() for m in re.finditer("\n", content)]
-            for kind, pattern in compiled:
-                for m in pattern.finditer(content):
-                    said = f"({m[4] or ''}): {(m[5] or '').strip() or 'void'}" if kind == "function" else f"{m[2]}{m[3] or ''}"
-                    rows.append((path, kind, m[2], bisect_left(feeds, m.start()) + 1, said, bool(m[1]), "/**" in content[max(0, m.start() - 200) : m.start()]))
-        yield pd.DataFrame(rows, columns=columns)
+def _symbols(path: str, content: str | None) -> Iterator[tuple]:
+    content = content or ""
+    feeds = [m.start() for m in re.finditer("\n", content)]
+    for kind, pattern in SYMBOL_PATTERNS:
+        for m in re.finditer(pattern, content, re.ASCII):
+            said = f"({m[4] or ''}): {(m[5] or '').strip() or 'void'}" if kind == "function" else f"{m[2]}{m[3] or ''}"
+            yield path, kind, m[2], bisect_left(feeds, m.start()) + 1, said, bool(m[1]), "/**" in content[max(0, m.start() - 200) : m.start()]
 
 
 def extract_symbols(files: DataFrame, private: bool = False) -> DataFrame:
     """path, kind, name, line, signature, exported, documented of files (path, content); matches need places, so in Arrow batches."""
-    rows = files.select("path", "content").mapInPandas(_symbols, "path string, kind string, name string, line int, signature string, exported boolean, documented boolean")
+    rows = dealt(files.select("path", "content"), "path").mapInPandas(handing(_symbols, ["path", "content"], ["path", "kind", "name", "line", "signature", "exported", "documented"]), "path string, kind string, name string, line int, signature string, exported boolean, documented boolean")
     return rows if private else rows.filter(~F.col("name").startswith("_"))
 
 

@@ -61,12 +61,13 @@ def _carrying(on: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
     return run
 
 
-def asof_join(left: DataFrame, right: DataFrame, on: list[str], left_time: str, right_time: str) -> DataFrame:
+def asof_join(left: DataFrame, right: DataFrame, on: list[str], left_time: str, right_time: str, each: int = 250_000) -> DataFrame:
     """left with a column ``found``: the last row of right with its key and a time up to its own, as a struct, or null.
 
     Of right's rows with one key and time the largest counts. Rows of left with a
     null key or time, or without an earlier row, find nothing; repeated rows are
-    answered each, and all of left's columns are kept, whatever their names.
+    answered each, and all of left's columns are kept, whatever their names. A range
+    holds about ``each`` rows, however many there are.
     """
     keys = [f"__k{i}" for i in range(len(on))]
     keyed = lambda rows, time: [*[F.col(c).alias(k) for c, k in zip(on, keys, strict=True)], F.col(time).alias("__t")]
@@ -77,7 +78,8 @@ def asof_join(left: DataFrame, right: DataFrame, on: list[str], left_time: str,
     asked = known(whole).withColumn("found", F.lit(None).cast(found))
     order = [*keys, "__t", F.col("found").isNull(), F.monotonically_increasing_id()]
     both = told.select("*", F.lit(None).cast(row).alias("row")).select(asked.columns).unionByName(asked)
-    dealt = both.repartitionByRange(*order).withColumn("part", F.spark_partition_id()).sortWithinPartitions(*keys, "__t", F.col("found").isNull())
+    both = checkpointed(both)  # read for its number, for the ranges and for its rows
+    dealt = both.repartitionByRange(max(1, -(-both.count() // each)), *order).withColumn("part", F.spark_partition_id()).sortWithinPartitions(*keys, "__t", F.col("found").isNull())
     shape = StructType([*(whole.schema[k] for k in keys), StructField("row", row), StructField("found", found), StructField("part", IntegerType()), StructField("kind", IntegerType())])
     out = checkpointed(dealt.select(*keys, "row", "found", "part").mapInArrow(_carrying(keys), shape))
     heads = out.filter(F.col("kind") == OPEN).select(*keys, "part").distinct().withColumn("found", F.lit(None).cast(found)).withColumn("after", F.lit(0))

@@ -480,7 +480,9 @@ def line_counts(spark, sf):
 @query("WITH d AS (SELECT o_orderkey AS path, o_orderdate AS doc_ts FROM orders), c AS (SELECT l_orderkey AS path, l_shipdate AS ts, count(*) AS n, min(l_linenumber) AS k FROM lineitem GROUP BY 1, 2) SELECT d.path, max_by(k, ts) AS content FROM d LEFT JOIN c ON c.path = d.path AND ts <= doc_ts + INTERVAL 60 DAY GROUP BY 1")
 def as_of_commit(spark, sf):
     docs = table(spark, sf, "orders").select(F.col("o_orderkey").alias("path"), (F.col("o_orderdate") + F.expr("INTERVAL 60 DAYS")).alias("doc_ts"))
-    commits = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("path"), F.col("l_shipdate").alias("ts")).agg(F.min("l_linenumber").alias("content"))
+    lines = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("path"), F.col("l_shipdate").alias("ts"), "l_linenumber")
+    lines = lines.repartition(max(1, -(-lines.count() // 500_000)), "path")  # what a task gathers doesn't grow
+    commits = lines.groupBy("path", "ts").agg(F.min("l_linenumber").alias("content"))
     return metrics.as_of_content(docs, commits).select("path", "content")
 
 

@@ -25,6 +25,7 @@ from ..operators.retrieval import _block_scores, top_k
 from .commits import CommitLog
 
 ZERO = -1  # the cell of vectors without a direction
+MOST_PROBES = 1 << 16  # queries with a cell that a task holds at once
 
 
 class Found(NamedTuple):
@@ -70,9 +71,10 @@ def _probing(ids: np.ndarray, centroids: np.ndarray, radius: np.ndarray, probes:
     """Queries with each cell they look into: the nearest ``probes``, or, of the rest, those that may hold one of the k best."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        each = max(1, MOST_PROBES // max(1, len(ids)))
+        for batch in (b.iloc[lo : lo + each] for b in batches for lo in range(0, len(b), each)):
             x = units(batch["vec"])
-            cosine = x @ centroids.T if len(batch) else np.zeros((0, len(ids)))
+            cosine = x @ centroids.T
             order = np.argsort(-cosine, axis=1, kind="stable")
             first = np.zeros(cosine.shape, bool)
             np.put_along_axis(first, order[:, :probes], True, axis=1)

@@ -13,7 +13,7 @@ from itertools import count
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..checkpoints import checkpointed
+from ..checkpoints import checkpointed, few
 from ..functions import text
 from ..functions.scoring import impact_level, importance_score
 
@@ -129,38 +129,73 @@ def _within(turn: int, most: int | None) -> None:
         raise ValueError(f"rows are left after {most} turns")
 
 
-def _spread_out(known: DataFrame, edges: DataFrame, key: str, most: int | None, turns: int = 3, each: int = 250_000, back: bool = False) -> DataFrame:
-    """known (key, id, level and, if there, path) with all that edges (src, dst) reach, at its first level, by the smallest path there.
+def _near(last: DataFrame, ball: DataFrame, each: int) -> tuple[DataFrame, int, DataFrame]:
+    """What of ball (src, dst, step) starts where last (src) ends, the number of rows that both make when joined, and (src, slices) of sources that alone make more than ``each``."""
+    ends = checkpointed(last.groupBy("src").agg(F.count("*").alias("ins")))
+    near = ball.join(few(ends), "src")
+    sources = checkpointed(near.groupBy("src").agg(F.max("ins").alias("ins"), F.count("*").alias("outs")).withColumn("made", F.col("ins") * F.col("outs")))
+    hot = sources.filter(F.col("made") > each).select("src", F.least("ins", F.ceil(F.col("made") / each)).cast("int").alias("slices"))
+    return near.drop("ins"), sources.agg(F.coalesce(F.sum("made"), F.lit(0))).first()[0], few(hot)
+
+
+def _met(last: DataFrame, near: DataFrame, hot: DataFrame, key: str, parts: int) -> DataFrame:
+    """last joined with near by src; rows of last that end at a hot source are dealt to slices, each of which gets that source's links."""
+    slices = F.coalesce("slices", F.lit(1))
+    links = near.join(hot, "src", "left").select(*near.columns, F.explode(F.sequence(F.lit(0), slices - 1)).alias("slice"))
+    ends = last.join(hot, "src", "left").select(*last.columns, F.pmod(F.xxhash64(key), slices).cast("int").alias("slice"))
+    return links.repartition(parts, "src", "slice").join(ends.repartition(parts, "src", "slice"), ["src", "slice"])
+
+
+def _spread_out(known: DataFrame, edges: DataFrame, key: str, most: int | None, at: int = 0, whole: bool = False, turns: int = 3, each: int = 250_000, back: bool = False) -> DataFrame:
+    """known (key, id, level and, if there, path; all of level ``at``) with all that edges (src, dst) reach, at its first level, by the smallest path there.
 
     A turn joins the last level with the edges and folds what is new into the
-    known rows in one aggregation, of plain numbers where no paths are kept; several
-    turns share a plan and a checkpoint. Rows are dealt to partitions of about ``each``,
-    so that what a task holds doesn't grow with them. Paths grow at their end, or,
-    ``back`` along edges turned round, at their front.
+    known rows in one aggregation, of plain numbers where no paths are kept. What it
+    makes is counted by source before, and rows are dealt to partitions of about
+    ``each``, so that what a task holds doesn't grow with them; many rows that end at
+    one source are dealt, too. While a level can't fill a partition, several turns
+    share a plan and a checkpoint. ``whole``: each source of an edge is a key, so that
+    known rows are links of up to ``at`` steps themselves; where joining them makes
+    few rows for those known, they stand in for the edges and double the levels.
+    Paths grow at their end, or, ``back`` along edges turned round, at their front.
     """
     paths = ["path"] if "path" in known.columns else []
+    edges = edges.withColumn("step", F.lit(1))
+    widest = edges.groupBy("src").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
     known = checkpointed(known)
-    rows = known.count()
-    at = 0
-    while True:
-        for _ in range(turns):
-            at += 1
-            last = known.filter(F.col("level") == at - 1).select(key, F.col("id").alias("src"), *paths)
-            step = last.join(edges, "src").select(key, F.col("dst").alias("id"), F.lit(at).alias("level"), *[(F.concat(F.array("dst"), "path") if back else F.concat("path", F.array("dst"))).alias("path")] * bool(paths))
-            both = known.unionByName(step).repartition(max(1, -(-rows // each)), key, "id").groupBy(key, "id")
-            known = both.agg(F.min(F.struct("level", "path")).alias("best")).select(key, "id", "best.level", "best.path") if paths else both.agg(F.min("level").alias("level"))
+    rows = new = known.count()
+    parts = lambda n: max(1, -(-n // each))
+
+    def last() -> DataFrame:
+        return known.filter(F.col("level") == at).select(key, F.col("id").alias("src"), *paths)
+
+    def folded(met: DataFrame, n: int) -> DataFrame:
+        step = met.select(key, F.col("dst").alias("id"), (F.lit(at) + F.col("step")).alias("level"), *[(F.concat(F.array("dst"), "path") if back else F.concat("path", F.array("dst"))).alias("path")] * bool(paths))
+        both = known.unionByName(step).repartition(n, key, "id").groupBy(key, "id")
+        return both.agg(F.min(F.struct("level", "path")).alias("best")).select(key, "id", "best.level", "best.path") if paths else both.agg(F.min("level").alias("level"))
+
+    while new:
+        if not whole and rows + new * sum(widest**i for i in range(1, turns + 1)) <= each:
+            for _ in range(turns):
+                known, at = folded(last().join(edges, "src"), 1), at + 1
+        else:
+            steps = at if whole else 1
+            near, made, hot = _near(last(), known.select(F.col(key).alias("src"), F.col("id").alias("dst"), F.col("level").alias("step")) if whole else edges, each)
+            if steps > 1 and made > 4 * rows:
+                steps, (near, made, hot) = 1, _near(last(), edges, each)
+            known, at = folded(_met(last(), near, hot, key, parts(made + new)), parts(rows + made)), at + steps
         known = checkpointed(known)
-        rows, new = known.agg(F.count("*"), F.count_if(F.col("level") == at)).first()
-        if not new:
-            return known
-        _within(at, most)
+        rows, new, deepest = known.agg(F.count("*"), F.count_if(F.col("level") == at), F.max("level")).first()
+        _within(deepest, most)
+    return known
 
 
 def transitive_closure(edges: DataFrame, seeds: DataFrame, most: int | None = None) -> DataFrame:
     """(seed, id, level): everything reachable, at its first level; a seed itself only over a cycle."""
-    edges = checkpointed(edges.select("src", "dst").distinct())
-    first = edges.join(seeds.select("seed").distinct(), F.col("src") == F.col("seed")).select("seed", F.col("dst").alias("id"), F.lit(0).alias("level"))
-    return _spread_out(first, edges, "seed", most and most - 1).select("seed", "id", (F.col("level") + 1).alias("level"))
+    edges, seeds = checkpointed(edges.select("src", "dst").distinct()), seeds.select("seed").distinct()
+    own = checkpointed(edges.join(seeds, F.col("src") == F.col("seed")).select("seed", F.col("dst").alias("id"), F.lit(1).alias("level")))
+    whole = own.count() == edges.filter("src IS NOT NULL").count()
+    return _spread_out(own, edges, "seed", most, at=1, whole=whole)
 
 
 def shortest_paths(edges: DataFrame, pairs: DataFrame, most: int | None = None) -> DataFrame:
